@@ -20,8 +20,57 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagelens.llm.sentencepiece_bpe import encode
+
+    return encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, with_digest=True)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.toxicity import fit, score
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = fit(docs, labels.where(remainder != 2))
+    scored = score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (remainder == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.language_id import fit, predict
+
+    docs = _read(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = fit(docs.where(remainder != 1))
+    return predict(docs, model, keep=["doc_id"]).select("doc_id", (remainder == 1).alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.sharding import shard
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    return shard(_read(spark, sf_dir, "documents"), 24).select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+OPERATORS: tuple[Query, ...] = (op2_sentencepiece, op4_toxicity, op5_quality_rules, op6_embedding_dedup, op7_language_id, op8_sharding, op9_packing)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_quality_rules,)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
