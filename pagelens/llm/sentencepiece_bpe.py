@@ -24,6 +24,7 @@ Defined cases
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -74,8 +75,10 @@ class MergeVocabulary:
                     pairs[(a << 32) | b] = (self.ids[x], self.score[x])
         order = sorted(pairs)
         self.pair_keys = np.array(order, dtype=np.int64)
-        self.pair_piece = np.array([pairs[k][0] for k in order], dtype=np.int64)
-        self.pair_score = np.array([pairs[k][1] for k in order], dtype=np.float64)
+        self.pair_piece = np.array([pairs[k][0] for k in order], dtype=np.int32)
+        # a pair's priority: the rank of its score; equal scores share one, so that the leftmost comes first
+        _, rank = np.unique(np.array([pairs[k][1] for k in order]), return_inverse=True)
+        self.priority = np.append(rank, -1).astype(np.int32)
         # an open-addressed table over the pairs: two probes instead of a binary search
         self.bits = max(4, int(np.ceil(np.log2(len(order) * 4 + 1))))
         self.table = np.full(1 << self.bits, -1, dtype=np.int32)
@@ -94,9 +97,9 @@ class MergeVocabulary:
             return ((np.asarray(keys).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Index into the pair arrays for each pair of symbols, -1 where they don't merge."""
+        """The index of each pair of symbols, -1 where they don't merge."""
         known = np.flatnonzero((left >= 0) & (right >= 0))
-        out = np.full(len(left), -1, dtype=np.int64)
+        out = np.full(len(left), -1, dtype=np.int32)
         keys = (left[known].astype(np.int64) << 32) | right[known]
         at = self._slot(keys)
         while len(known):
@@ -133,53 +136,46 @@ class MergeVocabulary:
 
     def _side_by_side(self, chunks: list[str], width: int) -> list[tuple[int, ...]]:
         n = len(chunks)
-        points = np.frombuffer("".join(x.ljust(width, "\0") for x in chunks).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, width)
-        size = np.fromiter(map(len, chunks), dtype=np.int64, count=n)
-        symbols = self.char_ids[points]  # -1: no piece
-        first = np.tile(np.arange(width, dtype=np.int16), (n, 1))  # a symbol's first character, for byte fallback
-        live = np.arange(n)
+        points = np.frombuffer("".join([x.ljust(width, "\0") for x in chunks]).encode("utf-32-le"), dtype=np.uint32).reshape(n, width)
+        length = np.fromiter(map(len, chunks), dtype=np.int64, count=n)
+        inside = np.arange(width)[None, :] < length[:, None]
+        sym = self.char_ids[points]
+        foreign = np.flatnonzero(((sym < 0) & inside).any(axis=1))
+        sym[~inside] = -1
+        agenda = self.priority[self.find(sym[:, :-1].ravel(), sym[:, 1:].ravel())].reshape(n, width - 1)
+        agenda[foreign] = -1
         out: list = [None] * n
-        sym, pos, length = symbols.copy(), first, size.copy()
-        found = self.find(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width - 1)
-        found[np.arange(width - 1)[None, :] >= (length - 1)[:, None]] = -1
-        score = np.where(found >= 0, self.pair_score[found], -np.inf)
+        live, places = np.arange(n), np.arange(width - 1)
         while len(live):
-            best = score.argmax(axis=1)
+            best = agenda.argmax(axis=1)
             rows = np.arange(len(live))
-            top = score[rows, best]
-            done = top == -np.inf
-            if done.any():
-                for r in np.flatnonzero(done).tolist():
-                    i = live[r]
-                    k = int(length[r])
-                    ids = sym[r, :k].tolist()
-                    if min(ids, default=0) < 0:
-                        text = chunks[i]
-                        ids = list(chain.from_iterable(self.fallback(text[int(pos[r, j])]) if x < 0 else (x,) for j, x in enumerate(ids)))
-                    out[i] = tuple(ids)
-                keep = ~done
-                live, sym, pos, length, found, score, best = live[keep], sym[keep], pos[keep], length[keep], found[keep], score[keep], best[keep]
-                if not len(live):
+            top = agenda[rows, best]
+            empty = top < 0
+            if empty.any():
+                ended = np.flatnonzero(empty)
+                for i, ids, k in zip(live[ended].tolist(), sym[ended].tolist(), length[ended].tolist(), strict=True):
+                    out[i] = tuple(ids[:k])
+                on = np.flatnonzero(~empty)
+                if not len(on):
                     break
+                most = int(length[on].max())  # the arrays narrow as chunks shorten
+                live, length, best, top = live[on], length[on], best[on], top[on]
+                sym, agenda, places = sym[on, :most], agenda[on, : most - 1], places[: most - 1]
                 rows = np.arange(len(live))
-            merged = self.pair_piece[found[rows, best]]
-            # the merged pair's right symbol goes: what follows moves one place to the left
-            shift = np.arange(sym.shape[1] - 1)[None, :] > best[:, None]
-            sym[:, :-1] = np.where(shift, sym[:, 1:], sym[:, :-1])
-            pos[:, :-1] = np.where(shift, pos[:, 1:], pos[:, :-1])
+            merged = self.pair_piece[self.find(sym[rows, best], sym[rows, best + 1])]
+            # the right symbol of the merged pair goes: what follows moves one place to the left
+            later = places[None, :] > best[:, None]
+            sym[:, :-1] = np.where(later, sym[:, 1:], sym[:, :-1])
+            sym[:, -1] = -1
             sym[rows, best] = merged
-            length = length - 1
-            pair_shift = shift[:, :-1] | (np.arange(found.shape[1] - 1)[None, :] == best[:, None])
-            found[:, :-1] = np.where(pair_shift, found[:, 1:], found[:, :-1])
-            score[:, :-1] = np.where(pair_shift, score[:, 1:], score[:, :-1])
-            found[:, -1], score[:, -1] = -1, -np.inf
+            length -= 1
+            np.copyto(agenda[:, :-1], agenda[:, 1:].copy(), where=later[:, 1:])
+            agenda[:, -1] = -1
             for at in (best - 1, best):
-                ok = np.flatnonzero((at >= 0) & (at < length - 1))
-                f = self.find(sym[ok, at[ok]], sym[ok, at[ok] + 1])
-                found[ok, at[ok]] = f
-                score[ok, at[ok]] = np.where(f >= 0, self.pair_score[f], -np.inf)
-                last = np.flatnonzero((at >= 0) & (at >= length - 1))
-                found[last, at[last]], score[last, at[last]] = -1, -np.inf
+                ok = np.flatnonzero((at >= 0) & (at < sym.shape[1] - 1))
+                agenda[ok, at[ok]] = self.priority[self.find(sym[ok, at[ok]], sym[ok, at[ok] + 1])]
+        for i in foreign.tolist():
+            out[i] = self._by_heap(chunks[i])
         return out
 
     def _by_heap(self, chunk: str) -> tuple[int, ...]:
@@ -223,12 +219,12 @@ class Codec:
     def __init__(self, model_path: str):
         self.vocabulary = MergeVocabulary(model_path)
         self.ids: dict[str, tuple[int, ...]] = {}
-        self.written: dict[str, str] = {}
+        self.numbers = [str(i) for i in range(self.vocabulary.library.get_piece_size())]
 
     def learn(self, chunks: set[str]) -> None:
         new = [x for x in chunks if x not in self.ids]
         if len(self.ids) + len(new) > CACHE_CHUNKS:
-            self.ids, self.written, new = {}, {}, list(chunks)
+            self.ids, new = {}, list(chunks)
         found = self.vocabulary.encode_chunks(new)
         expected = self.vocabulary.library.encode([x[1:] for x in new], num_threads=1)
         for x, ids, want in zip(new, found, expected, strict=True):
@@ -236,14 +232,17 @@ class Codec:
             if list(ids) != want and x != MARK:
                 raise AssertionError(f"chunk {x!r}: {ids} differs from the library's {want}")
             self.ids[x] = ids
-            self.written[x] = ",".join(map(str, ids))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
-        """Ids of each text, and the same written with commas."""
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         split = [chunks_of(x) if x else [] for x in texts]
         self.learn(set(chain.from_iterable(split)))
-        ids = [list(chain.from_iterable(map(self.ids.__getitem__, x))) for x in split]
-        return ids, [",".join(map(self.written.__getitem__, x)) for x in split]
+        return [list(chain.from_iterable(map(self.ids.__getitem__, x))) for x in split]
+
+    def written(self, ids: list[int]) -> str:
+        """The ids in decimal, joined by commas."""
+        numbers = self.numbers
+        return ",".join([numbers[i] for i in ids])
 
 
 _codecs: dict[str, Codec] = {}
@@ -278,15 +277,16 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
+        gc.disable()  # nothing here is cyclic, while passes over millions of remembered tuples cost a third of the time
         for batch in batches:
             for keys, texts in _groups(batch):
-                ids, written = c.encode(texts)
+                ids = c.encode(texts)
                 decoded = c.vocabulary.library.decode(ids, num_threads=1)
                 columns = [pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64())]
                 if with_ids:
                     columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 if with_digest:
-                    columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts_]) for texts_ in (written, decoded)]
+                    columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in side]) for side in (map(c.written, ids), decoded)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(work, schema)
