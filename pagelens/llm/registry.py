@@ -20,6 +20,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(_read(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +72,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
-OPERATORS: tuple[Query, ...] = (op2_sentencepiece, op4_toxicity, op5_quality_rules, op6_embedding_dedup, op7_language_id, op8_sharding, op9_packing)
+OPERATORS: tuple[Query, ...] = (op1_jaccard_join, op2_sentencepiece, op4_toxicity, op5_quality_rules, op6_embedding_dedup, op7_language_id, op8_sharding, op9_packing)
 
 
 def queries() -> dict[str, Query]:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that separate words: space and \x09-\x0D.
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -54,7 +55,7 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterat
     column = batch.column(batch.schema.get_field_index(text))
     if len(column) == 0:
         return
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(column):
         before = ends[at - 1] if at else 0
@@ -65,7 +66,7 @@ def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterat
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts as one uint8 array and their n+1 offsets in it; a null counts as empty."""
-    column = pa.compute.fill_null(column, "") if column.null_count else column
+    column = pc.fill_null(column, "") if column.null_count else column
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind = np.int64
     else:

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # at most sample_rows lists of at most n_terms small numbers
     table = texts.select("id", "t", "y").mapInArrow(kept_terms, "id long, y int, at array<int>").toArrow().sort_by("id").combine_chunks()
     lists = table.column("at").combine_chunks()
-    sizes = np.asarray(pa.compute.list_value_length(lists))
+    sizes = np.asarray(pc.list_value_length(lists))
     return FactorizationMachine.fit(terms, np.repeat(np.arange(len(sizes)), sizes), np.asarray(lists.flatten()), table.column("y").to_numpy().astype(float))
 
 
