@@ -138,6 +138,32 @@ def _hash_sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("id", "t").mapInArrow(work, "id long, hashes array<long>")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A written list of ids, sent to the tasks if it is short."""
+    return F.broadcast(ids) if ids.count() <= SEND_IDS else ids
+
+
+def _not_alone(entries: DataFrame) -> DataFrame:
+    """The rows whose key stands in another row too: after one shuffle, those with an equal neighbour in key order."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before = None, False  # the row that waits for its successor; whether its predecessor was equal
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if last is None else [last, batch])
+            keys = table.column(0).to_numpy()
+            same = keys[1:] == keys[:-1]
+            keep = np.r_[before, same]
+            keep[:-1] |= same
+            yield from table.slice(0, len(keys) - 1).filter(pa.array(keep[:-1])).to_batches()
+            last, before = table.slice(len(keys) - 1).combine_chunks().to_batches()[0], bool(keep[-1])
+        if before:
+            yield last
+
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(work, entries.schema)
+
+
 def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
     """Bounds on two sets that share the shingle at the places p1 and p2 of their orders."""
     need = F.ceil((n1 + n2) * percent / (100 + percent))
@@ -154,20 +180,20 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     prefixes = scratch.table(_prefixes(rows, k, percent, _repeated(rows, k, max_frequent)), "prefixes")
     known = prefixes.where("id is not null and n > 0")
-    classes = known.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    classes = scratch.table(classes, "classes")
-    reps = known.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    classes = scratch.table(known.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
+    copies = scratch.table(known.select("k1", "k2", "id").join(classes, ["k1", "k2"]).where("id != rep").select("id").distinct(), "copies")
+    reps = known.join(_sent(copies), "id", "left_anti")
 
     entries = reps.select(F.col("id").alias("rep"), "n", F.posexplode("keys").alias("pos", "key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     share = F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    cells = entries.join(shared, "key").groupBy("key", "rep").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.first("m").alias("m"))
-    cells = scratch.table(cells.withColumn("share", share), "cells")
+    cells = _not_alone(entries.select("key", "rep", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place")))
+    cells = cells.groupBy("key", "rep").agg(F.min("place").alias("place"))
+    cells = scratch.table(cells.select("key", "rep", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), share.alias("share")), "members")
+    sizes = cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    cells = scratch.table(cells.join(sizes, "key"), "cells")
 
     involved = cells.select(F.col("rep").alias("id")).distinct()
-    involved = scratch.table(involved, "involved")
-    sent = F.broadcast(involved) if involved.count() <= SEND_IDS else involved
-    sets = scratch.table(_hash_sets(rows.join(sent, "id", "left_semi"), k).groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = scratch.table(_hash_sets(rows.join(_sent(scratch.table(involved, "involved")), "id", "left_semi"), k).groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b, d, linked) of distinct pairs."""
