@@ -72,7 +72,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
-OPERATORS: tuple[Query, ...] = (op1_jaccard_join, op2_sentencepiece, op4_toxicity, op5_quality_rules, op6_embedding_dedup, op7_language_id, op8_sharding, op9_packing)
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"), digest_only=True)
+
+
+OPERATORS: tuple[Query, ...] = (op1_jaccard_join, op2_sentencepiece, op4_toxicity, op5_quality_rules, op6_embedding_dedup, op7_language_id, op8_sharding, op9_packing, op10_suffix_dedup)
 
 
 def queries() -> dict[str, Query]:
