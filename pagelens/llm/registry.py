@@ -34,6 +34,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False, with_digest=True)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.lm_scoring import score_documents
+
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", (remainder != 1).alias("train"))
+    return score_documents(docs, train_col="train").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagelens.llm.toxicity import fit, score
 
@@ -78,7 +86,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), digest_only=True)
 
 
-OPERATORS: tuple[Query, ...] = (op1_jaccard_join, op2_sentencepiece, op4_toxicity, op5_quality_rules, op6_embedding_dedup, op7_language_id, op8_sharding, op9_packing, op10_suffix_dedup)
+OPERATORS: tuple[Query, ...] = (op1_jaccard_join, op2_sentencepiece, op3_lm_scoring, op4_toxicity, op5_quality_rules, op6_embedding_dedup, op7_language_id, op8_sharding, op9_packing, op10_suffix_dedup)
 
 
 def queries() -> dict[str, Query]:
