@@ -255,8 +255,13 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, **how) -> DataFrame:
-    """The documents whose id is the smallest of their group; rows without id stay."""
-    id_col = how.get("id_col", "doc_id")
-    groups = jaccard_groups(docs, **how).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(groups, id_col, "left_anti")
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """One document of each group, that with the smallest id. Rows without id stay; of rows that share an id, one stays."""
+    scratch = Scratch(docs.sparkSession, "groups")
+    groups = scratch.table(jaccard_groups(docs, id_col=id_col, **how).select(id_col, "component_id"), "groups")
+    others = scratch.table(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "others")
+    left = docs.join(_sent(others), id_col, "left_anti").select(*docs.columns)
+    again = scratch.table(groups.groupBy(id_col).count().where("count > 1").where(F.col(id_col).isNotNull()).select(id_col), "again")
+    if not again.limit(1).count():
+        return left
+    return left.join(_sent(again), id_col, "left_anti").select(*docs.columns).unionByName(left.join(_sent(again), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))

@@ -29,9 +29,19 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
+#: Rejected texts up to this number are sent to the tasks; more are joined by shuffle.
+SEND_KEYS = 1_000_000
+
+
+def _keys(text: Column, host: Column) -> tuple[Column, Column, Column]:
+    """Two hashes of the text and one of the host, which tell a missing host from an empty one."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text), F.xxhash64(F.coalesce(host, F.lit("")), host.isNull())
+
+
 def _measures(text: Column, host: Column) -> list[Column]:
     one_space = F.translate(text, SPACES, " " * len(SPACES))
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), F.xxhash64(F.coalesce(host, F.lit("")), host.isNull()).alias("host"), F.array_remove(F.split(one_space, " "), "").alias("words"), F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("lines"), text.alias("text")]
+    k1, k2, k3 = _keys(text, host)
+    return [k1.alias("k1"), k2.alias("k2"), k3.alias("host"), F.array_remove(F.split(one_space, " "), "").alias("words"), F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("lines"), text.alias("text")]
 
 
 def _plain(line: Column) -> Column:
@@ -48,7 +58,22 @@ def _line_rows() -> Column:
     return F.transform(zipped, lambda z: F.struct(F.xxhash64(z["x"]).alias("line"), (F.length(z["x"]) - F.length(F.replace(z["x"], F.lit(" "))) + 1).alias("words"), F.xxhash64(z["a"], z["b"]).alias("beside")))
 
 
-def quality_rules(
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """One row of measures and a verdict for each row of docs; see _judged for the parameters."""
+    return _judged(docs, id_col=id_col, **how).drop("k1", "k2", "host")
+
+
+def filter_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **how) -> DataFrame:
+    """The rows of docs that are kept. Verdicts depend on text and host, so rows are matched by their hashes."""
+    judged = _judged(docs, id_col=id_col, text_col=text_col, host_col=host_col, **how)
+    rejected = Scratch(docs.sparkSession, "rejected").table(judged.where("not kept").select("k1", "k2", "host").distinct(), "rejected")
+    host = F.col(host_col).cast("string") if host_col in docs.columns else F.lit(None).cast("string")
+    keys = dict(zip(("__k1", "__k2", "__host"), _keys(F.coalesce(F.col(text_col), F.lit("")), host), strict=True))
+    rejected = rejected.toDF(*keys)
+    return docs.withColumns(keys).join(F.broadcast(rejected) if rejected.count() <= SEND_KEYS else rejected, list(keys), "left_anti").select(*docs.columns)
+
+
+def _judged(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -121,4 +146,4 @@ def quality_rules(
     gone = F.coalesce("n_line_words_removed", F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * repeat > max_repeat_percent * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - gone) < keep_word_percent * F.col("n_words")
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("n_line_words_removed"))
+    return out.select("k1", "k2", "host", F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), gone.alias("n_line_words_removed"))
