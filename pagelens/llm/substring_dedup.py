@@ -4,9 +4,9 @@ Every byte is removed that a string of ``length`` bytes covers which also starts
 other place, in the same text or another. The suffix arrays come from induced sorting
 (see ``suffix_array``) over shards; what has to meet in a shard is found first:
 
-  anchors   in every window of ``length`` bytes the smallest hash of ``gram`` bytes is an
-            anchor, the leftmost of equals. Equal strings choose the same anchor, so the
-            places of a repeated string share an anchor's hash and offset.
+  anchors   in every window of ``length`` bytes one place with the smallest hash of
+            ``gram`` bytes is an anchor. Equal strings have the same smallest hash, so the
+            places of a repeated string hold anchors of one hash.
   contexts  an anchor's context is all that a string of ``length`` bytes around it can
             cover. Anchors whose hash occurs once are dropped. Equal contexts are covered
             whole, and one of them stands for all in what follows.
@@ -22,7 +22,7 @@ Defined cases
   null text      counts as empty: no bytes, the checksum of nothing
   null id        like any other; texts are told apart by id and text
   repeated rows  are copies of each other: removed whole from ``length`` bytes on
-  ties           the leftmost anchor; removal itself has no ties
+  ties           of equal smallest hashes in a window any may be the anchor; removal itself has no ties
   empty table    an empty result
   other columns  ignored, or carried along by remove_repeats
   long texts     whole; a shard takes 64 KiB of a long text at a time
@@ -85,12 +85,15 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         return (none,) * 4 + (none.view(np.uint64),) * 2
     rolling, width = _Rolling(data), length - gram + 1
     h = rolling.grams(gram)
-    low = np.uint64((1 << max(1, int(len(h)).bit_length())) - 1)
-    least = _sliding_minimum((h & ~low) | np.arange(len(h), dtype=np.uint64), width)
+    bits = max(1, int(len(h)).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    # the smallest hash, and among equals (runs of one phrase) any one, by a permutation of the places
+    place = np.arange(len(h), dtype=np.uint64) * _BASE & low
+    least = _sliding_minimum((h & ~low) | place, width)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     whole = np.arange(len(least)) + length <= ends[: len(least)]
     chosen = np.zeros(len(h), dtype=bool)
-    chosen[(least[whole] & low).astype(np.int64)] = True
+    chosen[((least[whole] & low) * _BASE_INV & low).astype(np.int64)] = True
     at = np.flatnonzero(chosen)
     row = np.searchsorted(offsets, at, side="right") - 1
     start, end = np.maximum(at - (width - 1), offsets[row]), np.minimum(at + length, offsets[row + 1])
@@ -125,7 +128,7 @@ def _shard_spans(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"doc": np.array(doc, dtype=np.int64), "start": np.array(start, dtype=np.int64), "end": np.array(end, dtype=np.int64)})
 
 
-def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int = 64, hot_contexts: int = 4096, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int = 64, hot_contexts: int = 16_384, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc, spans) for the rows (doc, t) whose text holds a repeated string; spans may overlap."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
