@@ -79,10 +79,10 @@ def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, place, start and end of the context in its text, hash of the anchor, hash of the context)."""
+    """(row, place, start and end of the context in its text, hash of the anchor, hash of the context, places of that hash in the text, 2 at most)."""
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return (none,) * 4 + (none.view(np.uint64),) * 2
+        return (none,) * 4 + (none.view(np.uint64),) * 2 + (none,)
     rolling, width = _Rolling(data), length - gram + 1
     h = rolling.grams(gram)
     bits = max(1, int(len(h)).bit_length())
@@ -98,7 +98,21 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     row = np.searchsorted(offsets, at, side="right") - 1
     start, end = np.maximum(at - (width - 1), offsets[row]), np.minimum(at + length, offsets[row + 1])
     context = mix64(rolling.of(start, end) ^ mix64(((at - start) << 32 | (end - start)).astype(np.uint64)))
-    return row, at - offsets[row], start - offsets[row], end - offsets[row], h[at], context
+    # overlapping equal strings may share one anchor: then its hash stands at another place of the text too
+    held = np.zeros(1 << 20, dtype=bool)
+    held[(h[at] >> np.uint64(44)).astype(np.int64)] = True
+    echo = np.flatnonzero(held[(h >> np.uint64(44)).astype(np.int64)])
+    echo = echo[np.isin(h[echo], h[at])]
+    pairs = np.stack([np.searchsorted(offsets, echo, side="right") - 1, h[echo].view(np.int64)], axis=1)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    twice = np.zeros(len(pairs), dtype=bool)
+    same = (pairs[1:] == pairs[:-1]).all(axis=1)
+    twice[1:] |= same
+    twice[:-1] |= same
+    chosen_twice = np.zeros(len(h), dtype=bool)
+    chosen_twice[echo[order[twice]]] = True
+    return row, at - offsets[row], start - offsets[row], end - offsets[row], h[at], context, 1 + chosen_twice[at].astype(np.int64)
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -134,16 +148,16 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                row, at, start, end, h, context = _anchors(*utf8_buffer(part.column(1)), length, gram)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at), pa.array(start), pa.array(end), pa.array(h.view(np.int64)), pa.array(context.view(np.int64))], names=["doc", "at", "start", "end", "h", "context"])
+                row, at, start, end, h, context, seen = _anchors(*utf8_buffer(part.column(1)), length, gram)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at), pa.array(start), pa.array(end), pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(seen)], names=["doc", "at", "start", "end", "h", "context", "seen"])
 
-    found = scratch.table(texts.select("doc", "t").mapInArrow(anchors, "doc long, at long, start long, end long, h long, context long"), "anchors")
-    repeated = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    found = scratch.table(texts.select("doc", "t").mapInArrow(anchors, "doc long, at long, start long, end long, h long, context long, seen long"), "anchors")
+    repeated = found.groupBy("h").agg(F.sum("seen").alias("n")).where("n > 1").select("h")
     found = found.join(repeated, "h")
-    contexts = scratch.table(found.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "start", "end")).alias("one")), "contexts")
+    contexts = scratch.table(found.groupBy("h", "context").agg(F.count("*").alias("n"), F.max("seen").alias("seen"), F.min(F.struct("doc", "at", "start", "end")).alias("one")), "contexts")
     equal = found.join(contexts.where("n > 1").select("h", "context"), ["h", "context"], "left_semi").select("doc", F.array(F.struct("start", "end")).alias("spans"))
 
-    groups = contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("one").alias("first")).where("m > 1")
+    groups = contexts.groupBy("h").agg(F.count("*").alias("m"), F.max("seen").alias("seen"), F.min("one").alias("first")).where("m > 1 or seen > 1")
     groups = groups.select("h", "m", F.when(F.col("m") <= FAMILY, F.xxhash64("first.doc", F.floor(F.col("first.start") / 65536))).otherwise(F.xxhash64("h")).alias("key"))
     members = scratch.table(contexts.join(groups, "h").select("h", "m", "key", "one.*"), "members")
     total = members.where(F.col("m") <= hot_contexts).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
@@ -184,9 +198,11 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int
             for batch in batches:
                 for d, text, around in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                     rolling = _Rolling(np.frombuffer(text.as_buffer(), dtype=np.uint8))
-                    for h, at, start, end in zip(*(around.values.field(i).to_numpy() for i in range(4)), strict=True):
-                        a = np.arange(start, end - length + 1)
-                        a = a[(a <= at) & (a + length >= at + gram)]
+                    table = np.stack([around.values.field(i).to_numpy() for i in range(4)], axis=1)
+                    for h in np.unique(table[:, 0]).tolist():
+                        # a string's start counts once, however many anchors of this hash it holds
+                        starts = [np.arange(max(start, at + gram - length), min(at, end - length) + 1) for _, at, start, end in table[table[:, 0] == h].tolist()]
+                        a = np.unique(np.concatenate(starts))
                         n = len(a)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d.as_py(), np.int64)), pa.array(np.full(n, h, np.int64)), pa.array(a.astype(np.int64)), pa.array(rolling.of(a, a + length).view(np.int64))], names=["doc", "h", "start", "string"])
 
