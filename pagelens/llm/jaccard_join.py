@@ -192,15 +192,19 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sizes = cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     cells = scratch.table(cells.join(sizes, "key"), "cells")
 
-    involved = cells.select(F.col("rep").alias("id")).distinct()
-    sets = scratch.table(_hash_sets(rows.join(_sent(scratch.table(involved, "involved")), "id", "left_semi"), k).groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
-
     def compared(pairs: DataFrame) -> DataFrame:
-        """(a, b, d, linked) of distinct pairs."""
+        """(a, b, d, linked) of distinct pairs. Only the texts in them are cut into shingles again."""
+        pairs = scratch.table(pairs, "pairs")
+        ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        sets = scratch.table(_hash_sets(rows.join(_sent(ids), "id", "left_semi"), k), "sets")
         a = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
         b = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("i"), (F.size("ha") + F.size("hb")).alias("s"))
-        return scratch.table(both.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("d"), (100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).alias("linked")), "compared")
+        distance, linked = 1 - F.col("i") / (F.col("s") - F.col("i")), 100 * F.col("i") >= percent * (F.col("s") - F.col("i"))
+        # an id that several rows share gives several comparisons
+        out = scratch.table(both.select("a", "b", distance.alias("d"), linked.alias("linked")).groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_or("linked").alias("linked")), "compared")
+        scratch.drop(sets, ids, pairs)
+        return out
 
     # the regions of one pivot in each cell
     pivots = cells.groupBy("key").agg(F.min(F.struct("share", "rep", "n", "pos")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
