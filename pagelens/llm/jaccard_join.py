@@ -81,7 +81,7 @@ def _repeated(rows: DataFrame, k: int, max_frequent: int) -> tuple[np.ndarray, n
         if held:
             yield found()
 
-    counts = rows.select("id", "t").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 8")
+    counts = rows.select("id", "t").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4")
     level = F.floor(F.log2("n")).cast("int")
     scratch = Scratch(rows.sparkSession, "frequent")
     counts = scratch.table(counts.select("h", level.alias("level")), "counts")
@@ -171,7 +171,7 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> C
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= need)
 
 
-def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, max_frequent: int = 100_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, max_frequent: int = 400_000) -> DataFrame:
     """One row per document: its id, n_shingles and component_id.
 
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles.
@@ -216,8 +216,10 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     radius = 1 - percent / 100
     distances = known_pairs.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "d")
-    seen = cells.join(pivots.select("key", "pivot"), "key").join(distances, ["pivot", "rep"], "left")
-    seen = scratch.table(seen.withColumn("d", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d"))), "seen")
+    # a pivot has met all members of its cell; cells of two are done
+    seen = cells.where("m > 2").join(pivots.select("key", "pivot"), "key").where("rep != pivot")
+    seen = scratch.table(seen.join(distances, ["pivot", "rep"], "left"), "seen")
+    scratch.drop(cells)
     factor = 1
     while True:
         factor *= 8

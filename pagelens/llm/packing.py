@@ -5,7 +5,8 @@ class k always fit one bin. Each worker keeps one open bin for each class and cl
 when it holds k documents. What the bin lacks to the capacity, at most capacity/(k+1),
 is topped up with a slice of the next document that is cut anyway (one longer than the
 capacity) or, when many bins wait, of any next document. Workers share nothing: a
-partition's sequences hold its own documents only, and at most its last one is padded.
+partition's sequences hold its own documents only; at its end, the bins still open or
+waiting are cut up to fill each other, so that one sequence of a partition is padded.
 
 Defined cases
   null text      counts as empty: the document is its end id alone
@@ -70,74 +71,72 @@ def byte_tokenizer(folder_path) -> ByteTokenizer:
 
 
 class _Packer:
-    """The open bins of one worker. add() and finish() append rows to out."""
+    """The open bins of one worker. add() and finish() append rows to out.
+
+    A piece is (document, its ids, its first place in the document, the document's tokens).
+    """
 
     def __init__(self, capacity: int, worker: int):
         self.capacity, self.next_id = capacity, worker << 36
         self.open: dict[int, list] = {}
-        self.waiting: deque = deque()  # [sequence id, tokens it holds]
+        self.waiting: deque = deque()  # [tokens held, pieces] of bins that have their count but are not full
         self.out: list[tuple] = []
 
-    def new_id(self) -> int:
+    def emit(self, pieces: list) -> None:
+        sequence, offset = self.next_id, 0
         self.next_id += 1
-        return self.next_id - 1
-
-    def put(self, doc, ids: np.ndarray, start: int, length: int, total: int, sequence: int, offset: int) -> None:
-        self.out.append((doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), total, sequence, offset))
-
-    def cut(self, doc, ids: np.ndarray, start: int, end: int, total: int) -> int:
-        """Slices of ids[start:end] for the waiting bins; the new start."""
-        while start < end and self.waiting:
-            sequence, holds = self.waiting[0]
-            length = min(self.capacity - holds, end - start)
-            self.put(doc, ids, start, length, total, sequence, holds)
-            start += length
-            if holds + length == self.capacity:
-                self.waiting.popleft()
-            else:
-                self.waiting[0][1] = holds + length
-        return start
+        for doc, ids, start, total in pieces:
+            self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset))
+            offset += len(ids)
+
+    def top_up(self, piece: tuple) -> tuple | None:
+        """Fills the first waiting bin from the piece; what is left of it, or None."""
+        doc, ids, start, total = piece
+        bin_ = self.waiting[0]
+        length = min(self.capacity - bin_[0], len(ids))
+        bin_[0] += length
+        bin_[1].append((doc, ids[:length], start, total))
+        if bin_[0] == self.capacity:
+            self.emit(self.waiting.popleft()[1])
+        return (doc, ids[length:], start + length, total) if length < len(ids) else None
 
     def add(self, doc, ids: np.ndarray) -> None:
-        start, total = 0, len(ids)
-        if total > self.capacity or len(self.waiting) >= MAX_WAITING:
-            start = self.cut(doc, ids, start, total, total)
-        while total - start >= self.capacity:
-            self.put(doc, ids, start, self.capacity, total, self.new_id(), 0)
-            start += self.capacity
-        if start == total:
+        piece: tuple | None = (doc, ids, 0, len(ids))
+        if len(ids) > self.capacity or len(self.waiting) >= MAX_WAITING:
+            while piece and self.waiting:
+                piece = self.top_up(piece)
+        while piece and len(piece[1]) >= self.capacity:
+            _, left, start, total = piece
+            self.emit([(doc, left[: self.capacity], start, total)])
+            piece = (doc, left[self.capacity :], start + self.capacity, total) if len(left) > self.capacity else None
+        if not piece:
             return
-        k = self.capacity // (total - start)
+        k = self.capacity // len(piece[1])
         bin_ = self.open.setdefault(k, [])
-        bin_.append((doc, ids[start:], start, total))
+        bin_.append(piece)
         if len(bin_) == k:
-            self.close(self.open.pop(k))
-
-    def close(self, pieces: list) -> None:
-        sequence, offset = self.new_id(), 0
-        for doc, ids, start, total in pieces:
-            self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset))
-            offset += len(ids)
-        if offset < self.capacity:
-            self.waiting.append([sequence, offset])
+            pieces = self.open.pop(k)
+            held = sum(len(x[1]) for x in pieces)
+            if held == self.capacity:
+                self.emit(pieces)
+            else:
+                self.waiting.append([held, pieces])
 
     def finish(self) -> None:
-        """Bins short of their count are emptied into the waiting bins and then into full sequences."""
-        for k in sorted(self.open):
-            for doc, ids, first, total in self.open[k]:
-                start = 0
-                while start < len(ids):
-                    if not self.waiting:
-                        self.waiting.append([self.new_id(), 0])
-                    sequence, holds = self.waiting[0]
-                    length = min(self.capacity - holds, len(ids) - start)
-                    self.out.append((doc, first + start, length, zlib.crc32(ids[start : start + length].tobytes()), total, sequence, holds))
-                    start += length
-                    if holds + length == self.capacity:
-                        self.waiting.popleft()
-                    else:
-                        self.waiting[0][1] = holds + length
+        """Bins short of their count, and then the emptiest waiting ones, are cut up to fill the others."""
+        loose = [x for k in sorted(self.open) for x in self.open[k]]
         self.open = {}
+        self.waiting = deque(sorted(self.waiting, key=lambda b: -b[0]))
+        while loose or len(self.waiting) > 1:
+            if not loose:
+                loose = self.waiting.pop()[1]
+            if not self.waiting:
+                self.waiting.append([0, []])
+            left = self.top_up(loose.pop())
+            if left:
+                loose.append(left)
+        if self.waiting:
+            self.emit(self.waiting.pop()[1])
 
     def rows(self) -> pa.RecordBatch:
         out, self.out = self.out, []

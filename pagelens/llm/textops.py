@@ -50,7 +50,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that a slice holds about max_bytes of text, one row at least."""
     column = batch.column(batch.schema.get_field_index(text))
     if len(column) == 0:
