@@ -49,7 +49,7 @@ PART_BYTES = 32 << 20
 #: A list of ids up to this long is sent to the tasks; a longer one is joined by shuffle.
 SEND_IDS = 2_000_000
 #: Keys of a set that are compared to find the first cell of a pair; pairs without one among them are deduplicated later.
-FIRST_KEYS = 64
+FIRST_KEYS = 16
 
 
 def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelens.llm.sql import JACCARD, QUALITY
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -94,4 +96,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL form: tokenizers, models, hashing with tests against brute force."""
+    return {"op1_jaccard_join": JACCARD, "op5_quality_rules": QUALITY}

@@ -143,7 +143,7 @@ def _shard_spans(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int = 64, hot_contexts: int = 16_384, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc, spans) for the rows (doc, t) whose text holds a repeated string; spans may overlap."""
+    """(doc, spans) for the rows (doc, t) whose text holds a repeated string; spans are in order and apart."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +210,16 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int
         held = scratch.table(held, "strings")
         twice = held.groupBy("h", "string").agg(F.count("*").alias("n")).where("n > 1").select("h", "string")
         every = every.unionByName(held.join(twice, ["h", "string"], "left_semi").select("doc", F.array(F.struct("start", (F.col("start") + length).alias("end"))).alias("spans")))
-    return scratch.table(every.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    found = every.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [_merged(np.stack([x.values.field(i).to_numpy() for i in range(2)], axis=1)) for x in batch.column(1)]
+            flat = np.concatenate(lists) if lists else np.zeros((0, 2), dtype=np.int64)
+            spans = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)), spans)], names=["doc", "spans"])
+
+    return scratch.table(found.mapInArrow(merged, "doc long, spans array<struct<start:long,end:long>>"), "spans")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, digest_only: bool = False, **how) -> DataFrame:
