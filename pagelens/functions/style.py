@@ -28,14 +28,15 @@ def parse_rgb(value: Column) -> Column:
 
 
 def numeric_similarity(a: Column, b: Column, floor: float = 1.0) -> Column:
-    return F.greatest(F.lit(0.0), 1 - F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(floor)))
+    """1 less the difference relative to the larger value, floor at least; null if either is."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(floor))))
 
 
 def colour_similarity(a: Column, b: Column) -> Column:
-    """Nine tenths of the RGB distance, one tenth of the alpha distance, as similarities. a, b: from parse_rgb."""
+    """Nine tenths of the RGB distance, one tenth of the alpha distance, as similarities; null if either is. a, b: from parse_rgb."""
     distance = F.sqrt(reduce(lambda x, y: x + y, [(a[i] - b[i]) ** 2 for i in range(3)]))
     rgb = F.greatest(F.lit(0.0), 1 - distance / F.sqrt(F.lit(3.0 * 255 * 255)))
-    return 0.9 * rgb + 0.1 * F.greatest(F.lit(0.0), 1 - F.abs(a[3] - b[3]))
+    return F.when(a.isNotNull() & b.isNotNull(), 0.9 * rgb + 0.1 * F.greatest(F.lit(0.0), 1 - F.abs(a[3] - b[3])))
 
 
 def _lab(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
