@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import geometry, means, style, text
 from pagelens.functions.geometry import Box
 from pagelens.operators import coverage as cov
-from pagelens.operators import diagnostics, dom, embedding, judge, manifest, matching, motion, reward, text_similarity
+from pagelens.operators import blocks, diagnostics, dom, embedding, judge, localize, manifest, matching, motion, replay, reward, sites, text_similarity
 from pagelens.sources.sinks import long_metrics, rounded
 from pagelens.sources.tables import json_number
 from pagelens.streaming import events as streaming
@@ -490,3 +490,80 @@ def numbered_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     place = F.row_number().over(Window.partitionBy("n_name").orderBy("c_custkey"))
     return rows.select("c_custkey", F.col("n_name").alias("nation"), F.lpad(place.cast("string"), 4, "0").alias("number"))
+
+
+# --- replay, regions, blocks, sites -------------------------------------------------------------------------
+
+
+@query("""with a as (select event_id, user_id, event_type, value - 50 ref_scroll, value * 0.2 cand_scroll, case when event_id % 3 = 0 then 't' || (event_id % 4)::varchar end ref_active, case when event_id % 5 <> 0 then 't' || (event_id % 2)::varchar end cand_active from events),
+ p as (select *, case when event_type = 'view' then case when abs(ref_scroll) <= 8 or abs(cand_scroll) > 8 then 1.0 else 0.0 end
+  when event_type = 'click' then case when ref_active is not null then (ref_active is not distinct from cand_active)::int else (cand_active is not null)::int end else 1.0 end::double post_state from a)
+ select event_id, post_state, round(post_state * (event_id % 4) / 4.0, 6)::double contribution from p""")
+def action_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    kind = F.col("event_type")
+    none = F.lit(None).cast("array<string>")
+    rows = read(spark, sf_dir, "events").select(
+        "event_id", F.when(kind == "view", "scroll").when(kind == "click", "click").otherwise("wait").alias("type"), (F.col("value") - 50).alias("ref_scroll"), (F.col("value") * 0.2).alias("cand_scroll"),
+        F.when(e % 3 == 0, F.concat(F.lit("t"), e % 4)).alias("ref_active"), F.when(e % 5 != 0, F.concat(F.lit("t"), e % 2)).alias("cand_active"),
+        none.alias("ref_texts_before"), none.alias("ref_texts_after"), F.lit("").alias("cand_text"), ((e % 4) / 4).alias("confidence"), F.lit("completed").alias("status"),
+    )
+    return replay.contributions(replay.post_state(rows)).select("event_id", "post_state", rounded(F.col("contribution")).alias("contribution"))
+
+
+@query("""with l as (select l_orderkey k, l_linenumber n, (l_partkey % 900)::double x, (l_suppkey % 700)::double y, 20.0 + l_partkey % 300 w, 20.0 + l_suppkey % 200 h, case when l_linenumber = 1 then 'html' else 'div' end tag
+  from (select l_orderkey, l_linenumber, min(l_partkey) l_partkey, min(l_suppkey) l_suppkey from lineitem group by 1, 2)),
+ m as (select a.k, a.n cluster, b.n node, b.tag, greatest(0, least(a.x + a.w / 2, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h / 2, b.y + b.h) - greatest(a.y, b.y)) s, a.w * a.h / 4 ca, b.w * b.h ea from l a join l b on a.k = b.k where a.n % 3 = 0),
+ r as (select *, 0.55 * s / ca + 0.30 * s / (ca + ea - s) + 0.15 * s / ea score, min((tag = 'html')::int) over (partition by k, cluster) roots from m where s > 0),
+ k as (select *, row_number() over (partition by k, cluster order by score desc, node) as rn from r where tag <> 'html' or roots = 1)
+ select k, cluster, node, round(score, 6)::double score from k where rn <= 5""")
+def dom_localization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    w, h = (20.0 + F.col("l_partkey") % 300), (20.0 + F.col("l_suppkey") % 200)
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    lines = rows.select(F.col("l_orderkey").alias("k"), n.alias("n"), (F.col("l_partkey") % 900).cast("double").alias("x"), (F.col("l_suppkey") % 700).cast("double").alias("y"), w.alias("w"), h.alias("h"), F.when(n == 1, "html").otherwise("div").alias("tag"))
+    clusters = lines.where("n % 3 = 0").select("k", F.col("n").alias("cluster"), F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("w") / 2).alias("cw"), (F.col("h") / 2).alias("ch"))
+    elements = lines.select("k", F.col("n").alias("node"), "tag", *[F.col(c).alias(f"e{c}") for c in "xywh"])
+    return localize.localize(clusters, elements, "k").select("k", "cluster", "node", rounded(F.col("score")).alias("score"))
+
+
+@query("""with g as (select l_orderkey % 50 g, l_linenumber x, l_suppkey % 3 y, list(l_returnflag || l_linestatus order by l_orderkey, l_partkey, l_shipdate) t, min(l_orderkey) pos from lineitem group by 1, 2, 3)
+ select g, x, y::bigint y, pos, len(t)::bigint parts, array_to_string(t, ' ') "text" from g""")
+def blocks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("g"), F.col("l_linenumber").alias("x"), (F.col("l_suppkey") % 3).alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"), F.struct("l_orderkey", "l_partkey", "l_shipdate").alias("pos"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.array(F.lit(0.0)).alias("colour"))
+    out = blocks.merge_by_box(lines, ["g"])
+    return out.select("g", "x", "y", F.col("pos.l_orderkey").alias("pos"), long(F.size(F.split("text", " "))).alias("parts"), "text")
+
+
+@query(f"""with {_BOXES_SQL} select l_orderkey, round(case when sum(aw * ah) > 0 then sum(iou * aw * ah) / sum(aw * ah) else 0 end + 1e-9, 6)::double iou,
+ round(case when sum(aw * ah) > 0 then sum((iou + area + centre) / 3 * aw * ah) / sum(aw * ah) else 0 end + 1e-9, 6)::double score from m group by 1""")
+def block_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _boxes(spark, sf_dir).select("l_orderkey", *[F.col(f"a{c}").alias(f"r{c}") for c in "xywh"], *[F.col(f"b{c}").alias(f"c{c}") for c in "xywh"], F.lit(1.0).alias("covered"))
+    return blocks.box_geometry(pairs, ["l_orderkey"]).select("l_orderkey", rounded(F.col("iou") + 1e-9).alias("iou"), rounded(F.col("score") + 1e-9).alias("score"))  # off the halves
+
+
+@query("""with recursive links as (select n_regionkey site, n_nationkey src, (n_nationkey * 7 + 3) % 25 dst from nation),
+ r as (select n_regionkey site, n_nationkey path, 0 steps from nation where n_nationkey % 5 = 0 union select r.site, l.dst, r.steps + 1 from r join links l on l.site = r.site and l.src = r.path where r.steps < 24)
+ select site, path, min(steps) steps from r group by 1, 2""")
+def reachable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation")
+    links = nation.select(F.col("n_regionkey").alias("site"), F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst"))
+    return sites.reachable(nation.where("n_nationkey % 5 = 0").select(F.col("n_regionkey").alias("site"), F.col("n_nationkey").alias("path")), links)
+
+
+@query(r"""select page_id, case when p like '/%' then 'absolute' when list_contains(string_split(p, '/'), '..') then 'parent_part' when regexp_extract(p, '\.([^./]+)$', 1) not in ('html', 'css', 'js', 'json', 'svg', 'txt', 'md') then 'unsupported_type' end problem
+ from (select page_id, case page_id % 5 when 0 then regexp_replace(url, '^[a-z]+://[^/]*', '') when 1 then '../' || page_id::varchar || '.html' when 2 then page_id::varchar || '.exe' else 'p/' || page_id::varchar || '.html' end p from pages)""")
+def path_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    path = F.when(i % 5 == 0, F.regexp_replace("url", "^[a-z]+://[^/]*", "")).when(i % 5 == 1, F.concat(F.lit("../"), i, F.lit(".html"))).when(i % 5 == 2, F.concat(i, F.lit(".exe"))).otherwise(F.concat(F.lit("p/"), i, F.lit(".html")))
+    return read(spark, sf_dir, "pages").select("page_id", sites.path_problem(path).alias("problem"))
+
+
+@query()
+def semantic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").withColumn("site", F.col("page_id") % 5)
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "")
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    captures = pages.where("page_id % 2 = 0").select(F.col("page_id").alias("capture"), "site", path.alias("path"), F.lit(None).cast("string").alias("page"), title.alias("intent"))
+    routes = pages.where("page_id % 2 = 1").select("site", path.alias("path"), title.alias("title"), F.left("html", F.lit(3000)).alias("body"))
+    return sites.semantic_routes(captures, routes)
