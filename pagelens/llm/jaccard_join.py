@@ -48,6 +48,8 @@ from pagelens.llm.textops import mix64, shingle_hashes, slices, word_hashes
 PART_BYTES = 32 << 20
 #: A list of ids up to this long is sent to the tasks; a longer one is joined by shuffle.
 SEND_IDS = 2_000_000
+#: Comparisons of bounds, before any text, up to which no further round of pivots is worth its jobs.
+LAST_PAIRS = 20_000_000
 #: Keys of a set that are compared to find the first cell of a pair; pairs without one among them are deduplicated later.
 FIRST_KEYS = 16
 
@@ -235,7 +237,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         left = open_cells.agg(F.count("*").alias("n"), F.coalesce(F.sum("outside"), F.lit(0)).alias("pairs"), F.coalesce(F.max("m"), F.lit(0)).alias("m")).first()
         if not left["n"]:
             break
-        last = factor >= left["m"] or left["pairs"] <= 5_000_000
+        last = factor >= left["m"] or left["pairs"] <= LAST_PAIRS
         x, y = open_cells.alias("x"), open_cells.alias("y")
         pivot = outside if last else F.col("share") * F.col("m") < factor
         once = F.array_min(F.array_intersect("x.keys", "y.keys"))
