@@ -14,7 +14,8 @@ enough must share. Cells that hold one set are dropped. Within the cells:
   recursion  cells whose members are not one component yet go on with eight times as
              many pivots, and at last with every member outside the first region
 
-Every pair that the prefix, size and window bounds do not exclude is either compared
+Every pair that the bounds on prefix, size, window and sketch (a bit vector whose distance
+is never more than the number of elements in one set alone) do not exclude is either compared
 exactly or already in one component, so the components are exact. Distances are computed
 once for a pair. A set's copies are one class.
 
@@ -34,6 +35,7 @@ Defined cases
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +52,9 @@ PART_BYTES = 32 << 20
 SEND_IDS = 2_000_000
 #: Comparisons of bounds, before any text, up to which no further round of pivots is worth its jobs.
 LAST_PAIRS = 20_000_000
-#: Keys of a set that are compared to find the first cell of a pair; pairs without one among them are deduplicated later.
-FIRST_KEYS = 16
+#: Words of 64 bits in a set's sketch.
+SKETCH = 16
+SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
 
 
 def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +104,7 @@ def _repeated(rows: DataFrame, k: int, max_frequent: int) -> tuple[np.ndarray, n
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, k1, k2, keys): set size, two fingerprints and the ordered prefix of each row's set."""
+    """(id, n, k1, k2, keys, sketch): size, two fingerprints, the ordered prefix and a parity sketch of each row's set."""
     known, level = frequent
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +127,15 @@ def _prefixes(rows: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray,
                     plain = own[r == 0]  # ascending already
                     keys.append(plain[:m] if len(plain) >= m else own[np.argsort(r, kind="stable")][:m])
                 flat = np.concatenate(keys) if keys else hashes
+                # bit b of a sketch: whether an odd number of the set's shingles fall in class b
+                place = np.repeat(np.arange(len(n)), n) * (64 * SKETCH) + (mix64(hashes) % np.uint64(64 * SKETCH)).astype(np.int64)
+                bits = (np.bincount(place, minlength=len(n) * 64 * SKETCH) & 1).astype(np.uint8).reshape(len(n), -1)
+                sketch = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), lists], names=["id", "n", "k1", "k2", "keys"])
+                words = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), lists, *words], names=["id", "n", "k1", "k2", "keys", *SKETCH_COLUMNS])
 
-    return rows.select("id", "t").mapInArrow(work, "id long, n long, k1 long, k2 long, keys array<long>")
+    return rows.select("id", "t").mapInArrow(work, "id long, n long, k1 long, k2 long, keys array<long>" + "".join(f", {c} long" for c in SKETCH_COLUMNS))
 
 
 def _hash_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -173,6 +181,15 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> C
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= need)
 
 
+def _near_enough(x: str, y: str, percent: int) -> Column:
+    """Whether two sketches allow their sets to link. Each differing bit stands for an element of one set alone.
+
+    Ids with several texts have no sketch and pass.
+    """
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH_COLUMNS])
+    return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")), F.lit(True))
+
+
 def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, max_frequent: int = 400_000) -> DataFrame:
     """One row per document: its id, n_shingles and component_id.
 
@@ -208,11 +225,16 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         scratch.drop(sets, ids, pairs)
         return out
 
+    one = F.min("k1") == F.max("k1")
+    sketches = known.groupBy("id").agg(F.first("n").alias("n"), *[F.when(one, F.first(c)).alias(c) for c in SKETCH_COLUMNS])
+
     # the regions of one pivot in each cell
     pivots = cells.groupBy("key").agg(F.min(F.struct("share", "rep", "n", "pos")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
     pivots = scratch.table(pivots, "pivots")
     star = cells.join(pivots, "key").where(F.col("rep") != F.col("pivot")).where(_may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"), percent))
-    known_pairs = compared(star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    star = star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct().alias("p")
+    star = star.join(sketches.alias("x"), F.col("p.a") == F.col("x.id")).join(sketches.alias("y"), F.col("p.b") == F.col("y.id"))
+    known_pairs = compared(star.where(_near_enough("x", "y", percent)).select("p.a", "p.b"))
     edges = known_pairs.where("linked").select("a", "b")
     linked = components(edges, scratch)
 
@@ -220,7 +242,8 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     distances = known_pairs.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "d")
     # a pivot has met all members of its cell; cells of two are done
     seen = cells.where("m > 2").join(pivots.select("key", "pivot"), "key").where("rep != pivot")
-    seen = scratch.table(seen.join(distances, ["pivot", "rep"], "left"), "seen")
+    seen = seen.join(distances, ["pivot", "rep"], "left").join(sketches.drop("n").withColumnRenamed("id", "rep"), "rep")
+    seen = scratch.table(seen, "seen")
     scratch.drop(cells)
     factor = 1
     while True:
@@ -232,20 +255,18 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         outside = F.col("component") != F.col("home")
         mixed = labelled.groupBy("key").agg(F.sum(outside.cast("long")).alias("outside")).where("outside > 0")
         open_cells = labelled.join(mixed, "key")
-        first = open_cells.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_KEYS).alias("keys"))
-        open_cells = scratch.table(open_cells.join(first, "rep").select("key", "rep", "n", "pos", "m", "share", "d", "component", "home", "outside", "keys"), "open")
+        open_cells = scratch.table(open_cells.select("key", "rep", "n", "pos", "m", "share", "d", "component", "home", "outside", *SKETCH_COLUMNS), "open")
         left = open_cells.agg(F.count("*").alias("n"), F.coalesce(F.sum("outside"), F.lit(0)).alias("pairs"), F.coalesce(F.max("m"), F.lit(0)).alias("m")).first()
         if not left["n"]:
             break
         last = factor >= left["m"] or left["pairs"] <= LAST_PAIRS
         x, y = open_cells.alias("x"), open_cells.alias("y")
         pivot = outside if last else F.col("share") * F.col("m") < factor
-        once = F.array_min(F.array_intersect("x.keys", "y.keys"))
         # in the last round, of two members outside the first region the one with the smaller share leads
         order = (F.col("y.component") == F.col("y.home")) | (F.struct("x.share", "x.rep") < F.struct("y.share", "y.rep")) if last else F.col("x.rep") != F.col("y.rep")
         window = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= radius + 1e-9, F.lit(True))
         found = open_cells.where(pivot).alias("x").join(
-            y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & window & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & (once.isNull() | (once == F.col("x.key")))
+            y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & window & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & _near_enough("x", "y", percent)
         )
         pairs = found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         done = known_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
