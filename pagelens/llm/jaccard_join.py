@@ -175,10 +175,12 @@ def _not_alone(entries: DataFrame) -> DataFrame:
 
 
 def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """Bounds on two sets that share the shingle at the places p1 and p2 of their orders."""
-    need = F.ceil((n1 + n2) * percent / (100 + percent))
-    most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (most >= need)
+    """Bounds on two sets whose first common shingle has the places p1 and p2 in their orders.
+
+    Sizes must be near, and the shingles before those places stand in one set alone. A pair
+    need only pass in the cell of its first common shingle, which both prefixes hold.
+    """
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * (p1 + p2) <= (100 - percent) * (n1 + n2))
 
 
 def _near_enough(x: str, y: str, percent: int) -> Column:
