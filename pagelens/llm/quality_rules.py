@@ -8,7 +8,7 @@ eight-word windows come first.
 Defined cases
   null text      counts as empty: no words, base_failed true, kept false
   null host      the rows without host are one host of their own
-  repeated rows  one output row each; equal texts of a host count as one document
+  repeated rows  one output row each; texts of a host with equal normalised lines count as one document
   ties           none: all decisions are on counts
   empty table    an empty result with the same columns
   other columns  ignored; clashing names do no harm because inputs are renamed first
@@ -50,12 +50,8 @@ def _plain(line: Column) -> Column:
 
 
 def _line_rows() -> Column:
-    """(hash, words, hash of both neighbours) for each entry of the column plain."""
-    nothing, n = F.array(F.lit("")), F.size("plain")
-    before = F.concat(nothing, F.slice("plain", F.lit(1), F.greatest(n - 1, F.lit(0))))
-    after = F.concat(F.slice("plain", F.lit(2), F.greatest(n - 1, F.lit(0))), nothing)
-    zipped = F.arrays_zip(F.col("plain").alias("x"), before.alias("a"), after.alias("b"))
-    return F.transform(zipped, lambda z: F.struct(F.xxhash64(z["x"]).alias("line"), (F.length(z["x"]) - F.length(F.replace(z["x"], F.lit(" "))) + 1).alias("words"), F.xxhash64(z["a"], z["b"]).alias("beside")))
+    """(hash, words) for each entry of the column plain."""
+    return F.transform("plain", lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("words")))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
@@ -87,9 +83,9 @@ def _judged(
 ) -> DataFrame:
     """One row of measures and a verdict for each row of docs.
 
-    A line of a host is removed when more than line_min_docs documents of the host and
-    more than line_doc_percent of them hold it, and it stands between as many different
-    pairs of neighbouring lines: a text's copies share neighbours, boilerplate does not.
+    A line of a host is removed when more than line_min_docs distinct documents of the host
+    and more than line_doc_percent of them hold it, whatever stands beside it. Documents are
+    distinct when their normalised lines are.
     A document is depleted when the lines left hold under keep_word_percent of its words.
     """
     spark: SparkSession = docs.sparkSession
@@ -116,7 +112,7 @@ def _judged(
         F.when(F.size(F.array_distinct("h8")) < F.size("h8"), F.col("h8")).alias("windows"),
         F.transform("lines", _plain).alias("plain"),
     )
-    rows = scratch.table(rows.withColumn("lines", _line_rows()).drop("plain"), "rows")
+    rows = scratch.table(rows.withColumns({"page": F.xxhash64("plain"), "lines": _line_rows()}).drop("plain"), "rows")
 
     # repeated windows, for texts that have any; copies of a text are measured once
     repeats = (
@@ -130,18 +126,16 @@ def _judged(
     repeats = repeats.select("k1", "k2", F.aggregate(gaps, F.lit(WINDOW), lambda a, x: a + x).cast("long").alias("n_repeat_words"))
 
     # lines above the limits
-    lined = rows.select("k1", "k2", "host", F.inline("lines"))
-    distinct = lined.groupBy("host", "line", "k1", "k2").agg(F.min("beside").alias("beside"))
-    beside = distinct.groupBy("host", "line", "beside").agg(F.count("*").alias("n"))
-    lines = beside.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_beside")).where(F.col("n_beside") > line_min_docs)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
-    limit = F.greatest(F.lit(float(line_min_docs)), F.col("host_docs") * F.lit(line_doc_percent / 100))
-    frequent = lines.join(hosts, "host").where((F.col("n_docs") > limit) & (F.col("n_beside") > limit)).select("host", "line")
-    removed = lined.join(frequent, ["host", "line"], "left_semi").groupBy("k1", "k2", "host").agg(F.sum("words").alias("words"))
+    lined = rows.select("k1", "k2", "host", "page", F.inline("lines"))
+    distinct = lined.select("host", "line", "page").distinct()
+    lines = distinct.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_min_docs)
     copies = rows.groupBy("k1", "k2", "host").agg(F.count("*").alias("copies"))
+    hosts = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    frequent = lines.join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * F.lit(line_doc_percent / 100)).select("host", "line")
+    removed = lined.join(frequent, ["host", "line"], "left_semi").groupBy("k1", "k2", "host").agg(F.sum("words").alias("words"))
     removed = removed.join(copies, ["k1", "k2", "host"]).select("k1", "k2", "host", F.expr("words div copies").alias("n_line_words_removed"))
 
-    out = rows.drop("windows", "lines").join(repeats, ["k1", "k2"], "left").join(removed, ["k1", "k2", "host"], "left")
+    out = rows.drop("windows", "lines", "page").join(repeats, ["k1", "k2"], "left").join(removed, ["k1", "k2", "host"], "left")
     repeat = F.coalesce("n_repeat_words", F.lit(0)).cast("long")
     gone = F.coalesce("n_line_words_removed", F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * repeat > max_repeat_percent * F.col("n_words"))

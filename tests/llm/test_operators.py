@@ -292,6 +292,21 @@ def test_line_frequency(spark):
     assert {r["doc_id"] for r in filter_quality(docs, **how).collect()} == {i for i, r in out.items() if r["kept"]}
 
 
+def test_lines_of_a_block(spark):
+    from pagelens.llm.quality_rules import quality_rules
+
+    header = ["welcome to the site of the town", "opening hours on all days of the week", "read our rules before you write"]
+    footer = ["all rights reserved by the town", "printed on paper made of old clothes", "end of the page"]
+    rows = [(i, "\n".join([*header, prose(i, 30).replace("\n", " "), *footer]), "h") for i in range(30)]
+    rows += [(100 + i, "\n".join([*header, f"short{i}", *footer]), "h") for i in range(10)]  # little else than the block
+    rows += [(200 + i, rows[0][1], "h") for i in range(700)]  # copies raise neither count
+    how = {"line_min_docs": 20, "line_doc_percent": 5.0}
+    out = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), **how).collect()}
+    n = sum(len(x.split()) for x in header + footer)
+    assert {r["n_line_words_removed"] for r in out.values()} == {n}
+    assert all(r["kept"] == (i not in range(100, 110)) for i, r in out.items())
+
+
 # --- 6 ---
 
 
