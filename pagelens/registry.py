@@ -194,7 +194,7 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
-    return turns.select(F.col("conv_id"), F.when(F.col("turn") % 2 == 0, "reference").otherwise("candidate").alias("side"), F.col("turn").cast("int").alias("pos"), F.left("text", F.lit(200)).alias("text"))
+    return turns.select(F.col("conv_id"), F.when(F.col("turn") % 2 == 0, "reference").otherwise("candidate").alias("side"), F.col("turn").cast("int").alias("pos"), "text")
 
 
 @query()

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pagelens import registry
 from pagelens.operators import coverage, diagnostics, dom, judge, manifest, matching, motion, reward, text_similarity
 from pagelens.plans import evaluate
 from pagelens.sources import sinks, tables
@@ -87,6 +88,16 @@ def test_block_matching_and_resolution(spark):
     assert found == {0: 1, 1: 0, 2: None}
 
 
+def test_blocks_are_matched_whole(spark, tmp_path):
+    head, one, two = "same words " * 20, "quite another ending " * 20, "1234567890 " * 40
+    rows = [(1, 0, head + one), (1, 1, head + two), (1, 2, head + two), (1, 3, head + one)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pairs = registry.block_matching(spark, str(tmp_path)).collect()
+    assert {(r["reference_pos"], r["candidate_pos"], r["similarity"]) for r in pairs} == {(0, 3, 1.0), (2, 1, 1.0)}
+    found = {r["pos"]: r["node"] for r in registry.ordered_resolution(spark, str(tmp_path)).collect()}
+    assert found == {0: 3, 2: 1}
+
+
 def test_groups(spark):
     rows = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("b", "z", 3), ("c", "u", 1), ("c", "u", 2), ("c", "v", 3)], "g string, v string, p int")
     found = {r["g"]: (r["majority"], r["inconsistent"]) for r in diagnostics.consistency(rows, ["g"], "v", "p").collect()}
