@@ -565,5 +565,7 @@ def semantic_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*", ""), "[?#].*$", "")
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
     captures = pages.where("page_id % 2 = 0").select(F.col("page_id").alias("capture"), "site", path.alias("path"), F.lit(None).cast("string").alias("page"), title.alias("intent"))
-    routes = pages.where("page_id % 2 = 1").select("site", path.alias("path"), title.alias("title"), F.left("html", F.lit(3000)).alias("body"))
+    headings = F.filter("page.items", lambda x: x["name"].isin("h1", "h2", "h3") & (x["kind"] == "heading"))
+    parsed = pages.where("page_id % 2 = 1").select("site", path.alias("path"), title.alias("title"), dom.parse_page(F.col("html")).alias("page"))
+    routes = parsed.select("site", "path", "title", F.array_join(headings["detail"], " ").alias("headings"), F.col("page.text").alias("body"))
     return sites.semantic_routes(captures, routes)

@@ -1,6 +1,12 @@
+import random
+import re
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
+from pagelens import registry
+from pagelens.functions.text import ROUTE_STOPWORDS
 from pagelens.operators import blocks, localize, replay, sites
 
 
@@ -62,6 +68,38 @@ def test_semantic_routes(spark):
     assert [(r["capture"], r["route"], r["confidence"]) for r in out] == [(1, "/plans.html", 1.0)]
 
 
+def test_semantic_routes_against_all_pairs(spark):
+    rng, letters = random.Random(3), "abcdefg"
+    name = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 8)))
+    captures = [(i, i % 2, f"/{name()}.html", rng.choice([None, name()]), rng.choice([None, "", "alpha beta", "beta gamma delta"])) for i in range(80)]
+    routes = sorted({(i % 2, f"/{name()}.html"): (rng.choice(["", "Alpha"]), rng.choice(["", "gamma"]), rng.choice(["", "beta delta words"])) for i in range(60)}.items())
+    tokens = lambda x: {w for w in re.findall("[a-z0-9]+", x.lower()) if len(w) > 1 and w not in ROUTE_STOPWORDS}
+    bare = lambda x: re.sub("[^a-z0-9]+", "", x.lower())
+    want = {}
+    for key, site, path, page, intent in captures:
+        q, i, best = tokens(f"{path[1:-5]} {page or ''}"), tokens(intent or ""), (0, None)
+        for (at, route), (title, headings, body) in routes:
+            t = tokens(f"{route} {route[1:-5]} {title} {headings}")
+            b = t | tokens(body)
+            if at == site and t and q | i:
+                shared = len(q & t) / max(1, min(len(q), len(t)))
+                slug = SequenceMatcher(None, bare(f"{path[1:-5]}{page or ''}"), bare(f"{route} {route[1:-5]}")).ratio()
+                score = max(shared, len(i & t) / max(1, min(3, len(i))), slug * 0.7, shared * 0.7 + len(i & b) / max(1, min(len(i), len(b))) * 0.3)
+                best = (score, route) if score > best[0] else best
+        if best[0] >= 0.45:
+            want[key] = best[1], pytest.approx(best[0])
+    c = spark.createDataFrame(captures, "capture int, site int, path string, page string, intent string")
+    r = spark.createDataFrame([(*k, *v) for k, v in routes], "site int, path string, title string, headings string, body string")
+    assert {x["capture"]: (x["route"], x["score"]) for x in sites.semantic_routes(c, r).collect()} == want
+
+
+def test_semantic_route_reads_visible_text(spark, tmp_path):
+    html = f"<html><head><title>Alpha Beta Gamma</title><script>{'var x = 1; ' * 400}</script></head><body><h2>Prices of boats</h2></body></html>"
+    rows = [(2, "http://a.example/x/boats.html", "<title>prices</title>"), (7, "http://a.example/x/y.html", html), (17, "http://a.example/x/z.html", "<prices><boats>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [(r["capture"], r["route"], r["score"]) for r in registry.semantic_route(spark, str(tmp_path)).collect()] == [(2, "/x/y.html", 1.0)]
+
+
 def test_findings(spark):
     pages = spark.createDataFrame([(1, "p", "Lorem ipsum dolor"), (1, "q", "We care")], "site int, page string, text string")
     required = spark.createDataFrame([(1, "We care"), (1, "Contact us")], "site int, text string")
