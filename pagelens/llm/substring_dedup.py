@@ -4,9 +4,10 @@ Every byte is removed that a string of ``length`` bytes covers which also starts
 other place, in the same text or another. The suffix arrays come from induced sorting
 (see ``suffix_array``) over shards; what has to meet in a shard is found first:
 
-  anchors   in every window of ``length`` bytes one place with the smallest hash of
+  anchors   in every window of ``length`` bytes one place with the smallest 64-bit hash of
             ``gram`` bytes is an anchor. Equal strings have the same smallest hash, so the
-            places of a repeated string hold anchors of one hash.
+            places of a repeated string hold anchors of one hash. Ties are broken by place
+            only among equal hashes.
   contexts  an anchor's context is all that a string of ``length`` bytes around it can
             cover. Anchors whose hash occurs once are dropped. Equal contexts are covered
             whole, and one of them stands for all in what follows.
@@ -20,11 +21,11 @@ combines before the shuffle, so no group of texts is ever gathered in one task.
 
 Defined cases
   null text      counts as empty: no bytes, the checksum of nothing
-  null id        like any other; texts are told apart by id and text
+  null id        like any other; texts are told apart by two hashes of id and text
   repeated rows  are copies of each other: removed whole from ``length`` bytes on
   ties           of equal smallest hashes in a window any may be the anchor; removal itself has no ties
   empty table    an empty result
-  other columns  ignored, or carried along by remove_repeats
+  other columns  ignored, or carried along by remove_repeats, whatever their names
   long texts     whole; a shard takes 64 KiB of a long text at a time
   Removal may split a character in two; remove_repeats drops the bytes of such characters.
 """
@@ -44,8 +45,10 @@ from pagelens.llm.scratch import Scratch
 from pagelens.llm.suffix_array import repeated_starts
 from pagelens.llm.textops import _BASE, _BASE_INV, _BYTE_CODE, _power, mix64, slices, utf8_buffer
 
-#: Tables of places with up to so many rows are sent to the tasks that read the texts; larger ones are joined by shuffle.
-SEND_ROWS = 1_000_000
+#: Lists of places of up to so many entries (24 bytes each) are sent to the tasks that read the texts; longer ones are joined by shuffle.
+SEND_ROWS = 250_000
+#: Two hashes tell a text from all others.
+DOC = ["doc", "doc2"]
 SHARD_BYTES = 1 << 20
 #: Contexts of one hash up to which its shard is that of the first text they occur in.
 FAMILY = 64
@@ -85,15 +88,18 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         return (none,) * 4 + (none.view(np.uint64),) * 2 + (none,)
     rolling, width = _Rolling(data), length - gram + 1
     h = rolling.grams(gram)
-    bits = max(1, int(len(h)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    # the smallest hash, and among equals (runs of one phrase) any one, by a permutation of the places
-    place = np.arange(len(h), dtype=np.uint64) * _BASE & low
-    least = _sliding_minimum((h & ~low) | place, width)
+    least = _sliding_minimum(h, width)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     whole = np.arange(len(least)) + length <= ends[: len(least)]
+    # candidates: the smallest of a window; that is what the largest minimum of the windows around a place tells
+    around = np.concatenate([np.full(width - 1, np.iinfo(np.uint64).max), np.where(whole, ~least, np.iinfo(np.uint64).max), np.full(width - 1, np.iinfo(np.uint64).max)])
+    some = np.flatnonzero(~_sliding_minimum(around, width)[: len(h)] == h)
+    # among equal hashes (runs of one phrase) any one, by a permutation of the places
+    some = some[np.lexsort((some.astype(np.uint64) * _BASE, h[some]))]
+    rank = np.full(len(h), np.iinfo(np.uint64).max)
+    rank[some] = np.arange(len(some), dtype=np.uint64)
     chosen = np.zeros(len(h), dtype=bool)
-    chosen[((least[whole] & low) * _BASE_INV & low).astype(np.int64)] = True
+    chosen[some[np.unique(_sliding_minimum(rank, width)[whole]).astype(np.int64)]] = True
     at = np.flatnonzero(chosen)
     row = np.searchsorted(offsets, at, side="right") - 1
     start, end = np.maximum(at - (width - 1), offsets[row]), np.minimum(at + length, offsets[row + 1])
@@ -124,79 +130,80 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 
 def _shard_spans(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Spans of the texts in one shard that strings occurring twice cover. Columns doc, start, bytes."""
+    """Spans of the texts in one shard that strings occurring twice cover. Columns doc, doc2, start, bytes."""
     pieces, place = [], 0
     for x in pdf["bytes"]:
         pieces += [np.frombuffer(x, dtype=np.uint8) + np.uint8(1), np.array([_SEPARATOR], dtype=np.uint8)]
     symbols = np.concatenate(pieces)
     hit = repeated_starts(symbols, 256, length, _SEPARATOR)
-    doc, start, end = [], [], []
-    for d, first, x in zip(pdf["doc"], pdf["start"], pdf["bytes"], strict=True):
+    doc, doc2, start, end = [], [], [], []
+    for d, d2, first, x in zip(pdf["doc"], pdf["doc2"], pdf["start"], pdf["bytes"], strict=True):
         at = np.flatnonzero(hit[place : place + len(x)])
         place += len(x) + 1
         if len(at):
             for a, b in _merged(np.stack([at, at + length], axis=1)).tolist():
                 doc.append(d)
+                doc2.append(d2)
                 start.append(first + a)
                 end.append(first + b)
-    return pd.DataFrame({"doc": np.array(doc, dtype=np.int64), "start": np.array(start, dtype=np.int64), "end": np.array(end, dtype=np.int64)})
+    return pd.DataFrame({name: np.array(x, dtype=np.int64) for name, x in (("doc", doc), ("doc2", doc2), ("start", start), ("end", end))})
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int = 64, hot_contexts: int = 16_384, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc, spans) for the rows (doc, t) whose text holds a repeated string; spans are in order and apart."""
+    """(doc, doc2, spans) for the rows (doc, doc2, t) whose text holds a repeated string; spans are in order and apart."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                row, at, start, end, h, context, seen = _anchors(*utf8_buffer(part.column(1)), length, gram)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(at), pa.array(start), pa.array(end), pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(seen)], names=["doc", "at", "start", "end", "h", "context", "seen"])
+                row, at, start, end, h, context, seen = _anchors(*utf8_buffer(part.column(2)), length, gram)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(row)) for i in range(2)), pa.array(at), pa.array(start), pa.array(end), pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(seen)], names=[*DOC, "at", "start", "end", "h", "context", "seen"])
 
-    found = scratch.table(texts.select("doc", "t").mapInArrow(anchors, "doc long, at long, start long, end long, h long, context long, seen long"), "anchors")
+    found = scratch.table(texts.select(*DOC, "t").mapInArrow(anchors, "doc long, doc2 long, at long, start long, end long, h long, context long, seen long"), "anchors")
     repeated = found.groupBy("h").agg(F.sum("seen").alias("n")).where("n > 1").select("h")
     found = found.join(repeated, "h")
-    contexts = scratch.table(found.groupBy("h", "context").agg(F.count("*").alias("n"), F.max("seen").alias("seen"), F.min(F.struct("doc", "at", "start", "end")).alias("one")), "contexts")
-    equal = found.join(contexts.where("n > 1").select("h", "context"), ["h", "context"], "left_semi").select("doc", F.array(F.struct("start", "end")).alias("spans"))
+    contexts = scratch.table(found.groupBy("h", "context").agg(F.count("*").alias("n"), F.max("seen").alias("seen"), F.min(F.struct(*DOC, "at", "start", "end")).alias("one")), "contexts")
+    equal = found.join(contexts.where("n > 1").select("h", "context"), ["h", "context"], "left_semi").select(*DOC, F.array(F.struct("start", "end")).alias("spans"))
 
     groups = contexts.groupBy("h").agg(F.count("*").alias("m"), F.max("seen").alias("seen"), F.min("one").alias("first")).where("m > 1 or seen > 1")
     groups = groups.select("h", "m", F.when(F.col("m") <= FAMILY, F.xxhash64("first.doc", F.floor(F.col("first.start") / 65536))).otherwise(F.xxhash64("h")).alias("key"))
     members = scratch.table(contexts.join(groups, "h").select("h", "m", "key", "one.*"), "members")
-    total = members.where(F.col("m") <= hot_contexts).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_bytes))
-    wanted = members.where(F.col("m") <= hot_contexts).groupBy("doc").agg(F.collect_list(F.struct(F.pmod("key", F.lit(shards)).alias("shard"), "start", "end")).alias("regions"))
+    sizes = members.where(F.col("m") <= hot_contexts).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    shards = max(1, -(-sizes["bytes"] // shard_bytes))
+    wanted = members.where(F.col("m") <= hot_contexts).groupBy(*DOC).agg(F.collect_list(F.struct(F.pmod("key", F.lit(shards)).alias("shard"), "start", "end")).alias("regions"))
     wanted = scratch.table(wanted, "wanted")
-    sent = F.broadcast(wanted) if total <= SEND_ROWS * length else wanted
+    sent = F.broadcast(wanted) if sizes["rows"] <= SEND_ROWS else wanted
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for d, text, regions in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+            for d, d2, text, regions in zip(*batch.columns, strict=True):
                 data = text.as_buffer()
                 table = np.stack([regions.values.field(i).to_numpy() for i in range(3)], axis=1)
                 for shard in np.unique(table[:, 0]).tolist():
                     for a, b in _merged(table[table[:, 0] == shard, 1:]).tolist():
-                        out.append((shard, d.as_py(), a, data.slice(a, b - a).to_pybytes()))
+                        out.append((shard, d.as_py(), d2.as_py(), a, data.slice(a, b - a).to_pybytes()))
                 if len(out) > 2000:
                     yield _batch(out)
                     out = []
             yield _batch(out)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.binary())], names=["shard", "doc", "start", "bytes"])
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.binary())], names=["shard", *DOC, "start", "bytes"])
 
-    regions = texts.join(sent, "doc").select("doc", "t", "regions").mapInArrow(cut, "shard long, doc long, start long, bytes binary")
-    spans = regions.groupBy("shard").applyInPandas(lambda pdf: _shard_spans(pdf, length), "doc long, start long, end long")
-    partly = spans.select("doc", F.array(F.struct("start", "end")).alias("spans"))
+    regions = texts.join(sent, DOC).select(*DOC, "t", "regions").mapInArrow(cut, "shard long, doc long, doc2 long, start long, bytes binary")
+    spans = regions.groupBy("shard").applyInPandas(lambda pdf: _shard_spans(pdf, length), "doc long, doc2 long, start long, end long")
+    partly = spans.select(*DOC, F.array(F.struct("start", "end")).alias("spans"))
 
     # strings around anchors with very many contexts: a grouped count of their hashes
     hot = members.where(F.col("m") > hot_contexts)
     every = equal.unionByName(partly)
     if hot.limit(1).count():
-        places = scratch.table(hot.groupBy("doc").agg(F.collect_list(F.struct("h", "at", "start", "end")).alias("hot")), "hot")
+        places = scratch.table(hot.groupBy(*DOC).agg(F.collect_list(F.struct("h", "at", "start", "end")).alias("hot")), "hot")
 
         def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for d, text, around in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                for d, d2, text, around in zip(*batch.columns, strict=True):
                     rolling = _Rolling(np.frombuffer(text.as_buffer(), dtype=np.uint8))
                     table = np.stack([around.values.field(i).to_numpy() for i in range(4)], axis=1)
                     for h in np.unique(table[:, 0]).tolist():
@@ -204,35 +211,41 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int
                         starts = [np.arange(max(start, at + gram - length), min(at, end - length) + 1) for _, at, start, end in table[table[:, 0] == h].tolist()]
                         a = np.unique(np.concatenate(starts))
                         n = len(a)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d.as_py(), np.int64)), pa.array(np.full(n, h, np.int64)), pa.array(a.astype(np.int64)), pa.array(rolling.of(a, a + length).view(np.int64))], names=["doc", "h", "start", "string"])
+                        yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x, np.int64)) for x in (d.as_py(), d2.as_py(), h)), pa.array(a.astype(np.int64)), pa.array(rolling.of(a, a + length).view(np.int64))], names=[*DOC, "h", "start", "string"])
 
-        held = texts.join(places, "doc").select("doc", "t", "hot").mapInArrow(strings, "doc long, h long, start long, string long")
+        held = texts.join(places, DOC).select(*DOC, "t", "hot").mapInArrow(strings, "doc long, doc2 long, h long, start long, string long")
         held = scratch.table(held, "strings")
         twice = held.groupBy("h", "string").agg(F.count("*").alias("n")).where("n > 1").select("h", "string")
-        every = every.unionByName(held.join(twice, ["h", "string"], "left_semi").select("doc", F.array(F.struct("start", (F.col("start") + length).alias("end"))).alias("spans")))
-    found = every.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        every = every.unionByName(held.join(twice, ["h", "string"], "left_semi").select(*DOC, F.array(F.struct("start", (F.col("start") + length).alias("end"))).alias("spans")))
+    found = every.groupBy(*DOC).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [_merged(np.stack([x.values.field(i).to_numpy() for i in range(2)], axis=1)) for x in batch.column(1)]
+            lists = [_merged(np.stack([x.values.field(i).to_numpy() for i in range(2)], axis=1)) for x in batch.column(2)]
             flat = np.concatenate(lists) if lists else np.zeros((0, 2), dtype=np.int64)
             spans = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "end"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)), spans)], names=["doc", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)), spans)], names=[*DOC, "spans"])
 
-    return scratch.table(found.mapInArrow(merged, "doc long, spans array<struct<start:long,end:long>>"), "spans")
+    return scratch.table(found.mapInArrow(merged, "doc long, doc2 long, spans array<struct<start:long,end:long>>"), "spans")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, digest_only: bool = False, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int | None = None, digest_only: bool = False, **how) -> DataFrame:
     """docs with repeated substrings removed from the text.
 
-    digest_only: instead, per row the id, n_bytes, n_removed, n_spans and kept_sha256 of the bytes left.
+    gram: bytes of an anchor, a fifth of the length but 64 at most unless given.
+    digest_only: instead, per row the id, n_bytes, n_removed, n_spans and kept_sha256 of the
+    bytes left, and the text left.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    key = F.xxhash64(F.col(id_col), F.octet_length(text_col), F.col(text_col))
-    texts = docs.where(F.octet_length(text_col) >= length).select(key.alias("doc"), F.col(text_col).alias("t"))
-    spans = repeated_spans(texts, scratch, length=length, **how).withColumnRenamed("doc", "__doc")
+    # rows of the same id and text are alike: their spans are found once a row and merged
+    keys = [F.xxhash64(F.col(id_col), F.octet_length(text_col), F.col(text_col)), F.xxhash64(F.lit(21), F.col(text_col), F.col(id_col))]
+    names = docs.columns
+    own = docs.select(F.struct(*names).alias("row"), *[k.alias(c) for k, c in zip(keys, DOC, strict=True)])
+    text = F.col("row").getField(text_col)
+    texts = own.where(F.octet_length(text) >= length).select(*DOC, text.alias("t"))
+    spans = repeated_spans(texts, scratch, length=length, gram=gram or min(64, max(1, length // 5)), **how)
     size = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    joined = docs.withColumn("__doc", key).join(F.broadcast(spans) if size <= SEND_ROWS else spans, "__doc", "left")
+    joined = own.join(F.broadcast(spans) if size <= SEND_ROWS else spans, DOC, "left")
 
     def left(text, regions) -> tuple[int, int, int, bytes]:
         data = text.as_buffer() if text.is_valid else pa.py_buffer(b"")
@@ -244,24 +257,27 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             keep[a:b] = False
         return data.size, int((merged[:, 1] - merged[:, 0]).sum()), len(merged), np.frombuffer(data, dtype=np.uint8)[keep].tobytes()
 
+    def text_left(text, spans) -> str | None:
+        return bytes(left(text, spans)[3]).decode("utf-8", "ignore") if spans.is_valid else text.as_py()
+
     if digest_only:
 
         def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [left(t, s) for t, s in zip(batch.column(1), batch.column(2), strict=True)]
                 numbers = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                texts = [bytes(r[3]).decode("utf-8", "ignore") for r in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string()), pa.array(texts, pa.string())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-        out = joined.select(F.col(id_col).cast("long").alias("id"), text_col, "spans").mapInArrow(digest, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        out = joined.select(F.col("row").getField(id_col).cast("long").alias("id"), text.alias("t"), "spans").mapInArrow(digest, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
         return out.withColumnRenamed("id", id_col)
 
-    names = docs.columns
     at = names.index(text_col)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() if not s.is_valid else bytes(left(t, s)[3]).decode("utf-8", "ignore") for t, s in zip(batch.column(at), batch.column(len(names)), strict=True)]
+            texts = [text_left(t, s) for t, s in zip(batch.column(at), batch.column(len(names)), strict=True)]
             columns = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*names, "spans").mapInArrow(rewrite, docs.schema)
+    return joined.select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)), "spans").mapInArrow(rewrite, docs.schema)

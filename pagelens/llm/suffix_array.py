@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, with whole-array steps.
 
-Induced sorting places suffixes bucket by bucket (a bucket is a first symbol): all
-suffixes that a bucket's present entries induce are placed in one numpy step, in order,
-so every suffix is touched a fixed number of times.
+Induced sorting: the order of the leftmost-smaller suffixes, found by recursion on the
+string of their substrings' names, induces that of all others. Suffixes are placed by runs
+of one symbol in whole-array steps; only suffixes that still tie take another step.
 """
 
 from __future__ import annotations
@@ -22,113 +22,87 @@ def _types(s: np.ndarray) -> np.ndarray:
     return smaller
 
 
-def _by_symbol(values: np.ndarray, symbols: np.ndarray):
-    """(symbol, its values in their order) for each symbol."""
-    order = np.argsort(symbols, kind="stable")
-    values, symbols = values[order], symbols[order]
-    cut = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-    edges = [0, *cut.tolist(), len(values)]
-    return [(int(symbols[a]), values[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)] if len(values) else []
-
-
-def _induce(s: np.ndarray, small: np.ndarray, marked: np.ndarray, sigma: int) -> np.ndarray:
-    """All suffixes in the order that the order of the leftmost-smaller ones, marked, induces."""
-    start: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    for c, x in _by_symbol(marked, s[marked]):
-        start[c].append(x)
-    larger: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-
-    def spread(batch: np.ndarray, into: list[list[np.ndarray]], kind: bool) -> None:
-        before = batch[batch > 0] - 1
-        before = before[small[before] == kind]
-        for c, x in _by_symbol(before, s[before]):
-            into[c].append(x)
-
-    for c in range(sigma):
-        at = 0
-        while at < len(larger[c]):  # a bucket may grow while it is read: runs of one symbol
-            spread(larger[c][at], larger, False)
-            at += 1
-        for x in start[c]:
-            spread(x, larger, False)
-    smaller: list[list[np.ndarray]] = [[] for _ in range(sigma)]
-    for c in range(sigma - 1, -1, -1):
-        at = 0
-        while at < len(smaller[c]):
-            spread(smaller[c][at], smaller, True)
-            at += 1
-        for x in reversed(larger[c]):
-            spread(x[::-1], smaller, True)
-    parts = [np.array([len(s) - 1])]
-    for c in range(sigma):
-        parts += larger[c]
-        parts += [x[::-1] for x in reversed(smaller[c])]
-    return np.concatenate(parts)
-
-
-def _order_of_names(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the reduced string: names of twice the length in each round, for groups not yet single."""
-    m = len(names)
-    rank = names.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    step = 1
-    while True:
-        ranked = rank[order]
-        new = np.ones(m, dtype=bool)
-        new[1:] = ranked[1:] != ranked[:-1]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, m))
-        if (size == 1).all():
-            return order
-        rank[order] = np.repeat(first, size)
-        open_ = np.flatnonzero(np.repeat(size > 1, size))
-        at = order[open_]
-        follow = np.where(at + step < m, rank[np.minimum(at + step, m - 1)], -1)
-        by = np.lexsort((follow, rank[at]))
-        order[open_] = at[by]
-        pair = rank[at[by]], follow[by]
-        fresh = np.ones(len(by), dtype=bool)
-        fresh[1:] = (pair[0][1:] != pair[0][:-1]) | (pair[1][1:] != pair[1][:-1])
-        starts = open_[fresh]
-        rank[order[open_]] = starts[np.cumsum(fresh) - 1]
-        step *= 2
+def _ordered(items: np.ndarray, key: np.ndarray, follow: np.ndarray, stop: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Items in the order of the keys met on the way item, follow[item], follow[follow[item]], ...
 
-
-def suffix_array(symbols: np.ndarray, sigma: int) -> np.ndarray:
-    """Order of the suffixes of symbols (values 1 to sigma-1, at most 255), without the empty one.
-
-    Suffixes are classified as smaller or larger than their successor; the substrings
-    between leftmost-smaller places are sorted by a first induction and named; where names
-    repeat, the string of names is sorted by itself; its order induces that of all suffixes.
+    Only tied items take another step, so the steps add up to the common parts of the ways.
+    A tie that reaches a place in stop stays. Returns the order and for each place in it
+    whether it begins a new group of equals.
+    """
+    order = items[np.argsort(key[items], kind="stable")]
+    at, k = order.copy(), key[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = k[1:] != k[:-1]
+    group = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+    while len(tied):
+        at[tied] = follow[at[tied]]
+        g, k = group[tied], key[at[tied]]
+        by = np.lexsort((k, g))
+        order[tied], at[tied], k = order[tied[by]], at[tied[by]], k[by]
+        fresh = np.ones(len(tied), dtype=bool)
+        fresh[1:] = (g[1:] != g[:-1]) | (k[1:] != k[:-1])
+        new[tied] |= fresh
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, len(tied)))
+        group[tied] = np.repeat(tied[first], size)
+        more = np.repeat(size > 1, size)
+        if stop is not None:
+            more &= ~stop[at[tied]]
+        tied = tied[more]
+    return order, new
+
+
+def _induced(s: np.ndarray, small: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """All suffixes in the order that the order of the leftmost-smaller ones, marked, induces; for any alphabet.
+
+    A larger suffix is a run of one symbol and the suffix behind it, down to a marked one;
+    of two runs the longer is the larger. From the larger suffixes' order the smaller
+    suffixes follow likewise, and there the longer run is the smaller. Within a symbol
+    the larger suffixes stand before the smaller ones.
     """
-    s = np.append(symbols, 0).astype(np.uint8)
     n = len(s)
-    if n <= 2:
-        return np.arange(n - 1)
+    ends = np.append(np.flatnonzero(s[1:] != s[:-1]) + 1, n)
+    after = np.minimum(np.repeat(ends, np.diff(np.append(0, ends))), n - 1)  # the place behind a suffix's first run
+    run = after - np.arange(n)
+    head = s.astype(np.int64) << 33
+    key = head + run
+    key[small] += 1 << 32
+    key[marked] = head[marked] + (1 << 32) + np.arange(len(marked))
+    larger, _ = _ordered(np.flatnonzero(~small), key, after)
+    key = head + (1 << 32) + ((1 << 31) - run)
+    key[larger] = head[larger] + np.arange(len(larger))
+    smaller, _ = _ordered(np.flatnonzero(small), key, after)
+    out = np.concatenate([larger, smaller])
+    return out[np.argsort(s[out], kind="stable")]
+
+
+def _sorted_suffixes(s: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of s, which ends with a unique smallest symbol."""
+    n = len(s)
+    if n == 1:
+        return np.zeros(1, dtype=np.int64)
     small = _types(s)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    by_substring = _induce(s, small, lms, sigma)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
-    by_substring = by_substring[is_lms[by_substring]]
-    # equal neighbours among the sorted substrings share a name
-    at = np.searchsorted(lms, by_substring)
-    ends = np.append(lms[1:], n - 1)
-    length = ends[at] - by_substring + 1
-    same = np.zeros(len(at), dtype=bool)
-    maybe = np.flatnonzero(length[1:] == length[:-1]) + 1
-    k = 0
-    while len(maybe):
-        maybe = maybe[s[by_substring[maybe] + k] == s[by_substring[maybe - 1] + k]]
-        k += 1
-        done = length[maybe] <= k
-        same[maybe[done]] = True
-        maybe = maybe[~done]
-    name = np.cumsum(~same)
-    names = np.empty(len(lms), dtype=np.int64)
-    names[at] = name
-    order = _order_of_names(names) if same.any() else np.argsort(names)
-    return _induce(s, small, lms[order], sigma)[1:]
+    # substrings from one leftmost-smaller place to the next, equal ones under one name
+    order, new = _ordered(lms, 2 * s.astype(np.int64) + small, np.minimum(np.arange(n) + 1, n - 1), is_lms)
+    if not new.all():
+        name = np.empty(n, dtype=np.int64)
+        name[order] = np.cumsum(new)
+        order = lms[_sorted_suffixes(name[lms])]
+    return _induced(s, small, order)
+
+
+def suffix_array(symbols: np.ndarray, sigma: int) -> np.ndarray:
+    """Order of the suffixes of symbols (values 1 to sigma-1), without the empty one.
+
+    Suffixes are classified as smaller or larger than their successor; the substrings
+    between leftmost-smaller places are sorted and named; where names repeat, the string of
+    names is sorted in the same way, by recursion; its order induces that of all suffixes.
+    """
+    return _sorted_suffixes(np.append(symbols, 0).astype(np.int64))[1:]
 
 
 def repeated_starts(symbols: np.ndarray, sigma: int, length: int, separator: int) -> np.ndarray:
