@@ -9,7 +9,7 @@ largest penalised likelihood (half the logarithm of the number of units, times
 largest of the set; the score is its proportion.
 
 The n-gram distributions are fitted on a bounded sample: about ``per_language`` rows of
-each language, by a hash of the id. Inference covers all rows and whole texts.
+each language, by a hash of the id; the model's size follows the number of languages. Inference covers all rows and whole texts.
 
 Defined cases
   null text, no letter  ``und`` with score 0, no languages
@@ -19,7 +19,7 @@ Defined cases
   repeated rows         one output row each
   ties                  the language that comes first in code order
   empty table           an empty result
-  other columns         ignored
+  other columns         ignored, or carried along by predict, whatever their names
   long texts            whole
 """
 
@@ -66,7 +66,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and t is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(share * F.col("n") < per_language).select("lang", "t")
+    sample = rows.join(sizes, "lang").where(share * F.col("n") < per_language).select("lang", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -152,15 +152,15 @@ def infer(texts: pa.Array, model: LanguageModel, *, unit_words: int = 6, power:
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "text", keep: list[str] | None = None, unknown: str = "und") -> DataFrame:
-    """The columns in keep with lang_pred, score and languages, the selected set with its proportions."""
-    keep = docs.columns if keep is None else keep
-    source = docs.select(*keep, F.col(text_col).alias("__text"))
+    """The columns in keep with lang_pred, score and languages, the selected set with its proportions; they replace columns of those names."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score", "languages")]
+    source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("t"))
     plain = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "languages": F.lit("")})
     schema = plain.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "t"):
                 n = part.num_rows
                 if model is None:
                     which, share = np.full((n, 1), -1), np.zeros((n, 1))

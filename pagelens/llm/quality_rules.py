@@ -64,7 +64,8 @@ def filter_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     judged = _judged(docs, id_col=id_col, text_col=text_col, host_col=host_col, **how)
     rejected = Scratch(docs.sparkSession, "rejected").table(judged.where("not kept").select("k1", "k2", "host").distinct(), "rejected")
     host = F.col(host_col).cast("string") if host_col in docs.columns else F.lit(None).cast("string")
-    keys = dict(zip(("__k1", "__k2", "__host"), _keys(F.coalesce(F.col(text_col), F.lit("")), host), strict=True))
+    free = max(docs.columns, key=len)  # with anything behind it, no column's name
+    keys = dict(zip((f"{free}_k1", f"{free}_k2", f"{free}_host"), _keys(F.coalesce(F.col(text_col), F.lit("")), host), strict=True))
     rejected = rejected.toDF(*keys)
     return docs.withColumns(keys).join(F.broadcast(rejected) if rejected.count() <= SEND_KEYS else rejected, list(keys), "left_anti").select(*docs.columns)
 
@@ -100,9 +101,10 @@ def _judged(
     def joined(col: str, step: int) -> Column:
         return F.when(n >= WINDOW, F.zip_with(F.slice(F.col(col), F.lit(1), F.size(col) - step), F.slice(F.col(col), F.lit(step + 1), F.size(col) - step), lambda a, b: F.xxhash64(a, b)))
 
+    # a window of eight occurs twice only if one of two and one of four do: most texts stop there
     hashed = split.withColumn("h1", F.when(n >= WINDOW, once))
     for step, (src, to) in zip((1, 2, 4), (("h1", "h2"), ("h2", "h4"), ("h4", "h8")), strict=True):
-        hashed = hashed.withColumn(to, joined(src, step)).drop(src)
+        hashed = hashed.withColumn(to, F.when(F.size(F.array_distinct(src)) < F.size(src), joined(src, step))).drop(src)
     rows = hashed.select(
         "id", "k1", "k2", "host",
         n.cast("long").alias("n_words"),

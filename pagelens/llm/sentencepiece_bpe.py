@@ -277,17 +277,22 @@ def encode(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
+        collects = gc.isenabled()
         gc.disable()  # nothing here is cyclic, while passes over millions of remembered tuples cost a third of the time
-        for batch in batches:
-            for keys, texts in _groups(batch):
-                ids = c.encode(texts)
-                decoded = c.vocabulary.library.decode(ids, num_threads=1)
-                columns = [pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64())]
-                if with_ids:
-                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                if with_digest:
-                    columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in side]) for side in (map(c.written, ids), decoded)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        try:
+            for batch in batches:
+                for keys, texts in _groups(batch):
+                    ids = c.encode(texts)
+                    decoded = c.vocabulary.library.decode(ids, num_threads=1)
+                    columns = [pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64())]
+                    if with_ids:
+                        columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    if with_digest:
+                        columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in side]) for side in (map(c.written, ids), decoded)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        finally:
+            if collects:  # the worker may serve other tasks
+                gc.enable()
 
     return rows.mapInArrow(work, schema)
 

@@ -13,7 +13,7 @@ Defined cases
   ties           rows of a bucket are ordered by (hash, id, text) before they are
                  permuted, so that the places follow from the rows alone
   empty table    an empty result
-  other columns  carried along by shuffle_records, also with clashing names
+  other columns  carried along by shuffle_records, whatever their names; __place, __shard and __slot are replaced
   long texts     one record is never split; a bucket holds bucket_bytes and one record more
 """
 
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-BUCKET, ORDER, PLACE = "__bucket", "__order", "__place"
+PLACE, SHARD, SLOT = "__place", "__shard", "__slot"
+#: Offsets of up to so many buckets are sent to the tasks; more are joined by shuffle.
+SEND_BUCKETS = 10_000
 #: Buckets whose sizes are summed in one step when offsets are computed.
 OFFSET_STEP = 4096
 
@@ -51,38 +53,43 @@ def shuffle_records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = max(1, -(-total // bucket_bytes))
     # copies of a text have different ids and so scatter; without an id the text decides
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), order), F.lit(buckets))
-    scattered = docs.withColumns({ORDER: order, BUCKET: bucket})
+    scattered = docs.select(F.struct(*docs.columns).alias("row"), order.alias("order")).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.lit(buckets)))
 
-    counts = scattered.groupBy(BUCKET).agg(F.count("*").alias("n")).withColumn("step", F.floor(F.col(BUCKET) / OFFSET_STEP))
-    within = W.Window.partitionBy("step").orderBy(BUCKET).rowsBetween(W.Window.unboundedPreceding, -1)
+    counts = scattered.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("step", F.floor(F.col("bucket") / OFFSET_STEP))
+    within = W.Window.partitionBy("step").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     steps = counts.groupBy("step").agg(F.sum("n").alias("n"))
     before = steps.select("step", F.coalesce(F.sum("n").over(W.Window.orderBy("step").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    offsets = counts.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(before, "step").select(BUCKET, (F.col("within") + F.col("before")).alias("offset"))
+    offsets = counts.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(before, "step").select("bucket", (F.col("within") + F.col("before")).alias("offset"))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(BUCKET, T.LongType()), T.StructField(PLACE, T.LongType())])
     names = docs.columns
     at_id, at_text = names.index(id_col), names.index(text_col)
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    schema = T.StructType([*fields, T.StructField("bucket", T.LongType()), T.StructField("place", T.LongType())])
 
     def permute(table: pa.Table) -> pa.Table:
         own, key = table.column(len(names) + 1)[0].as_py(), table.column(len(names))
         keys = pa.table({"a": key, "b": table.column(at_id), "c": pc.fill_null(table.column(at_text), "")})
-        fixed = pc.sort_indices(keys, sort_keys=[("a", "ascending"), ("b", "ascending")] if pc.count_distinct(key).as_py() == len(key) else [("a", "ascending"), ("b", "ascending"), ("c", "ascending")])
-        order = fixed.take(pa.array(_fisher_yates(table.num_rows, (seed << 32) + own)))
-        mixed = table.take(order)
-        columns = [*mixed.columns[: len(names)], mixed.column(len(names) + 1), pa.chunked_array([pa.array(np.arange(table.num_rows))])]
-        return pa.Table.from_arrays(columns, names=schema.names)
+        by = [("a", "ascending"), ("b", "ascending")] + ([] if pc.count_distinct(key).as_py() == len(key) else [("c", "ascending")])
+        mixed = table.take(pc.sort_indices(keys, sort_keys=by).take(pa.array(_fisher_yates(table.num_rows, (seed << 32) + own))))
+        return pa.Table.from_arrays([*mixed.columns[: len(names)], mixed.column(len(names) + 1), pa.chunked_array([pa.array(np.arange(table.num_rows))])], names=schema.names)
 
-    mixed = scattered.select(*docs.columns, ORDER, BUCKET).groupBy(BUCKET).applyInArrow(permute, schema)
-    return mixed.join(F.broadcast(offsets) if buckets <= 10_000 else offsets, BUCKET).withColumn(PLACE, F.col(PLACE) + F.col("offset")).drop(BUCKET, "offset")
+    plain = scattered.select(*(F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(names)), "order", "bucket")
+    mixed = plain.groupBy("bucket").applyInArrow(permute, schema)
+    placed = mixed.join(F.broadcast(offsets) if buckets <= SEND_BUCKETS else offsets, "bucket")
+    return placed.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != PLACE), (F.col("place") + F.col("offset")).alias(PLACE))
 
 
 def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """shuffle_records with the columns __shard and __slot under the law ``rows``."""
-    return shuffle_records(docs, id_col=id_col, text_col=text_col, **how).withColumns({"__shard": F.pmod(PLACE, F.lit(shards)).cast("int"), "__slot": F.floor(F.col(PLACE) / shards).cast("long")})
+    return shuffle_records(docs, id_col=id_col, text_col=text_col, **how).withColumns({SHARD: F.pmod(PLACE, F.lit(shards)).cast("int"), SLOT: F.floor(F.col(PLACE) / shards).cast("long")})
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, **how) -> None:
-    """Writes the sharded records as Parquet, a folder for each shard, rows of a file in slot order."""
+    """Writes the sharded records as Parquet, a folder for each shard, with their slots in __slot.
+
+    The task that holds buckets writes its part of every shard itself, rows of a file in
+    slot order, so that no task holds a shard: a shard has as many files as there are
+    tasks, each of a task's input over the number of shards.
+    """
     out = shard(docs, shards, **how)
-    out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__slot").drop(PLACE).write.partitionBy("__shard").parquet(path)
+    out.sortWithinPartitions(SHARD, SLOT).drop(PLACE).write.partitionBy(SHARD).parquet(path)

@@ -21,12 +21,10 @@ QUALITY = f"""with d as (select doc_id, coalesce(text, '') t, source from docume
  repeats as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, x) n from hashed) where n > 1),
  covered as (select doc_id, sum(least(8, coalesce(lead_i - i, 8)))::bigint n from (select doc_id, i, lead(i) over (partition by doc_id order by i) lead_i from repeats) group by 1),
  plain as (select doc_id, source, t, [trim(regexp_replace(translate(lower(x), '123456789', '000000000'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) for x in l] p from base),
- lines as (select doc_id, source, t, p[i] x, case when i > 1 then p[i - 1] else '' end || chr(10) || case when i < len(p) then p[i + 1] else '' end beside
-   from (select *, unnest(range(1, len(p) + 1)) i from plain)),
- texts as (select source, x, t, min(beside) beside from lines group by 1, 2, 3),
- hosts as (select source, count(*) n from documents group by 1),
- frequent as (select f.source, f.x from (select source, x, count(*) docs, count(distinct beside) sides from texts group by 1, 2) f join hosts h on h.source is not distinct from f.source
-   where docs > greatest(100, h.n * 0.005) and sides > greatest(100, h.n * 0.005)),
+ lines as (select doc_id, source, p, p[i] x from (select *, unnest(range(1, len(p) + 1)) i from plain)),
+ hosts as (select source, count(distinct p) n from plain group by 1),
+ frequent as (select f.source, f.x from (select source, x, count(distinct p) docs from lines group by 1, 2) f join hosts h on h.source is not distinct from f.source
+   where docs > greatest(100, h.n * 0.005)),
  removed as (select doc_id, sum(len(string_split(x, ' ')))::bigint n from lines l where exists (select 1 from frequent f where f.source is not distinct from l.source and f.x = l.x) group by 1),
  m as (select b.doc_id, len(w)::bigint n_words, coalesce(list_sum([length(x) for x in w]), 0)::bigint word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
    (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(c.n, 0) n_repeat_words, coalesce(r.n, 0) gone from base b left join covered c using (doc_id) left join removed r using (doc_id)),

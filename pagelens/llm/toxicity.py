@@ -4,8 +4,8 @@ Method: a text's terms are its words and their first 4, 5 and 6 bytes, hashed. T
 machine scores w0 + sum w_i + sum over pairs <v_i, v_j> over the terms present, so that
 two terms together can say what neither says alone. It is fitted on a bounded sample of
 labelled rows (``sample_rows``, the rows with the smallest hash of their id) over the
-``n_terms`` terms that differ most between the classes there; scoring covers all rows
-with whole-array operations in Arrow batches.
+``n_terms`` terms that differ most between the classes there, by ``min_z`` standard
+deviations at least. Scoring covers all rows with whole-array operations in Arrow batches.
 
 Defined cases
   null or empty text  no terms: scored by the bias alone
@@ -15,7 +15,7 @@ Defined cases
   repeated rows       one output row each
   ties                terms of equal weight are ordered by their hash
   empty table         an empty result
-  other columns       ignored
+  other columns       ignored, or carried along by score, whatever their names
   long texts          whole; presence of a term counts, not its number
 """
 
@@ -105,9 +105,10 @@ class FactorizationMachine:
         return self.bias + linear + pairs / 2
 
     @classmethod
-    def fit(cls, terms: np.ndarray, rows: np.ndarray, at: np.ndarray, labels: np.ndarray, *, factors: int = 4, epochs: int = 150, rate: float = 0.05, decay: float = 2e-4, seed: int = 5) -> FactorizationMachine:
-        """Logistic loss, all rows in each step, Adam."""
+    def fit(cls, terms: np.ndarray, rows: np.ndarray, at: np.ndarray, labels: np.ndarray, *, factors: int = 4, epochs: int = 150, rate: float = 0.05, precision: float = 4.0, seed: int = 5) -> FactorizationMachine:
+        """Logistic loss, all rows in each step, Adam. precision: of the normal prior of all weights, so few rows move them little."""
         n, m = len(labels), len(terms)
+        decay = precision / n
         rng = np.random.Generator(np.random.PCG64(seed))
         model = cls(terms, float(np.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5))), np.zeros(m), rng.normal(0, 0.05, (m, factors)))
         theta = [np.array([model.bias]), model.linear, model.factors]
@@ -130,7 +131,7 @@ class FactorizationMachine:
         return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, n_terms: int = 4000, min_docs: int = 3) -> FactorizationMachine | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, n_terms: int = 4000, min_docs: int = 3, min_z: float = 2.0) -> FactorizationMachine | None:
     """Fits on the labelled rows given; None if a class is missing. labels: columns doc_id and label_col."""
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
@@ -152,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     share = totals["p"] / totals["n"]
     counts = present.groupBy("term").agg(F.sum("y").alias("p"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
     expected = F.col("n") * share
-    best = counts.orderBy(F.abs((F.col("p") - expected) / F.sqrt(expected)).desc(), "term").limit(n_terms).select("term")
+    differs = F.abs((F.col("p") - expected) / F.sqrt(expected))
+    best = counts.where(differs > min_z).orderBy(differs.desc(), "term").limit(n_terms).select("term")
     terms = np.sort(np.array([r["term"] for r in best.collect()], dtype=np.int64).view(np.uint64))
     wanted = Filter(terms)
 
@@ -172,15 +174,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, *, text_col: str = "text", to: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """The columns in keep (all if None) with the probability in the column to."""
-    keep = docs.columns if keep is None else keep
-    source = docs.select(*keep, F.col(text_col).alias("__text"))
+    """The columns in keep (all if None) with the probability in the column to, which replaces one of that name."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != to]
+    source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col(text_col).alias("t"))
     schema = docs.select(*keep).withColumn(to, F.lit(0.0)).schema
     wanted = Filter(model.terms) if model is not None else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "t"):
                 if model is None:
                     p = np.zeros(part.num_rows)
                 else:

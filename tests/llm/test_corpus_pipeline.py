@@ -45,3 +45,20 @@ def test_stages(spark, folder):
     assert all(len(last[i]["text"]) < 900 and last[i]["n_chars"] == len(last[i]["text"]) for i in (82, 83))
     pieces = pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in pieces} == set(range(60)) | {82, 83}
+
+
+def test_stages_on_odd_tables(spark, folder, tmp_path):
+    """No rows, no labels, repeated rows, a null id, and columns with names that stages use themselves."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ("score", "spans", "doc", "host", "k1", "component_id", "row", "t", "__k1")
+    odd = docs.withColumns({c: docs["doc_id"] for c in names})
+    odd = odd.unionByName(odd.where("doc_id = 3")).unionByName(odd.where("doc_id = 4").withColumn("doc_id", docs["doc_id"] * None))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert all(r[c] == r["doc_id"] for r in rows for c in names if r["doc_id"] is not None)
+        assert sum(r["doc_id"] == 3 for r in rows) == (1 if name == "near_duplicates" else 2), name
+        assert stage(spark, odd.limit(0), str(tmp_path)).collect() == []
+    assert pipeline.STAGES[-1][1](spark, odd.limit(0), str(tmp_path)).collect() == []

@@ -254,6 +254,37 @@ def test_toxicity(spark):
     assert fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int")) is None
     assert {r["score"] for r in score(docs.limit(3), None).collect()} == {0.0}
     assert score(docs.limit(0), model).collect() == []
+    # repeated rows, a long text and columns of any name
+    more = docs.union(docs).union(spark.createDataFrame([(950, "plain " * 50_000 + "vilewords groupname")], "doc_id long, text string")).withColumns({c: F.lit(1) for c in ("score", "t", "c0", "rows")})
+    again = score(more, model).collect()
+    assert len(again) == 2 * docs.count() + 1 and {(r["doc_id"], r["score"]) for r in again if r["doc_id"] not in (None, 950)} == {(i, p) for i, p in out.items() if i is not None}
+    assert score(more, model, to="p").columns == [*more.columns, "p"]
+
+
+def test_toxicity_of_few_labels(spark):
+    """Rare words of a few labelled rows do not hide what their labels share; null labels are not learned from."""
+    from pagelens.llm.toxicity import fit, score
+
+    rows = [(i, prose(i, 80, 2000) + (" vilewords badname" if i % 4 == 0 else "")) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)] + [(i, None) for i in range(60, 90)], "doc_id long, toxic int"))
+    assert all((r["score"] >= 0.3) == (r["doc_id"] % 4 == 0) for r in score(docs, model).where("doc_id >= 60").collect())
+
+
+def brute_margin(model, present):
+    at = [i for i, t in enumerate(model.terms.tolist()) if t in present]
+    pairs = sum(float(model.factors[a] @ model.factors[b]) for k, a in enumerate(at) for b in at[:k])
+    return model.bias + sum(float(model.linear[a]) for a in at) + pairs
+
+
+def test_machine_against_all_pairs():
+    from pagelens.llm.toxicity import FactorizationMachine
+
+    rng = np.random.default_rng(3)
+    model = FactorizationMachine(np.arange(30, dtype=np.uint64), 0.3, rng.normal(size=30), rng.normal(size=(30, 4)))
+    sets = [sorted(rng.choice(30, size=int(n), replace=False).tolist()) for n in rng.integers(0, 12, 40)]
+    rows = np.repeat(np.arange(40), [len(x) for x in sets])
+    assert model.margins(rows, np.array([t for x in sets for t in x], dtype=np.int64), 40) == pytest.approx([brute_margin(model, set(x)) for x in sets])
 
 
 # --- 5 ---
@@ -357,13 +388,46 @@ def test_language_id(spark):
     assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (900, 901, 902))
     assert out[903]["lang_pred"] == "aa" and out[903]["languages"].startswith("aa:0.6") and "bb:0.3" in out[903]["languages"]
     assert all(0 <= r["score"] <= 1 for r in out.values())
+    more = docs.union(docs).union(spark.createDataFrame([(950, text("bb", 9, 30_000), None)], docs.schema)).withColumns({c: F.lit(1) for c in ("score", "lang_pred", "languages", "t", "c0")})
+    again = predict(more, model).collect()
+    assert len(again) == 2 * docs.count() + 1 and {(r["doc_id"], r["lang_pred"], r["score"]) for r in again if r["doc_id"] not in (None, 950)} == {(i, r["lang_pred"], r["score"]) for i, r in out.items() if i is not None}
+    assert {r["lang_pred"] for r in again if r["doc_id"] == 950} == {"bb"}
     assert fit(docs.limit(0)) is None and {r["lang_pred"] for r in predict(docs.limit(2), None).collect()} == {"und"}
 
 
+def test_mixture_against_plain_expectation_maximisation():
+    """Proportions of one text, computed unit by unit without arrays over texts."""
+    import pyarrow as pa
+
+    from pagelens.llm import language_id as li
+    from pagelens.llm.textops import utf8_buffer
+
+    rng = np.random.default_rng(0)
+    counts = rng.integers(1, 50, (1 << li.BITS, 3)).astype(float)
+    model = li.LanguageModel(["a", "b", "c"], np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    text = " ".join(f"wo{x}rd" for x in rng.integers(0, 999, 40))
+    words = text.split(" ")
+    grams = li._gram_buckets(utf8_buffer(pa.array([text]))[0])
+    like, at = [], 0
+    for k in range(0, len(words), 6):
+        size = sum(len(w) + 1 for w in words[k : k + 6])
+        like.append(model.log_prob[grams[at : at + size]].astype(float).sum(axis=0) * 0.4)
+        at += size
+    odds = np.exp(np.array([x - x.max() for x in like]).clip(-60))
+    share = np.full(3, 1 / 3)
+    for _ in range(12):
+        joint = odds * share
+        share = (joint / joint.sum(axis=1, keepdims=True)).mean(axis=0)
+    which, found = li.infer(pa.array([text, None, text]), model, penalty=0.0)
+    assert which[0, 0] == share.argmax() == which[2, 0] and which[1, 0] == -1
+    assert found[0].sum() == pytest.approx(1, abs=1e-6) and found[0, 0] == pytest.approx(share.max(), abs=0.05)
+
+
 # --- 8 ---
 
 
 def test_sharding(docs, empty, tmp_path, spark):
+    from pagelens.llm import sharding
     from pagelens.llm.sharding import _fisher_yates, shard, write_shards
 
     one = shard(docs, 5, bucket_bytes=20_000).select("doc_id", "text", "slot", "__shard", "__slot").collect()
@@ -373,11 +437,18 @@ def test_sharding(docs, empty, tmp_path, spark):
     assert len(one) == len(ROWS) and max(sizes.values()) - min(sizes.values()) <= 1
     assert {(r["__shard"], r["__slot"]) for r in one} == {(s, i) for s, n in sizes.items() for i in range(n)}
     assert shard(empty, 5).collect() == []
+    clash = shard(docs.withColumns({c: F.lit("x") for c in ("offset", "bucket", "__bucket", "row", "order", "place", "c0", "__place")}), 5, bucket_bytes=20_000)
+    assert sorted((tuple(r) for r in clash.select("doc_id", "text", "slot", "__shard", "__slot").collect()), key=str) == sorted(map(tuple, one), key=str)
+    for buckets in (1, 10**6):  # offsets sent or joined
+        sharding.SEND_BUCKETS, kept = buckets, sharding.SEND_BUCKETS
+        assert sorted(shard(docs, 5, bucket_bytes=20_000).select("doc_id", "text", "slot", "__shard", "__slot").collect(), key=str) == sorted(one, key=str)
+        sharding.SEND_BUCKETS = kept
     assert sorted(_fisher_yates(100, 3).tolist()) == list(range(100)) and _fisher_yates(100, 3).tolist() != list(range(100))
     first = Counter(int(_fisher_yates(4, s)[0]) for s in range(4000))
     assert all(abs(n - 1000) < 150 for n in first.values())
     write_shards(docs, f"{tmp_path}/shards", 5)
-    assert spark.read.parquet(f"{tmp_path}/shards").count() == len(ROWS)
+    written = spark.read.parquet(f"{tmp_path}/shards").select("doc_id", "__shard", "__slot").collect()
+    assert {(r["__shard"], r["__slot"]) for r in written} == {(s, i) for s, n in sizes.items() for i in range(n)} and len(written) == len(ROWS)
 
 
 # --- 9 ---
