@@ -1,6 +1,16 @@
 """A corpus pipeline of five operators: from raw documents to packed training sequences.
 
 Each stage reads all that its predecessor kept, as Parquet, and its decisions take effect.
+
+Defined cases, of every stage
+  null or empty text  too short: goes in the first stage
+  null id             stays where its text does; linked with nothing, never learned from
+  null label          not learned from; no labels at all: nothing is toxic
+  repeated rows       decided alike; of rows with equal id and text one stays from the third stage on
+  ties                of a group of near copies the smallest id stays
+  empty table         an empty result with the columns of the stage
+  other columns       carried along, whatever their names; n_chars follows the text where it is there
+  long texts          whole
 """
 
 from __future__ import annotations
@@ -17,6 +27,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: A document with at least this probability of being toxic goes.
 TOXIC = 0.3
+#: Bytes of a passage that goes where it repeats: fifty-one words of the language with the shortest ones.
+PASSAGE = 240
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +39,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go. Learns from the labels of the documents still there, but for a quarter held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), to="__toxic")
-    return scored.where(F.col("__toxic") < TOXIC).drop("__toxic")
+    to = max(docs.columns, key=len) + "_toxic"  # no column's name
+    return toxicity.score(docs, toxicity.fit(docs, labels), to=to).where(F.col(to) < TOXIC).drop(to)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +50,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur twice are cut out of the texts; n_chars follows."""
-    out = substring_dedup.remove_repeats(docs)
+    out = substring_dedup.remove_repeats(docs, length=PASSAGE)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
