@@ -6,13 +6,14 @@ space is therefore first cut into cells: a set's shingles are ordered, rare ones
 and the set enters the cell of each shingle of its prefix, the part that any set near
 enough must share. Cells that hold one set are dropped. Within the cells:
 
-  pivots     each cell takes the member with the smallest seeded hash as its pivot;
-             members within the threshold of it form its Voronoi region and are linked
-  windows    what lies outside is compared with the members of other regions only if
-             their distances to the pivot differ by no more than the threshold
-             (triangle inequality), so only boundary documents are looked at again
-  recursion  cells whose members are not one component yet go on with eight times as
-             many pivots, and at last with every member outside the first region
+  pivots     each cell takes the members with the smallest seeded hashes as pivots, one in
+             eight but eight at most; a member belongs to the Voronoi region of the
+             nearest pivot, and members within the threshold of a pivot are linked
+  windows    a pivot of the next round is replicated to every region of its cell, but
+             meets there only the members whose distance to the region's pivot differs
+             from its own by no more than the threshold (triangle inequality)
+  recursion  regions whose cell is not one component yet take eight times as many pivots
+             in each round, to the end where every member has been one
 
 Every pair that the bounds on prefix, size, window and sketch (a bit vector whose distance
 is never more than the number of elements in one set alone) do not exclude is either compared
@@ -50,8 +51,10 @@ from pagelens.llm.textops import mix64, shingle_hashes, slices, word_hashes
 PART_BYTES = 32 << 20
 #: A list of ids up to this long is sent to the tasks; a longer one is joined by shuffle.
 SEND_IDS = 2_000_000
-#: Comparisons of bounds, before any text, up to which no further round of pivots is worth its jobs.
-LAST_PAIRS = 20_000_000
+#: Pivots of a cell in the first round at most, and the members for each; rounds multiply pivots by the first number.
+PIVOTS, MEMBERS = 8, 8
+#: Pairs of one set that are joined under one key.
+PAIRS_PER_KEY = 256
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
 SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
@@ -202,8 +205,9 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     prefixes = scratch.table(_prefixes(rows, k, percent, _repeated(rows, k, max_frequent)), "prefixes")
     known = prefixes.where("id is not null and n > 0")
     classes = scratch.table(known.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
-    copies = scratch.table(known.select("k1", "k2", "id").join(classes, ["k1", "k2"]).where("id != rep").select("id").distinct(), "copies")
-    reps = known.join(_sent(copies), "id", "left_anti")
+    # an id that stands on rows of different texts is left out as a copy only where its text is one
+    copies = scratch.table(known.select("k1", "k2", "id").join(classes, ["k1", "k2"]).where("id != rep").select("id", "k1", "k2").distinct(), "copies")
+    reps = known.join(_sent(copies), ["id", "k1", "k2"], "left_anti")
 
     entries = reps.select(F.col("id").alias("rep"), "n", F.posexplode("keys").alias("pos", "key"))
     share = F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -215,70 +219,76 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b, d, linked) of distinct pairs. Only the texts in them are cut into shingles again."""
-        pairs = scratch.table(pairs, "pairs")
+        pairs = written = scratch.table(pairs, "pairs")
         ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         sets = scratch.table(_hash_sets(rows.join(_sent(ids), "id", "left_semi"), k), "sets")
-        a = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-        b = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("i"), (F.size("ha") + F.size("hb")).alias("s"))
+        # a set with many pairs, such as a pivot, is joined under several keys
+        hot = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count("*") / PAIRS_PER_KEY).cast("int").alias("keys")).where("keys > 1"), "hot")
+        hot_sent = _sent(hot)
+        keys = F.coalesce(F.col("keys"), F.lit(1))
+        spread = sets.join(hot_sent, "id", "left").select("id", "hashes", F.explode(F.sequence(F.lit(0), keys - 1)).alias("part"))
+        a = spread.select(F.col("id").alias("a"), F.col("part").alias("pa"), F.col("hashes").alias("ha"))
+        b = spread.select(F.col("id").alias("b"), F.col("part").alias("pb"), F.col("hashes").alias("hb"))
+        for own, other, part in (("a", "b", "pa"), ("b", "a", "pb")):
+            pairs = pairs.join(hot_sent.withColumnRenamed("id", own), own, "left").withColumn(part, F.pmod(F.xxhash64(F.lit(13), other), keys).cast("int")).drop("keys")
+        both = pairs.join(a, ["a", "pa"]).join(b, ["b", "pb"]).select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("i"), (F.size("ha") + F.size("hb")).alias("s"))
         distance, linked = 1 - F.col("i") / (F.col("s") - F.col("i")), 100 * F.col("i") >= percent * (F.col("s") - F.col("i"))
-        # an id that several rows share gives several comparisons
-        out = scratch.table(both.select("a", "b", distance.alias("d"), linked.alias("linked")).groupBy("a", "b").agg(F.min("d").alias("d"), F.bool_or("linked").alias("linked")), "compared")
-        scratch.drop(sets, ids, pairs)
+        # an id that several rows share gives several comparisons, and no distance that windows may use
+        out = scratch.table(both.select("a", "b", distance.alias("d"), linked.alias("linked")).groupBy("a", "b").agg(F.when(F.count("*") == 1, F.min("d")).alias("d"), F.bool_or("linked").alias("linked")), "compared")
+        scratch.drop(sets, ids, hot, written)
         return out
 
     one = F.min("k1") == F.max("k1")
     sketches = known.groupBy("id").agg(F.first("n").alias("n"), *[F.when(one, F.first(c)).alias(c) for c in SKETCH_COLUMNS])
 
-    # the regions of one pivot in each cell
-    pivots = cells.groupBy("key").agg(F.min(F.struct("share", "rep", "n", "pos")).alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
-    pivots = scratch.table(pivots, "pivots")
-    star = cells.join(pivots, "key").where(F.col("rep") != F.col("pivot")).where(_may_link(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"), percent))
-    star = star.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct().alias("p")
+    # the first round: a pivot leads the members with larger shares
+    least = cells.groupBy("key").agg(F.min(F.struct("share", "rep")).alias("least"))
+    cells = cells.join(least, "key").withColumn("pivot", (F.struct("share", "rep") == F.col("least")) | (F.col("share") * F.col("m") < F.least(F.lit(PIVOTS), F.col("m") / MEMBERS))).drop("least")
+    cells = scratch.table(cells, "pivots")
+    x, y = cells.where("pivot").alias("x"), cells.alias("y")
+    star = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.struct("x.share", "x.rep") < F.struct("y.share", "y.rep")) & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
+    star = star.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().alias("p")
     star = star.join(sketches.alias("x"), F.col("p.a") == F.col("x.id")).join(sketches.alias("y"), F.col("p.b") == F.col("y.id"))
     known_pairs = compared(star.where(_near_enough("x", "y", percent)).select("p.a", "p.b"))
     edges = known_pairs.where("linked").select("a", "b")
+    several = scratch.table(known.groupBy("id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low != high").select("id"), "several")
+    if several.limit(1).count():
+        edges = edges.unionByName(known.join(_sent(several), "id", "left_semi").join(classes, ["k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")))
     linked = components(edges, scratch)
 
     radius = 1 - percent / 100
-    distances = known_pairs.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "d")
-    # a pivot has met all members of its cell; cells of two are done
-    seen = cells.where("m > 2").join(pivots.select("key", "pivot"), "key").where("rep != pivot")
-    seen = seen.join(distances, ["pivot", "rep"], "left").join(sketches.drop("n").withColumnRenamed("id", "rep"), "rep")
-    seen = scratch.table(seen, "seen")
-    scratch.drop(cells)
-    factor = 1
+    factor = PIVOTS
+    members = cells.where("m > 2").join(sketches.drop("n").withColumnRenamed("id", "rep"), "rep")
     while True:
-        factor *= 8
+        # cells that are not one component yet, each member in the region of its nearest pivot so far
         of = linked.select(F.col("node").alias("rep"), "component")
-        labelled = seen.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        home = of.select(F.col("rep").alias("pivot"), F.col("component").alias("home"))
-        labelled = labelled.join(home, "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
-        outside = F.col("component") != F.col("home")
-        mixed = labelled.groupBy("key").agg(F.sum(outside.cast("long")).alias("outside")).where("outside > 0")
-        open_cells = labelled.join(mixed, "key")
-        open_cells = scratch.table(open_cells.select("key", "rep", "n", "pos", "m", "share", "d", "component", "home", "outside", *SKETCH_COLUMNS), "open")
-        left = open_cells.agg(F.count("*").alias("n"), F.coalesce(F.sum("outside"), F.lit(0)).alias("pairs"), F.coalesce(F.max("m"), F.lit(0)).alias("m")).first()
-        if not left["n"]:
+        labelled = members.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed"), F.bool_and("pivot").alias("all")).where("mixed and not all").select("key")
+        ways = known_pairs.select("a", "b", "d").unionByName(known_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+        left = scratch.table(labelled.join(mixed, "key"), "open")
+        if not left.limit(1).count():
             break
-        last = factor >= left["m"] or left["pairs"] <= LAST_PAIRS
-        x, y = open_cells.alias("x"), open_cells.alias("y")
-        pivot = outside if last else F.col("share") * F.col("m") < factor
-        # in the last round, of two members outside the first region the one with the smaller share leads
-        order = (F.col("y.component") == F.col("y.home")) | (F.struct("x.share", "x.rep") < F.struct("y.share", "y.rep")) if last else F.col("x.rep") != F.col("y.rep")
-        window = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= radius + 1e-9, F.lit(True))
-        found = open_cells.where(pivot).alias("x").join(
-            y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & order & window & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & _near_enough("x", "y", percent)
-        )
-        pairs = found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        done = known_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = compared(pairs.join(done, ["a", "b"], "left_anti"))
+        met = left.where("pivot").select("key", F.col("rep").alias("a")).join(ways, "a").select("key", "a", F.col("b").alias("rep"), "d")
+        nearest = met.groupBy("key", "rep").agg(F.min(F.struct("d", "a")).alias("near"))
+        regions = left.join(nearest, ["key", "rep"], "left").withColumn("region", F.when(F.col("pivot"), F.col("rep")).otherwise(F.col("near.a"))).withColumn("d", F.when(F.col("pivot"), F.lit(0.0)).otherwise(F.col("near.d"))).drop("near")
+        regions = scratch.table(regions, "regions")
+        factor *= PIVOTS
+        chosen = ~F.col("pivot") & (F.col("share") * F.col("m") < factor)
+        lead = regions.where(chosen)
+        # replicas of the new pivots in all regions of their cells, with the distance to the region's pivot where it is known
+        met = met.withColumnRenamed("rep", "to").withColumnsRenamed({"a": "region", "d": "window"})
+        x, y = lead.alias("x"), regions.alias("y")
+        other = (F.col("x.component") != F.col("y.component")) & (~(F.col("y.pivot") | (F.col("y.share") * F.col("y.m") < factor)) | (F.struct("x.share", "x.rep") < F.struct("y.share", "y.rep")))
+        found = x.join(y, (F.col("x.key") == F.col("y.key")) & other & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & _near_enough("x", "y", percent))
+        found = found.select("x.key", F.col("x.rep").alias("to"), F.col("y.rep").alias("rep"), F.col("y.region").alias("region"), F.col("y.d").alias("d"))
+        found = found.join(met, ["key", "region", "to"], "left").where(F.coalesce(F.abs(F.col("window") - F.col("d")) <= radius + 1e-9, F.lit(True)))
+        pairs = found.select(F.least("to", "rep").alias("a"), F.greatest("to", "rep").alias("b")).distinct()
+        new = compared(pairs.join(known_pairs, ["a", "b"], "left_anti"))
         known_pairs = known_pairs.unionByName(new)
         edges = edges.unionByName(new.where("linked").select("a", "b"))
         linked = components(edges, scratch)
-        scratch.drop(open_cells)
-        if last:
-            break
+        members = scratch.table(regions.drop("component", "region", "d").withColumn("pivot", F.col("pivot") | chosen), "members")
+        scratch.drop(left, regions)
 
     of_class = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = prefixes.select("id", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left")
@@ -286,13 +296,14 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """One document of each group, that with the smallest id. Rows without id stay; of rows that share an id, one stays."""
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One document of each group, that with the smallest id. Rows without id stay; of rows with equal id and text, one stays."""
     scratch = Scratch(docs.sparkSession, "groups")
-    groups = scratch.table(jaccard_groups(docs, id_col=id_col, **how).select(id_col, "component_id"), "groups")
+    groups = scratch.table(jaccard_groups(docs, id_col=id_col, text_col=text_col, **how).select(id_col, "component_id"), "groups")
     others = scratch.table(groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "others")
     left = docs.join(_sent(others), id_col, "left_anti").select(*docs.columns)
     again = scratch.table(groups.groupBy(id_col).count().where("count > 1").where(F.col(id_col).isNotNull()).select(id_col), "again")
     if not again.limit(1).count():
         return left
-    return left.join(_sent(again), id_col, "left_anti").select(*docs.columns).unionByName(left.join(_sent(again), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+    once = left.join(_sent(again), id_col, "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(_sent(again), id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))

@@ -119,6 +119,48 @@ def test_jaccard_rounds(spark):
     assert one_per_group(table.union(table)).count() == len({root(i) for i in sets})
 
 
+def test_jaccard_recursion(spark, monkeypatch):
+    """Several pivots, their regions and three rounds at least; hot sets under several keys; lists sent or joined."""
+    from pagelens.llm import jaccard_join as jj
+
+    rounds = []
+    monkeypatch.setattr(jj, "PIVOTS", 2)
+    monkeypatch.setattr(jj, "MEMBERS", 4)
+    monkeypatch.setattr(jj, "PAIRS_PER_KEY", 5)
+    monkeypatch.setattr(jj, "components", lambda *a, f=jj.components: (rounds.append(1), f(*a))[1])
+    rng, rows = random.Random(4), []
+    base = prose(11, 90).split()
+    for i in range(70):
+        words = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: shingles(t) for i, t in rows}
+    linked = {(a, b) for a in sets for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    group = {i: i for i in sets}
+    for _ in sets:
+        for a, b in linked:
+            group[a] = group[b] = min(group[a], group[b])
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jj.jaccard_groups(table).collect()} == group and len(set(group.values())) > 3
+    assert len(rounds) >= 4
+    monkeypatch.setattr(jj, "SEND_IDS", 0)
+    monkeypatch.setattr(jj, "PIVOTS", 8)
+    some = spark.createDataFrame([*rows[:12], *((100 + i, t) for i, t in rows[:12])], table.schema)
+    joined = {r["doc_id"]: r["component_id"] for r in jj.jaccard_groups(some).collect()}
+    assert all(joined[i] == joined[100 + i] for i in range(12))
+    assert {(a, b) for a in range(12) for b in range(a) if joined[a] == joined[b]} >= {x for x in linked if x[0] < 12}
+
+
+def test_jaccard_ids_of_several_texts(spark):
+    from pagelens.llm.jaccard_join import jaccard_groups, one_per_group
+
+    a, b = prose(12, 80), prose(13, 80)
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b + " more"), (9, prose(14, 80))], "doc_id long, text string")
+    assert [(r["doc_id"], r["component_id"]) for r in jaccard_groups(docs).orderBy("doc_id").collect()] == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
+    assert sorted(r["doc_id"] for r in one_per_group(docs.union(docs)).collect()) == [3, 9]
+
+
 def test_jaccard_empty(empty):
     from pagelens.llm.jaccard_join import jaccard_groups
 
