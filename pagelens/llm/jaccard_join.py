@@ -214,8 +214,11 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     cells = _not_alone(entries.select("key", "rep", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place")))
     cells = cells.groupBy("key", "rep").agg(F.min("place").alias("place"))
     cells = scratch.table(cells.select("key", "rep", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), share.alias("share")), "members")
-    sizes = cells.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    cells = scratch.table(cells.join(sizes, "key"), "cells")
+    # the pivots of the first round
+    sizes = cells.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("share", "rep")).alias("least")).where("m > 1")
+    pivot = (F.struct("share", "rep") == F.col("least")) | (F.col("share") * F.col("m") < F.least(F.lit(PIVOTS), F.col("m") / MEMBERS))
+    entries, cells = cells, scratch.table(cells.join(sizes, "key").withColumn("pivot", pivot).drop("least"), "cells")
+    scratch.drop(entries)
 
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b, d, linked) of distinct pairs. Only the texts in them are cut into shingles again."""
@@ -242,9 +245,6 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sketches = known.groupBy("id").agg(F.first("n").alias("n"), *[F.when(one, F.first(c)).alias(c) for c in SKETCH_COLUMNS])
 
     # the first round: a pivot leads the members with larger shares
-    least = cells.groupBy("key").agg(F.min(F.struct("share", "rep")).alias("least"))
-    cells = cells.join(least, "key").withColumn("pivot", (F.struct("share", "rep") == F.col("least")) | (F.col("share") * F.col("m") < F.least(F.lit(PIVOTS), F.col("m") / MEMBERS))).drop("least")
-    cells = scratch.table(cells, "pivots")
     x, y = cells.where("pivot").alias("x"), cells.alias("y")
     star = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.struct("x.share", "x.rep") < F.struct("y.share", "y.rep")) & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
     star = star.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().alias("p")

@@ -45,8 +45,6 @@ from pagelens.llm.scratch import Scratch
 from pagelens.llm.suffix_array import repeated_starts
 from pagelens.llm.textops import _BASE, _BASE_INV, _BYTE_CODE, _power, mix64, slices, utf8_buffer
 
-#: Lists of places of up to so many entries (24 bytes each) are sent to the tasks that read the texts; longer ones are joined by shuffle.
-SEND_ROWS = 250_000
 #: Two hashes tell a text from all others.
 DOC = ["doc", "doc2"]
 SHARD_BYTES = 1 << 20
@@ -167,11 +165,10 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int
     groups = contexts.groupBy("h").agg(F.count("*").alias("m"), F.max("seen").alias("seen"), F.min("one").alias("first")).where("m > 1 or seen > 1")
     groups = groups.select("h", "m", F.when(F.col("m") <= FAMILY, F.xxhash64("first.doc", F.floor(F.col("first.start") / 65536))).otherwise(F.xxhash64("h")).alias("key"))
     members = scratch.table(contexts.join(groups, "h").select("h", "m", "key", "one.*"), "members")
-    sizes = members.where(F.col("m") <= hot_contexts).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
-    shards = max(1, -(-sizes["bytes"] // shard_bytes))
+    total = members.where(F.col("m") <= hot_contexts).agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_bytes))
     wanted = members.where(F.col("m") <= hot_contexts).groupBy(*DOC).agg(F.collect_list(F.struct(F.pmod("key", F.lit(shards)).alias("shard"), "start", "end")).alias("regions"))
     wanted = scratch.table(wanted, "wanted")
-    sent = F.broadcast(wanted) if sizes["rows"] <= SEND_ROWS else wanted
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +188,7 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int, gram: int
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.binary())], names=["shard", *DOC, "start", "bytes"])
 
-    regions = texts.join(sent, DOC).select(*DOC, "t", "regions").mapInArrow(cut, "shard long, doc long, doc2 long, start long, bytes binary")
+    regions = texts.join(wanted, DOC).select(*DOC, "t", "regions").mapInArrow(cut, "shard long, doc long, doc2 long, start long, bytes binary")
     spans = regions.groupBy("shard").applyInPandas(lambda pdf: _shard_spans(pdf, length), "doc long, doc2 long, start long, end long")
     partly = spans.select(*DOC, F.array(F.struct("start", "end")).alias("spans"))
 
@@ -244,8 +241,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.col("row").getField(text_col)
     texts = own.where(F.octet_length(text) >= length).select(*DOC, text.alias("t"))
     spans = repeated_spans(texts, scratch, length=length, gram=gram or min(64, max(1, length // 5)), **how)
-    size = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    joined = own.join(F.broadcast(spans) if size <= SEND_ROWS else spans, DOC, "left")
+    joined = own.join(spans, DOC, "left")
 
     def left(text, regions) -> tuple[int, int, int, bytes]:
         data = text.as_buffer() if text.is_valid else pa.py_buffer(b"")
