@@ -83,3 +83,16 @@ def border_area(width: Column, height: Column, top: Column, right: Column, botto
     """Area of the four border strips, corners counted once."""
     rows = F.least(height, top + bottom)
     return width * rows + F.greatest(F.lit(0.0), height - rows) * F.least(width, left + right)
+
+
+def colour_area(prop: Column, width: Column, height: Column, top: Column, right: Column, bottom: Column, left: Column) -> Column:
+    """The area that a colour property paints, 1 at least; 1 for any other property and without a box."""
+    one = F.lit(1.0)
+    area = F.greatest(one, width * height)
+    border = F.least(area, border_area(width, height, top, right, bottom, left))
+    painted = (
+        F.when(prop.isin("background", "background-color"), area - border).when(prop == "border-color", border)
+        .when(prop == "border-top-color", width * F.least(top, height)).when(prop == "border-bottom-color", width * F.least(bottom, height))
+        .when(prop == "border-left-color", height * F.least(left, width)).when(prop == "border-right-color", height * F.least(right, width))
+    )
+    return F.greatest(one, F.coalesce(painted, one))

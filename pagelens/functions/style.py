@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Keywords that are no number.
 KEYWORDS = ("normal", "auto", "none", "medium", "thin", "thick")
@@ -99,3 +101,27 @@ def log_penalty_score(bad: Column, total: Column) -> Column:
     """(1 - log2(1 + bad / (total + 1))) * 100 within 0 and 100; 100 without anything to judge."""
     score = (1 - F.log2(1 + bad / (total + 1.0))) * 100
     return F.when(total <= 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
+
+
+# Properties whose values are names.
+NAMED_PROPERTIES = ("font-family", "text-align", "text-transform")
+
+
+@F.pandas_udf(DoubleType())
+def _spelling(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def categorical_similarity(a: Column, b: Column) -> Column:
+    """1 for equal names, else the likeness of their spelling; null if either is missing or both are blank."""
+    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    return F.when(a.isNull() | b.isNull() | ((x == "") & (y == "")), None).when(x == y, 1.0).otherwise(_spelling(x, y))
+
+
+def property_similarity(name: Column, a: Column, b: Column) -> Column:
+    """By kind: colours, opacity, names, else numbers; what is none of its kind is compared as a name, opacity apart."""
+    number, named = numeric_similarity(parse_number(a), parse_number(b)), categorical_similarity(a, b)
+    colour = F.when(F.contains(name, F.lit("color")), colour_similarity(parse_rgb(a), parse_rgb(b)))
+    as_name = name.isin(*NAMED_PROPERTIES) | F.endswith(name, F.lit("-style"))
+    rest = F.when(name == "opacity", number).when(as_name, named).otherwise(F.coalesce(number, named))
+    return F.coalesce(colour, rest)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.functions import geometry, means, style, text
+from pagelens.functions import geometry, means, paths, style, text
 from pagelens.functions.geometry import Box
 from pagelens.operators import coverage as cov
 from pagelens.operators import blocks, diagnostics, dom, embedding, judge, localize, manifest, matching, motion, replay, reward, sites, text_similarity
@@ -258,9 +258,7 @@ def route_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""select page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) host, case when regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) end path,
  regexp_extract(url, '\?([^#]*)', 1) query, regexp_extract(url, '#(.*)$', 1) fragment from pages""")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda p: F.regexp_extract("url", p, 1)
-    path = part(r"^[a-z]+://[^/?#]*([^?#]*)")
-    return read(spark, sf_dir, "pages").select("page_id", part(r"^[a-z]+://([^/?#]*)").alias("host"), F.when(path == "", "/").otherwise(path).alias("path"), part(r"\?([^#]*)").alias("query"), part(r"#(.*)$").alias("fragment"))
+    return read(spark, sf_dir, "pages").select("page_id", paths.url_parts(F.col("url")).alias("u")).select("page_id", "u.*")
 
 
 @query()
@@ -460,25 +458,6 @@ def embedding_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- manifests ----------------------------------------------------------------------------------------------
 
 
-@query("""with s as (select p_partkey path, p_size selector, count(*) n from part group by 1, 2),
- a as (select o_orderkey pos, l_linenumber step, case when l_linenumber % 5 = 0 then 'wait' else 'click' end "type", l_partkey path, l_linenumber * 7 % 50 + 1 selector from orders join lineitem on l_orderkey = o_orderkey),
- known as (select distinct p_partkey path from part where p_partkey % 4 <> 0),
- c as (select o_orderkey pos, min(l_partkey) path from orders join lineitem on l_orderkey = o_orderkey group by 1),
- r as (select c.pos, min_by(case when s.n is null then 'selector_not_found' when s.n <> 1 then 'selector_not_unique' end, a.step) reason from c join a on a.pos = c.pos
-   left join s on s.path = c.path and s.selector = a.selector where a.type = 'click' and (s.n is null or s.n <> 1) group by 1)
- select reason, count(*) n from (select case when k.path is null then 'path_not_found' else r.reason end reason from c left join known k using (path) left join r using (pos)) where reason is not null group by 1""")
-def manifest_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    lines = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    n = F.col("l_linenumber")
-    actions = lines.select(F.col("o_orderkey").alias("pos"), n.alias("step"), F.when(n % 5 == 0, "wait").otherwise("click").alias("type"), (n * 7 % 50 + 1).cast("string").alias("selector"))
-    captures = lines.groupBy(F.col("o_orderkey").alias("pos")).agg(F.min("l_partkey").cast("string").alias("path")).withColumns({"id": F.col("pos").cast("string"), "enabled": F.lit(True)})
-    paths = part.where("p_partkey % 4 != 0").select(F.col("p_partkey").cast("string").alias("path"))
-    selectors = part.groupBy(F.col("p_partkey").cast("string").alias("path"), F.col("p_size").cast("string").alias("selector")).agg(F.count("*").alias("count"))
-    _, dropped = manifest.sanitize_captures(captures, actions, paths, selectors)
-    return dropped.groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query("select o_orderkey, case when list_contains(t, 0) then t else list_prepend(0, t) end times from (select o_orderkey, list_sort(list_distinct([o_custkey % 5 * 100, o_orderkey % 7 * 50, 300]))::bigint[] t from orders)")
 def animation_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").select("o_orderkey", F.array(long(F.col("o_custkey") % 5 * 100), long(F.col("o_orderkey") % 7 * 50), F.lit(300).cast("long")).alias("samples"), F.lit(None).cast("long").alias("duration"))
@@ -488,11 +467,7 @@ def animation_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select c_custkey, nation, lpad(row_number() over (partition by nation order by c_custkey)::varchar, 4, '0') number from (select c_custkey, n_name nation from customer join nation on c_nationkey = n_nationkey)")
 def numbered_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    place = F.row_number().over(Window.partitionBy("n_name").orderBy("c_custkey"))
-    return rows.select("c_custkey", F.col("n_name").alias("nation"), F.lpad(place.cast("string"), 4, "0").alias("number"))
-
-
-# --- replay, regions, blocks, sites -------------------------------------------------------------------------
+    return manifest.numbered(rows.select("c_custkey", F.col("n_name").alias("nation")), ["nation"], "c_custkey", 4)
 
 
 @query("""with a as (select event_id, user_id, event_type, value - 50 ref_scroll, value * 0.2 cand_scroll, case when event_id % 3 = 0 then 't' || (event_id % 4)::varchar end ref_active, case when event_id % 5 <> 0 then 't' || (event_id % 2)::varchar end cand_active from events),

@@ -139,13 +139,19 @@ def test_repeated_chunks(spark):
 
 
 def test_manifest(spark):
-    captures = spark.createDataFrame([(0, "a", "/p", None), (1, "a", "/p", True), (2, "b", "/none", True), (3, "c", "/p", True), (4, "d", "/p", False)], "pos int, id string, path string, enabled boolean")
-    actions = spark.createDataFrame([(0, 0, "click", "#x"), (3, 0, "click", "#missing"), (1, 0, "wait", None)], "pos int, step int, type string, selector string")
+    rows = [(0, "a", "/p"), (1, "a", "p"), (2, "b", "/none"), (3, "c", "/p"), (4, "a-2", "/p"), (5, " !", "/p"), (6, "d", "/p"), (7, "e", "/p"), (8, "f", "/p")]
+    captures = spark.createDataFrame([(1, *r) for r in rows], "site int, pos int, id string, path string")
+    steps = [(0, 0, "click", "#x"), (3, 0, "click", "#missing"), (1, 0, "wait", None), (4, 0, "focus", "#two"), (5, 0, "scrollBy", None), (6, 0, "click", None), (7, 0, "click", "#x"), (7, 1, "focus", "#missing"), (8, 0, "drag", "#x"), (8, 1, "wait", None)]
+    actions = spark.createDataFrame([(1, *r) for r in steps], "site int, pos int, step int, type string, selector string")
     paths = spark.createDataFrame([("/p",)], "path string")
-    selectors = spark.createDataFrame([("/p", "#x", 1)], "path string, selector string, count long")
+    selectors = spark.createDataFrame([("/p", "#x", 1), ("/p", "#two", 2)], "path string, selector string, count long")
     kept, dropped = manifest.sanitize_captures(captures, actions, paths, selectors)
-    assert {r["pos"]: r["id"] for r in kept.collect()} == {0: "a", 1: "a-2"}
-    assert {r["pos"]: r["reason"] for r in dropped.collect()} == {2: "path_not_found", 3: "selector_not_found"}
+    # ids in use are passed over; actions of no known type go alone; an effect that is lost takes its capture with it
+    assert {r["pos"]: (r["id"], len(r["actions"] or [])) for r in kept.collect()} == {0: ("a", 1), 1: ("a-2", 1), 5: ("p.desktop.3", 1), 8: ("f", 1)}
+    assert {r["pos"]: r["reason"] for r in dropped.collect()} == {2: "path_not_found", 3: "no_actions_left", 4: "no_actions_left", 6: "no_actions_left", 7: "effect_lost"}
+    more = spark.createDataFrame([(1, 0, "a", "/p"), (1, 1, "a", "/p"), (1, 2, "a-2", "/p"), (1, 3, "a", "/p")], captures.schema)
+    assert [r["id"] for r in manifest.sanitize_captures(more, actions.limit(0), paths, selectors)[0].orderBy("pos").collect()] == ["a", "a-3", "a-2", "a-4"]
+    assert manifest.sanitize_captures(more, actions.limit(0), paths, selectors, 2)[0].count() == 2
     times = spark.createDataFrame([([100, 50, 100, -1], None), (None, 900), (None, None)], "s array<bigint>, d bigint").select(manifest.sample_times("d", "s").alias("t"))
     assert [r["t"] for r in times.collect()] == [[0, 50, 100], [0, 900], [0, 600]]
 
