@@ -258,14 +258,14 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     radius = 1 - percent / 100
     factor = PIVOTS
-    members = cells.where("m > 2").join(sketches.drop("n").withColumnRenamed("id", "rep"), "rep")
+    members = cells.where("m > 2")
     while True:
         # cells that are not one component yet, each member in the region of its nearest pivot so far
         of = linked.select(F.col("node").alias("rep"), "component")
         labelled = members.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed"), F.bool_and("pivot").alias("all")).where("mixed and not all").select("key")
         ways = known_pairs.select("a", "b", "d").unionByName(known_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-        left = scratch.table(labelled.join(mixed, "key"), "open")
+        left = scratch.table(labelled.join(mixed, "key").join(sketches.drop("n").withColumnRenamed("id", "rep"), "rep"), "open")
         if not left.limit(1).count():
             break
         met = left.where("pivot").select("key", F.col("rep").alias("a")).join(ways, "a").select("key", "a", F.col("b").alias("rep"), "d")
@@ -287,7 +287,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         known_pairs = known_pairs.unionByName(new)
         edges = edges.unionByName(new.where("linked").select("a", "b"))
         linked = components(edges, scratch)
-        members = scratch.table(regions.drop("component", "region", "d").withColumn("pivot", F.col("pivot") | chosen), "members")
+        members = scratch.table(regions.drop("component", "region", "d", *SKETCH_COLUMNS).withColumn("pivot", F.col("pivot") | chosen), "members")
         scratch.drop(left, regions)
 
     of_class = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
