@@ -23,6 +23,20 @@ def unigram_scores(pairs: DataFrame, keys: list[str], reference: Column, candida
     return pairs.select(*keys).distinct().join(scored, keys, "left").fillna(0.0, ["bleu_1", "rouge_1_recall"])
 
 
+def unigram_scores_of(texts: DataFrame, references: DataFrame, key: str, ref: str) -> DataFrame:
+    """bleu_1 and rouge_1_recall of each text against its reference. texts: key, ref, words; references: ref, words.
+
+    Words are counted once a text and once a reference; only words that both hold meet.
+    """
+    count = lambda rows, keys: rows.select(*keys, F.explode("words").alias("x")).groupBy(*keys, "x").agg(F.count("*").alias("n"))
+    shared = count(texts, [key, ref]).join(count(references, [ref]).withColumnRenamed("n", "rn"), [ref, "x"])
+    shared = shared.groupBy(key).agg(F.sum(F.least("n", "rn")).alias("m"), F.count("*").alias("common"))
+    sizes = references.select(ref, F.size("words").alias("rt"), F.size(F.array_distinct("words")).alias("distinct"))
+    rows = texts.select(key, ref, F.size("words").alias("ct")).join(sizes, ref).join(shared, key, "left").fillna(0, ["m", "common"])
+    bleu, recall = bleu1(F.col("m"), F.col("ct"), F.col("rt")), rouge1_recall(F.col("common"), F.col("distinct"))
+    return rows.select(key, ref, bleu.alias("bleu_1"), recall.alias("rouge_1_recall"))
+
+
 def repeated_chunks(docs: DataFrame, key: str, text: str, *, size: int = 100, similarity: float = 0.8, repeats: int = 5) -> DataFrame:
     """key, chunks and cut: where a text starts to repeat itself, null if it does not.
 

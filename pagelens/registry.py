@@ -215,7 +215,7 @@ def ordered_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _PAIRS_SQL = f"""pairs as (select doc_id, item_id, d.t c, b.t r from (select doc_id, {_TOKENS} t from documents) d
-  join (select item_id, {_TOKENS} t, (select count(*) from benchmark) n from benchmark) b on d.doc_id % 40 = b.item_id % 40),
+  join (select item_id, {_TOKENS} t, (select count(*) from benchmark) n from benchmark) b on d.doc_id % b.n = b.item_id),
  r as (select doc_id, item_id, x, count(*) n from (select doc_id, item_id, unnest(r) x from pairs) group by 1, 2, 3),
  c as (select doc_id, item_id, x, count(*) n from (select doc_id, item_id, unnest(c) x from pairs) group by 1, 2, 3),
  j as (select doc_id, item_id, coalesce(r.n, 0) rn, coalesce(c.n, 0) cn from r full join c using (doc_id, item_id, x)),
@@ -223,9 +223,11 @@ _PAIRS_SQL = f"""pairs as (select doc_id, item_id, d.t c, b.t r from (select doc
 
 
 def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("c"), (F.col("doc_id") % 40).alias("g"))
-    items = read(spark, sf_dir, "benchmark").select("item_id", text.words(F.col("text")).alias("r"), (F.col("item_id") % 40).alias("g"))
-    return text_similarity.unigram_scores(docs.join(items, "g"), ["doc_id", "item_id"], F.col("r"), F.col("c"))
+    """Every document with the benchmark item whose number its own comes round to."""
+    items = read(spark, sf_dir, "benchmark")
+    n = items.agg(F.count("*").alias("n"))
+    docs = read(spark, sf_dir, "documents").join(F.broadcast(n)).select("doc_id", F.pmod("doc_id", "n").alias("item_id"), F.coalesce(text.words(F.col("text")), F.array()).alias("words"))
+    return text_similarity.unigram_scores_of(docs, items.select("item_id", text.words(F.col("text")).alias("words")), "doc_id", "item_id")
 
 
 @query(f"""with {_PAIRS_SQL} select doc_id, item_id, round(coalesce(case when m = 0 or ct = 0 then 0 else case when ct >= rt then 1 else exp(1 - rt / ct) end * m / ct end, 0), 6)::double bleu_1

@@ -454,7 +454,7 @@ def metric_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with e as (select user_id, event_id, ts, case event_type when 'click' then 'start' when 'view' then 'end' else 'error' end ev from events), n as (select *, lead(ev) over w nx, lead(ts) over w later from e window w as (partition by user_id order by ts, event_id))
- select event_id, round(case when nx in ('end', 'error') then epoch_us(later) / 1e6 - epoch_us(ts) / 1e6 end, 3)::double seconds, case when nx in ('end', 'error') then nx end ended from n where ev = 'start'""")
+ select event_id, round(case when nx in ('end', 'error') then epoch_us(later) / 1e6 - epoch_us(ts) / 1e6 end, 3)::double as "seconds", case when nx in ('end', 'error') then nx end ended from n where ev = 'start'""")
 def progress_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").selectExpr("user_id", "event_id", "ts", "case event_type when 'click' then 'start' when 'view' then 'end' else 'error' end event")
     return summary.timed(rows, ["user_id"]).select("event_id", F.round("seconds", 3).alias("seconds"), "ended")

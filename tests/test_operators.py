@@ -132,6 +132,13 @@ def test_text_scores(spark):
     assert out[1] == (pytest.approx(2.718281828459045 ** (1 - 3 / 2)), pytest.approx(2 / 3)) and out[2] == (0, 0) and out[3] == (pytest.approx(2 / 3), 1)
 
 
+def test_text_scores_by_word(spark):
+    texts = spark.createDataFrame([(1, 7, ["a", "b"]), (2, 8, []), (3, 9, ["a", "a", "a"]), (4, 7, ["z"])], "id int, ref int, words array<string>")
+    references = spark.createDataFrame([(7, ["a", "b", "c"]), (8, ["a"]), (9, ["a", "a"])], "ref int, words array<string>")
+    out = {r["id"]: (r["bleu_1"], r["rouge_1_recall"]) for r in text_similarity.unigram_scores_of(texts, references, "id", "ref").collect()}
+    assert out[1] == (pytest.approx(2.718281828459045 ** (1 - 3 / 2)), pytest.approx(2 / 3)) and out[2] == (0, 0) and out[3] == (pytest.approx(2 / 3), 1) and out[4] == (0, 0)
+
+
 def test_repeated_chunks(spark):
     rows = spark.createDataFrame([(1, "<p>" + "abcdefghij" * 100 + "</p>"), (2, "short"), (3, None)], "id int, t string")
     out = {r["id"]: r["cut"] for r in text_similarity.repeated_chunks(rows, "id", "t").collect()}
