@@ -58,6 +58,8 @@ PAIRS_PER_KEY = 256
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
 SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
+#: Words of the wide sketch of sets with more elements than LONG, for which the narrow one says little.
+WIDE, LONG = 256, 600
 
 
 def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +109,7 @@ def _repeated(rows: DataFrame, k: int, max_frequent: int) -> tuple[np.ndarray, n
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, n, k1, k2, keys, sketch): size, two fingerprints, the ordered prefix and a parity sketch of each row's set."""
+    """(id, n, k1, k2, keys, sketch, wide): size, two fingerprints, the ordered prefix and the parity sketches of each row's set."""
     known, level = frequent
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +136,12 @@ def _prefixes(rows: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray,
                 place = np.repeat(np.arange(len(n)), n) * (64 * SKETCH) + (mix64(hashes) % np.uint64(64 * SKETCH)).astype(np.int64)
                 bits = (np.bincount(place, minlength=len(n) * 64 * SKETCH) & 1).astype(np.uint8).reshape(len(n), -1)
                 sketch = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
+                wide = [np.packbits((np.bincount((mix64(hashes[a:b]) % np.uint64(64 * WIDE)).astype(np.int64), minlength=64 * WIDE) & 1).astype(np.uint8)).view(np.int64) if b - a > LONG else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.view(np.int64)))
                 words = [pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), lists, *words], names=["id", "n", "k1", "k2", "keys", *SKETCH_COLUMNS])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1), pa.array(k2), lists, *words, pa.array(wide, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "keys", *SKETCH_COLUMNS, "wide"])
 
-    return rows.select("id", "t").mapInArrow(work, "id long, n long, k1 long, k2 long, keys array<long>" + "".join(f", {c} long" for c in SKETCH_COLUMNS))
+    return rows.select("id", "t").mapInArrow(work, "id long, n long, k1 long, k2 long, keys array<long>" + "".join(f", {c} long" for c in SKETCH_COLUMNS) + ", wide array<long>")
 
 
 def _hash_sets(rows: DataFrame, k: int) -> DataFrame:
@@ -220,9 +223,20 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     entries, cells = cells, scratch.table(cells.join(sizes, "key").withColumn("pivot", pivot).drop("least"), "cells")
     scratch.drop(entries)
 
+    one = F.min("k1") == F.max("k1")
+    wides = known.groupBy("id").agg(F.first("n").alias("n"), F.when(one, F.first("wide")).alias("wide")).where("wide is not null")
+    wides = scratch.table(wides, "wide")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs without those of two long sets whose wide sketches forbid a link."""
+        a, b = (wides.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+        differ = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        both = pairs.join(a, "a", "left").join(b, "b", "left")
+        return both.where(F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb")), F.lit(True))).select("a", "b")
+
     def compared(pairs: DataFrame) -> DataFrame:
-        """(a, b, d, linked) of distinct pairs. Only the texts in them are cut into shingles again."""
-        pairs = written = scratch.table(pairs, "pairs")
+        """(a, b, d, linked) of distinct pairs that may link. Only the texts in them are cut into shingles again."""
+        pairs = written = scratch.table(possible(pairs), "pairs")
         ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         sets = scratch.table(_hash_sets(rows.join(_sent(ids), "id", "left_semi"), k), "sets")
         # a set with many pairs, such as a pivot, is joined under several keys
@@ -241,7 +255,6 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         scratch.drop(sets, ids, hot, written)
         return out
 
-    one = F.min("k1") == F.max("k1")
     sketches = known.groupBy("id").agg(F.first("n").alias("n"), *[F.when(one, F.first(c)).alias(c) for c in SKETCH_COLUMNS])
 
     # the first round: a pivot leads the members with larger shares

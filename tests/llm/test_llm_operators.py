@@ -127,6 +127,7 @@ def test_jaccard_recursion(spark, monkeypatch):
     monkeypatch.setattr(jj, "PIVOTS", 2)
     monkeypatch.setattr(jj, "MEMBERS", 4)
     monkeypatch.setattr(jj, "PAIRS_PER_KEY", 5)
+    monkeypatch.setattr(jj, "LONG", 80)  # so that some sets have a wide sketch
     monkeypatch.setattr(jj, "components", lambda *a, f=jj.components: (rounds.append(1), f(*a))[1])
     rng, rows = random.Random(4), []
     base = prose(11, 90).split()
