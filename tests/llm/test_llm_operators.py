@@ -266,6 +266,47 @@ def test_seating_follows_the_restaurant():
     assert t.mean() == pytest.approx((chance * np.arange(n + 2)).sum(), rel=0.03)
 
 
+@pytest.mark.parametrize("n", [1, 2, 12, 40])
+def test_reseating_keeps_the_posterior(n):
+    """Tables after some sweeps against their exact distribution, weight ** t * S(n, t), from plain recursion."""
+    from pagelens.llm.lm_scoring import reseat
+
+    weight, discount = 0.9, 0.6
+    stirling = [1.0] + [0.0] * n
+    for c in range(1, n + 1):
+        stirling = [0.0] + [stirling[t - 1] + (c - 1 - discount * t) * stirling[t] for t in range(1, n + 1)]
+    want = np.array([weight**t * stirling[t] for t in range(n + 1)])
+    want /= want.sum()
+    many, rng = 40_000, np.random.default_rng(3)
+    t = np.ones(many)  # a start far from it
+    for _ in range(12):
+        t = reseat(np.full(many, n), t, np.full(many, weight), discount, rng)
+    got = np.bincount(t.astype(int), minlength=n + 1) / many
+    assert np.abs(got - want).sum() < 0.04
+    assert t.mean() == pytest.approx((want * np.arange(n + 1)).sum(), rel=0.02)
+
+
+def test_one_seat_taken_again():
+    """Chances to sit alone against random partitions seated customer by customer, and the limit for many customers."""
+    from pagelens.llm.lm_scoring import ONE_BY_ONE, _alone
+
+    discount, n, rng = 0.5, 6, random.Random(2)
+    met = Counter()
+    for _ in range(30_000):
+        tables = []
+        for i in range(n):
+            k = rng.choices(range(len(tables) + 1), [*(x - discount for x in tables), 1.0 + discount * len(tables)])[0]
+            if k == len(tables):
+                tables.append(0)
+            tables[k] += 1
+        met[len(tables)] += 1
+        met[len(tables), "alone"] += sum(x == 1 for x in tables) / n
+    chance = _alone(discount)
+    for t in range(1, n + 1):
+        assert met[t, "alone"] / met[t] == pytest.approx(chance[n, t], abs=0.02)
+    assert chance[ONE_BY_ONE, 30] == pytest.approx(discount * 30 / ONE_BY_ONE, rel=0.1)
+
+
 # --- 4 ---
 
 
