@@ -55,6 +55,8 @@ SEND_IDS = 2_000_000
 PIVOTS, MEMBERS = 8, 8
 #: Pairs of one set that are joined under one key.
 PAIRS_PER_KEY = 256
+#: Shingles found in 2 to this power of sets are dealt by set as well as by shingle, to this many tasks.
+HOT_LEVEL, HOT_PARTS = 14, 4096
 #: Words of 64 bits in a set's sketch.
 SKETCH = 16
 SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
@@ -159,8 +161,14 @@ def _sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SEND_IDS else ids
 
 
-def _not_alone(entries: DataFrame) -> DataFrame:
-    """The rows whose key stands in another row too: after one shuffle, those with an equal neighbour in key order."""
+def _not_alone(entries: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The rows whose key stands in another row too: after one shuffle, those with an equal neighbour in key order.
+
+    All rows of hot keys, which many sets are known to hold, are kept without their neighbours being looked at.
+    """
+    session = entries.sparkSession
+    known = session.createDataFrame(pa.table({"key": pa.array(hot.view(np.int64)), "hot": pa.array(np.ones(len(hot), bool))}))  # at most max_frequent
+    dealt = entries.join(F.broadcast(known), "key", "left").select(*entries.columns, F.when(F.col("hot"), F.pmod(F.xxhash64(F.lit(17), "rep"), F.lit(HOT_PARTS)) + 1).otherwise(F.lit(0)).alias("part"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, before = None, False  # the row that waits for its successor; whether its predecessor was equal
@@ -172,12 +180,13 @@ def _not_alone(entries: DataFrame) -> DataFrame:
             same = keys[1:] == keys[:-1]
             keep = np.r_[before, same]
             keep[:-1] |= same
+            keep |= table.column("part").to_numpy() > 0
             yield from table.slice(0, len(keys) - 1).filter(pa.array(keep[:-1])).to_batches()
             last, before = table.slice(len(keys) - 1).combine_chunks().to_batches()[0], bool(keep[-1])
         if before:
             yield last
 
-    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(work, entries.schema)
+    return dealt.repartition("key", "part").sortWithinPartitions("key").mapInArrow(work, dealt.schema).drop("part")
 
 
 def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
@@ -198,14 +207,15 @@ def _near_enough(x: str, y: str, percent: int) -> Column:
     return F.coalesce((100 + percent) * differ <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n")), F.lit(True))
 
 
-def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, max_frequent: int = 400_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, max_frequent: int = 400_000, hot_level: int = HOT_LEVEL) -> DataFrame:
     """One row per document: its id, n_shingles and component_id.
 
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    prefixes = scratch.table(_prefixes(rows, k, percent, _repeated(rows, k, max_frequent)), "prefixes")
+    frequent = _repeated(rows, k, max_frequent)
+    prefixes = scratch.table(_prefixes(rows, k, percent, frequent), "prefixes")
     known = prefixes.where("id is not null and n > 0")
     classes = scratch.table(known.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     # an id that stands on rows of different texts is left out as a copy only where its text is one
@@ -214,7 +224,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     entries = reps.select(F.col("id").alias("rep"), "n", F.posexplode("keys").alias("pos", "key"))
     share = F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    cells = _not_alone(entries.select("key", "rep", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place")))
+    cells = _not_alone(entries.select("key", "rep", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("place")), frequent[0][frequent[1] >= hot_level])
     cells = cells.groupBy("key", "rep").agg(F.min("place").alias("place"))
     cells = scratch.table(cells.select("key", "rep", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), share.alias("share")), "members")
     # the pivots of the first round
