@@ -308,8 +308,8 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         pairs = found.select(F.least("to", "rep").alias("a"), F.greatest("to", "rep").alias("b")).distinct()
         new = compared(pairs.join(known_pairs, ["a", "b"], "left_anti"))
         known_pairs = known_pairs.unionByName(new)
-        edges = edges.unionByName(new.where("linked").select("a", "b"))
-        linked = components(edges, scratch)
+        # each component so far as a star, and what this round has linked
+        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.where("linked").select("a", "b")), scratch)
         members = scratch.table(regions.drop("component", "region", "d", *SKETCH_COLUMNS).withColumn("pivot", F.col("pivot") | chosen), "members")
         scratch.drop(left, regions)
 
