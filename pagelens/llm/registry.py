@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.sql import JACCARD, QUALITY
+from pagelens.llm.sql import JACCARD, QUALITY, RESAMPLING, SPELLING
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,7 +88,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), digest_only=True)
 
 
-OPERATORS: tuple[Query, ...] = (op1_jaccard_join, op2_sentencepiece, op3_lm_scoring, op4_toxicity, op5_quality_rules, op6_embedding_dedup, op7_language_id, op8_sharding, op9_packing, op10_suffix_dedup)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.spelling_variants import counted_words, letter_dropped, letter_runs, spelling_forms
+
+    runs = letter_runs(_read(spark, sf_dir, "documents"), min_length=7)
+    return spelling_forms(counted_words(runs, letter_dropped(F.col("id"), F.col("run"))))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagelens.llm.byte_bpe import encode
+
+    return encode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, with_digest=True)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagelens.llm.importance_resampling import resample
+
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OPERATORS: tuple[Query, ...] = (op1_jaccard_join, op2_sentencepiece, op3_lm_scoring, op4_toxicity, op5_quality_rules, op6_embedding_dedup, op7_language_id, op8_sharding, op9_packing, op10_suffix_dedup, op11_spelling_variants, op12_byte_bpe, op13_importance_resampling)
 
 
 def queries() -> dict[str, Query]:
@@ -97,4 +118,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL form: tokenizers, models, hashing with tests against brute force."""
-    return {"op1_jaccard_join": JACCARD, "op5_quality_rules": QUALITY}
+    return {"op1_jaccard_join": JACCARD, "op5_quality_rules": QUALITY, "op11_spelling_variants": SPELLING, "op13_importance_resampling": RESAMPLING}

@@ -27,6 +27,9 @@ COLUMNS = {
     "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op10_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op11_spelling_variants": "word form root n n_near form_n",
+    "op12_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13_importance_resampling": "doc_id n_features weight score rank",
 }
 N = 60
 
@@ -37,6 +40,7 @@ def folder(spark, tmp_path_factory):
     texts = [prose(i, 30 + i) + (" vilewords badname" if i % 3 == 0 else "") for i in range(N - 3)] + [None, "", "123"]
     spark.createDataFrame([(i, t, "xx" if i % 2 else "yy", "h", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(N - 3)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, prose(99, 50)), (1, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     rng = np.random.default_rng(1)
     spark.createDataFrame([(i, [float(x) for x in rng.normal(size=16)], 0) for i in range(20)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
@@ -53,6 +57,11 @@ def test_query(spark, folder, name):
     if name == "op6_embedding_dedup":
         assert sorted(r["vec_id"] for r in rows) == list(range(20)) and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
         return
+    if name == "op11_spelling_variants":
+        assert {r["word"] for r in rows} == {"vilewords"[:i] + "vilewords"[i + 1 :] for i in range(9)} & {r["word"] for r in rows} | {"vilewords", "badname"}
+        return
+    if name == "op13_importance_resampling":
+        assert sorted(r["rank"] for r in rows if r["rank"] is not None) == list(range(1, (N - 3) // 10 + 1))
     if name != "op9_packing":
         assert sorted(r["doc_id"] for r in rows) == list(range(N))
     fold = {"op3_lm_scoring": (5, 1), "op4_toxicity": (4, 2), "op7_language_id": (3, 1)}.get(name)
