@@ -2,11 +2,12 @@
 
 Method: a pair of bytes that stands inside no token of the vocabulary can only lie across
 a token's border, so a table of 256 x 256 entries marks certain cuts. A batch's texts are
-cut at once: first where a certain cut falls before a space that follows anything but white
-space, which is a border for the library's own splitting rule too, whatever stands around
-it. A worker encodes each new fragment once: the library's rule splits it, each part is cut
-again at all certain cuts, and what remains is merged by rank. No merge crosses a certain
-cut, so a text's ids are those of its fragments, one after another.
+cut at once, at those certain cuts that are a border for the library's own splitting rule
+too, whatever stands around them: between ASCII characters of different kinds, and before
+white space that follows anything else. A worker encodes each new fragment once: the
+library's rule splits it, each part is cut again at all certain cuts, and what remains is
+merged by rank. No merge crosses a certain cut, so a text's ids are those of its fragments,
+one after another.
 
 Decoding puts the tokens' bytes together, a batch at once.
 
@@ -19,7 +20,7 @@ Defined cases
                  special=False takes them as ordinary text
   empty table    an empty result
   other columns  ignored
-  long texts     whole; a text without a certain cut before a space is one fragment, merged with a heap
+  long texts     whole; a text without a certain cut is one fragment, merged with a heap
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ CACHE_FRAGMENTS = 400_000
 LONGEST_KEPT = 64
 #: Fragments of more bytes than this are merged with a heap.
 SHORT = 24
+#: A fragment that the library's splitting rule leaves whole.
+_WHOLE = re.compile(rb" ?(?:[A-Za-z]+|[0-9]+|[!-/:-@\[-`{-~]+)").fullmatch
 #: White space outside ASCII, as UTF-8.
 _WIDE_SPACE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x180E)]
 
@@ -53,6 +56,27 @@ def byte_characters() -> dict[str, int]:
     return out | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
 
 
+def splitting_borders() -> np.ndarray:
+    """Pairs of bytes between which the splitting rule of byte-level vocabularies has a border in any text.
+
+    Kinds of characters part letters, numbers, white space and others; only an apostrophe goes
+    with letters behind it, and a space with what follows. After white space a border depends
+    on more than the pair. A byte of a character outside ASCII may be of any kind; behind it
+    white space is a border unless it ends white space itself, which _wide_spaces tells.
+    """
+    letter, number, other, space, wide = range(5)
+    kind = np.full(256, -1)
+    kind[0x21:0x7F] = other
+    kind[0x30:0x3A] = number
+    kind[0x41:0x5B] = kind[0x61:0x7B] = letter
+    kind[[0x20, *range(0x09, 0x0E)]] = space
+    kind[0x80:] = wide
+    left, right = kind[:, None], kind[None, :]
+    out = (left >= 0) & (right >= 0) & (left != right) & (left != space) & (right != wide) & ((left != wide) | (right == space))
+    out[ord("'"), kind == letter] = False
+    return out
+
+
 class ByteVocabulary:
     """Tokens, merges and certain cuts of a byte-level BPE file of the tokenizers library."""
 
@@ -79,75 +103,78 @@ class ByteVocabulary:
         for x in tokens.values():
             inside[list(x[:-1]), list(x[1:])] = True
         self.certain = ~inside
+        self.certain_pairs = self.certain.tobytes()
+        self.border = self.certain & splitting_borders()
         self.single = [model["vocab"].get(c) for c, _ in sorted(self.byte_of.items(), key=lambda x: x[1])]
         if None in self.single:
             raise ValueError("a byte without a token")
         ids = {x: i for i, x in tokens.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges: dict[int, tuple[int, int]] = {}  # the pair of ids -> rank, the merged id
+        self.merges: dict[int, int] = {}  # the pair of ids -> its rank and the merged id
         for rank, (a, b) in enumerate(pairs):
             a, b = to_bytes(a), to_bytes(b)
-            self.merges.setdefault((ids[a] << 32) | ids[b], (rank, ids[a + b]))
+            self.merges.setdefault((ids[a] << 32) | ids[b], (rank << 32) | ids[a + b])
         for x in spec["added_tokens"]:  # a special token is decoded to its string
             tokens.setdefault(x["id"], x["content"].encode())
         size = max(tokens) + 1
         self.length = np.array([len(tokens.get(i, b"")) for i in range(size)], dtype=np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), dtype=np.uint8)
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
 
-    def cuts_before_space(self, data: np.ndarray) -> np.ndarray:
-        """Places of the spaces before which every text may be cut."""
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Places where every text may be cut before it is split."""
         if len(data) < 2:
             return np.zeros(0, np.int64)
-        at = np.flatnonzero(data[1:] == 0x20) + 1
-        before = data[at - 1]
-        at = at[self.certain[before, 0x20] & (before != 0x20) & ((before < 0x09) | (before > 0x0D))]
+        before, here = data[:-1], data[1:]
+        border = self.border[before, here]
+        # behind a single tab or line break too, as neither joins what follows
+        lone = (here >= 0x09) & (here <= 0x0D)
+        lone[-1:] = False
+        at = np.flatnonzero(lone) + 1
+        at = at[~_is_space(data[at - 1]) & ~_is_space(data[at + 1]) & (data[at - 1] < 0x80) & (data[at + 1] < 0x80) & self.certain[data[at], data[at + 1]]]
+        border[at] = True
+        at = np.flatnonzero(border) + 1
         wide = at[data[at - 1] >= 0x80]
-        if len(wide):
-            bad = np.zeros(len(wide), dtype=bool)
-            for space in _WIDE_SPACE:
-                here = wide >= len(space)
-                for j, byte in enumerate(space):
-                    here[here] = data[wide[here] - len(space) + j] == byte
-                bad |= here
-            at = np.setdiff1d(at, wide[bad], assume_unique=True)
-        return at
+        return np.setdiff1d(at, wide[_wide_spaces(data, wide)], assume_unique=True) if len(wide) else at
 
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of bytes without a certain cut between them."""
         ids = [self.single[b] for b in fragment]
         if len(ids) > SHORT:
             return self._merge_by_heap(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, at, new = 1 << 60, -1, -1
-            for i in range(len(ids) - 1):
-                found = merges.get((ids[i] << 32) | ids[i + 1])
-                if found and found[0] < best:
-                    best, new = found
-                    at = i
-            if at < 0:
+        get, none = self.merges.get, 1 << 62
+        found = [get((a << 32) | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best == none:
                 break
-            ids[at : at + 2] = [new]
+            at = found.index(best)
+            new = ids[at] = best & 0xFFFFFFFF
+            del ids[at + 1], found[at]
+            if at < len(found):
+                found[at] = get((new << 32) | ids[at + 1], none)
+            if at:
+                found[at - 1] = get((ids[at - 1] << 32) | new, none)
         return ids
 
     def _merge_by_heap(self, ids: list[int]) -> list[int]:
         n = len(ids)
         before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        agenda: list[tuple[int, int, int, int]] = []
+        agenda: list[tuple[int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
             found = self.merges.get((ids[a] << 32) | ids[b])
             if found:
-                heapq.heappush(agenda, (found[0], a, b, found[1]))
+                heapq.heappush(agenda, (found, a, b))
 
         for i in range(n - 1):
             offer(i, i + 1)
         while agenda:
-            rank, a, b, new = heapq.heappop(agenda)
-            if not alive[a] or not alive[b] or after[a] != b or self.merges.get((ids[a] << 32) | ids[b], (-1,))[0] != rank:
+            found, a, b = heapq.heappop(agenda)
+            if not alive[a] or not alive[b] or after[a] != b or self.merges.get((ids[a] << 32) | ids[b]) != found:
                 continue
-            ids[a], alive[b] = new, False
+            ids[a], alive[b] = found & 0xFFFFFFFF, False
             after[a] = after[b]
             if after[b] >= 0:
                 before[after[b]] = a
@@ -159,15 +186,17 @@ class ByteVocabulary:
     def encode_fragment(self, fragment: bytes, known: dict[bytes, bytes]) -> bytes:
         """Packed ids of a fragment; known has those of parts between certain cuts."""
         out = []
-        for part, _ in self.split(fragment.decode()):
-            raw = bytes(map(self.byte_of.__getitem__, part))
-            cut = np.frombuffer(raw, np.uint8)
-            places = (np.flatnonzero(self.certain[cut[:-1], cut[1:]]) + 1).tolist() if len(raw) > 1 else []
+        for raw in [fragment] if _WHOLE(fragment) else [bytes(map(self.byte_of.__getitem__, x)) for x, _ in self.split(fragment.decode())]:
+            if len(raw) <= LONGEST_KEPT:
+                places = [i for i in range(1, len(raw)) if self.certain_pairs[(raw[i - 1] << 8) | raw[i]]]
+            else:
+                data = np.frombuffer(raw, np.uint8)
+                places = (np.flatnonzero(self.certain[data[:-1], data[1:]]) + 1).tolist()
             for a, b in zip([0, *places], [*places, len(raw)], strict=True):
                 piece = raw[a:b]
                 packed = known.get(piece)
                 if packed is None:
-                    packed = np.array(self.merge(piece), dtype="<u4").tobytes()
+                    packed = b"".join([self.packed[i] for i in self.merge(piece)])
                     if len(piece) <= LONGEST_KEPT:
                         known[piece] = packed
                 out.append(packed)
@@ -181,6 +210,21 @@ class ByteVocabulary:
         return self.bytes[at], ends
 
 
+def _is_space(data: np.ndarray) -> np.ndarray:
+    return (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
+
+
+def _wide_spaces(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places stand behind white space outside ASCII."""
+    out = np.zeros(len(at), dtype=bool)
+    for space in _WIDE_SPACE:
+        here = at >= len(space)
+        for j, byte in enumerate(space):
+            here[here] = data[at[here] - len(space) + j] == byte
+        out |= here
+    return out
+
+
 class Codec:
     """Encodes the texts of Arrow batches; remembers fragments, and parts of fragments, apart."""
 
@@ -213,7 +257,7 @@ class Codec:
                 out.append(np.array([v.special[x]], dtype="<u4").tobytes())
             elif x:
                 raw = x.encode()
-                places = v.cuts_before_space(np.frombuffer(raw, np.uint8)).tolist()
+                places = v.cuts(np.frombuffer(raw, np.uint8)).tolist()
                 out += self._packed([raw[a:b] for a, b in zip([0, *places], [*places, len(raw)], strict=True)])
         return b"".join(out)
 
@@ -222,7 +266,7 @@ class Codec:
         data, offsets = utf8_buffer(column)
         raw = data.tobytes()
         # a cut at every text's start as well; empty texts have no fragment
-        places = np.union1d(self.vocabulary.cuts_before_space(data), offsets)
+        places = np.union1d(self.vocabulary.cuts(data), offsets)
         starts = places[places < len(data)]
         first = np.searchsorted(starts, offsets).tolist()
         bounds = [*starts.tolist(), len(raw)]
