@@ -15,14 +15,101 @@ from pyspark.sql import functions as F
 YIQ = np.array([[0.29889531, 0.58662247, 0.11448223], [0.59597799, -0.27417610, -0.32180189], [0.21147017, -0.52261711, 0.31114694]])
 YIQ_WEIGHT = np.array([0.5053, 0.299, 0.1957])
 MOST = 35215.0
+# The two shades of the checkerboard behind transparent pixels, and what a byte's place is divided by for red, green and blue.
+BACK_DARK, BACK_STEP = 48.0, 159.0
+BACKGROUND = (1.0, 1.618033988749895, 2.618033988749895)
+# How far the resizing filters reach, and the bits of their weights.
+SUPPORT = {"box": 0.5, "bilinear": 1.0, "lanczos": 3.0}
+PRECISION = 22
 
 
 def _image(data: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, 3)
 
 
-def _pad(a: np.ndarray, height: int, width: int) -> np.ndarray:
-    return np.pad(a, ((0, height - a.shape[0]), (0, width - a.shape[1]), (0, 0)), constant_values=255)
+def resize_matrix(size_in: int, size_out: int, kind: str = "lanczos") -> np.ndarray:
+    """Whole-number weights, size_out x size_in, in units of 2 ** -PRECISION."""
+    scale = max(size_in / size_out, 1.0)
+    center = (np.arange(size_out) + 0.5) * (size_in / size_out)
+    reach = SUPPORT[kind] * scale
+    first = np.maximum(0, np.trunc(center - reach + 0.5))[:, None]
+    last = np.minimum(size_in, np.trunc(center + reach + 0.5))[:, None]
+    at = np.arange(size_in)[None, :]
+    x = (at - center[:, None] + 0.5) * (1 / scale)
+    if kind == "box":
+        w = ((x > -0.5) & (x <= 0.5)).astype(float)
+    elif kind == "bilinear":
+        w = np.maximum(0.0, 1 - np.abs(x))
+    else:
+        w = np.where((x >= -3) & (x < 3), np.sinc(x) * np.sinc(x / 3), 0.0)
+    w = np.where((at >= first) & (at < last), w, 0.0)
+    w = w / w.sum(axis=1, keepdims=True) * (1 << PRECISION)
+    return np.where(w < 0, np.ceil(w - 0.5), np.floor(w + 0.5)).astype(np.int64)
+
+
+def resized(a: np.ndarray, height: int, width: int, kind: str = "lanczos") -> np.ndarray:
+    """A picture in another size: lines, then columns, each rounded to whole values."""
+    half = 1 << (PRECISION - 1)
+    out = a.astype(np.int64)
+    if a.shape[1] != width:
+        out = np.clip((np.einsum("oi,hic->hoc", resize_matrix(a.shape[1], width, kind), out) + half) >> PRECISION, 0, 255)
+    if a.shape[0] != height:
+        out = np.clip((np.einsum("oi,iwc->owc", resize_matrix(a.shape[0], height, kind), out) + half) >> PRECISION, 0, 255)
+    return out.astype(np.uint8)
+
+
+_AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
+
+
+def _shifted(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
+    """For each place what stands dx to the right and dy below; zeros beyond the edge."""
+    out = np.zeros_like(a)
+    h, w = a.shape[:2]
+    out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = a[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
+    return out
+
+
+def smoothed(a: np.ndarray, b: np.ndarray, there: np.ndarray, origin: tuple[int, int], size: tuple[int, int], checkerboard: bool = True) -> np.ndarray:
+    """Which pixels of a part of two pictures (r, g, b, a) lie on a smoothed edge of either.
+
+    A pixel does if at most two neighbours are as bright as it, one is darker and one brighter,
+    and its darkest or its brightest neighbour has more than two equal neighbours in both
+    pictures. The picture's own edge counts as one equal neighbour. there: the pixels that
+    exist; origin: the part's first column and row; size: the picture's width and height.
+    """
+    h, w = there.shape
+    x, y = np.arange(w)[None, :] + origin[0], np.arange(h)[:, None] + origin[1]
+    edge = ((x == 0) | (x == size[0] - 1) | (y == 0) | (y == size[1] - 1)).astype(int)
+    beside = [_shifted(there, dx, dy) for dx, dy in _AROUND]
+    place = (y * size[0] + x) * 4
+    back = [BACK_DARK + BACK_STEP * (np.floor(place / by) % 2) if checkerboard else np.full((h, w), 255.0) for by in BACKGROUND]
+
+    def has_equals(p: np.ndarray) -> np.ndarray:
+        equal = edge.copy()
+        for (dx, dy), ok in zip(_AROUND, beside, strict=True):
+            equal += ok & (_shifted(p, dx, dy) == p).all(axis=2)
+        return equal > 2
+
+    equals = has_equals(a) & has_equals(b)
+
+    def on_edge(p: np.ndarray) -> np.ndarray:
+        zeroes, low, high = edge.copy(), np.zeros((h, w)), np.zeros((h, w))
+        at_low, at_high = np.zeros((h, w), dtype=bool), np.zeros((h, w), dtype=bool)
+        for (dx, dy), ok in zip(_AROUND, beside, strict=True):
+            n = _shifted(p, dx, dy)
+            off = [(p[..., c] - n[..., c]).astype(float) for c in range(3)]
+            clear = ((p[..., 3] < 255) | (n[..., 3] < 255)) & (p != n).any(axis=2)
+            if clear.any():
+                off = [np.where(clear, (p[..., c] * p[..., 3] - n[..., c] * n[..., 3] - back[c] * (p[..., 3] - n[..., 3])) / 255.0, off[c]) for c in range(3)]
+            delta = off[0] * YIQ[0, 0] + off[1] * YIQ[0, 1] + off[2] * YIQ[0, 2]
+            zeroes += ok & (delta == 0)
+            darker, there_equals = ok & (delta < low), _shifted(equals, dx, dy)
+            brighter = ok & ~darker & (delta > high)
+            low, high = np.where(darker, delta, low), np.where(brighter, delta, high)
+            at_low, at_high = np.where(darker, there_equals, at_low), np.where(brighter, there_equals, at_high)
+        return (zeroes <= 2) & (low < 0) & (high > 0) & (at_low | at_high)
+
+    return on_edge(a) | on_edge(b)
 
 
 def pixel_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -64,16 +151,18 @@ def largest_uniform_rectangle(mask: np.ndarray) -> int:
 
 
 def image_scores(pairs: DataFrame, key: str, threshold: float = 0.1) -> DataFrame:
-    """key, pixelmatch, mse, ssim and size_match of pairs (a, aw, ah, b, bw, bh); pairs of different sizes are padded."""
+    """key, pixelmatch, mse, ssim and size_match of pairs (a, aw, ah, b, bw, bh): b is resized to a; pixels on smoothed edges do not count as different."""
 
     def score(frames):
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
                 a, b = _image(r.a, r.aw, r.ah), _image(r.b, r.bw, r.bh)
-                h, w = max(r.ah, r.bh), max(r.aw, r.bw)
-                a, b = _pad(a, h, w), _pad(b, h, w)
+                b = resized(b, r.ah, r.aw)
                 differs = pixel_difference(a, b) > MOST * threshold**2
+                if differs.any():
+                    opaque = [np.concatenate([p.astype(np.int64), np.full((*p.shape[:2], 1), 255)], axis=2) for p in (a, b)]
+                    differs &= ~smoothed(*opaque, np.ones(differs.shape, dtype=bool), (0, 0), (r.aw, r.ah))
                 grey = np.array([0.299, 0.587, 0.114])
                 out.append((1 - differs.mean(), ((a.astype(float) - b) ** 2).mean(), ssim(a @ grey, b @ grey), min(r.aw, r.bw) / max(r.aw, r.bw) * min(r.ah, r.bh) / max(r.ah, r.bh)))
             yield pd.concat([pdf[[key]].reset_index(drop=True), pd.DataFrame(out, columns=["pixelmatch", "mse", "ssim", "size_match"], dtype="float64")], axis=1)
