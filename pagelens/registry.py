@@ -115,7 +115,7 @@ def reward_weight_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
   case when l_linenumber % 3 = 0 then (l_partkey % 13) / 13.0::double end delta_pixelmatch, (l_partkey % 11) / 11.0::double pixelmatch,
   case when l_linenumber % 4 <> 0 then (l_suppkey % 9) / 9.0::double end color_delta from lineitem),
  b as (select run, capture, case when motion_delta is null then bbox_iou else (bbox_iou + motion_delta) / 2 end bbox, coalesce(delta_pixelmatch, pixelmatch) pixel, color_delta cssom from a)
- select run, capture, round(bbox, 6) bbox, round(pixel, 6) pixel, round((bbox * 0.15 + pixel * 0.05 + coalesce(cssom, 0) * 0.05) / (0.20 + case when cssom is null then 0 else 0.05 end), 6)::double score from b""")
+ select run, capture, round(bbox, 6) bbox, round(pixel, 6) pixel, round((bbox * 0.10 + pixel * 0.05 + coalesce(cssom, 0) * 0.10) / (0.15 + case when cssom is null then 0 else 0.10 end), 6)::double score from b""")
 def reward_animation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c, n: (F.pmod(F.col(c), F.lit(n)) / n).cast("double")
     n = F.col("l_linenumber")

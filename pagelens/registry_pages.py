@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.operators import tiles
+from pagelens.operators import payload, tiles
 from pagelens.registry import oracle_sql, queries, query, read
 from pagelens.sources.sinks import rounded
 
@@ -109,3 +109,67 @@ def difference_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _drawn(spark, sf_dir, 0), _drawn(spark, sf_dir, 1)
     out = tiles.difference_tags(tiles.pixelmatch(a, b, ["image"], include_aa=True), tiles.difference_clusters(a, b, ["image"]), ["image"])
     return out.withColumn("diff_ratio", rounded(F.col("diff_ratio")))
+
+# --- metric payloads: an order is a run, its first four lines captures, the others animations ------------------------------
+
+#: A line's item as JSON text; numbers, texts, flags and missing parts change with the line.
+_CAPTURE_JSON = """case when l_partkey % 22 = 0 then concat('{"coverage":{"score":', 1 - l_discount, '},"metrics":{"status":"unsupported","reason":"no_page"}}')
+ when l_partkey % 11 = 0 then concat('{"coverage":{"score":', 1 - l_discount, '},"metrics":"broken","missing_reason":"lost"}')
+ else concat('{"capture":{', case when l_linenumber = 3 then '' else concat('"weight":', l_quantity - 10) end, '},"coverage":{"score":', 1 - l_discount, '},"metrics":{"status":"scored",',
+  '"screenshot_size_match":{"score":', l_partkey % 10 / 10D, '},"html_text":{"bleu_1":', l_suppkey % 7 / 7D, ',"rouge_1_recall":', l_partkey % 9 / 9D, '},',
+  '"vlm_judge":{"overall":', l_partkey % 8 / 8D, case when l_suppkey % 5 = 0 then ',"skipped":true' else '' end, '},',
+  '"pixelmatch":{"score":', l_suppkey % 9 / 9D, case l_partkey % 6 when 0 then ',"error":"timeout"' when 1 then ',"error":""' else '' end, '},',
+  '"visual_block":{"score":', l_partkey % 4 / 4D, ',"block_pixelmatch":{"score":', l_suppkey % 11 / 11D, '}', case when l_suppkey % 8 = 0 then ',"unsupported":1' else '' end, '},',
+  case when l_partkey % 7 = 0 then '' else concat('"bbox_geometry":{"score":', l_suppkey % 6 / 6D, '},') end,
+  '"cssom_block_style":{"score":', case when l_suppkey % 4 = 0 then concat('"', l_partkey % 5 / 5D, '"') else string(l_partkey % 5 / 5D) end, '},',
+  '"dreamsim":{"score":', l_suppkey % 3 / 3D, ',"unsupported":', l_partkey % 9 = 0, '}}}') end"""
+_ANIMATION_JSON = """concat('{"animation":{"weight":', l_quantity / 10, '},"metrics":{"status":"', case when l_partkey % 6 = 0 then 'unsupported","reason":"no_timeline' else 'scored' end,
+ '","targets":[{"scores":{"motion":{"bbox_iou":', l_partkey % 10 / 10D, ',"motion_delta":', case when l_suppkey % 3 = 0 then 'null' else string(l_suppkey % 7 / 7D) end, '},"color":{"target_box_pixelmatch":', l_partkey % 11 / 11D, '}}},',
+ '{"scores":{"color":{"color_delta":', l_suppkey % 9 / 9D, case when l_suppkey % 2 = 0 then '' else concat(',"target_box_delta_pixelmatch":', l_partkey % 13 / 13D) end, '}}}]}}')"""
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, payload): the metrics of each order as the JSON text a run writes."""
+    lines = read(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")))
+    items = lines.selectExpr("l_orderkey run", "l_linenumber > 4 moves", "concat('\"', l_linenumber, '.', n, '\":') id", f"case when l_linenumber > 4 then {_ANIMATION_JSON} else {_CAPTURE_JSON} end item")
+    listed = lambda moves: F.array_join(F.sort_array(F.collect_list(F.when(F.col("moves") == moves, F.concat("id", "item")))), ",")
+    return items.groupBy("run").agg(F.concat(F.lit('{"captures":{'), listed(False), F.lit('},"animations":{'), listed(True), F.lit("}}")).alias("payload"))
+
+
+_W = {"size": 0.05, "html": 0.1, "vlm": 0.2, "pixel": 0.05, "block": 0.0, "bbox": 0.1, "cssom": 0.1, "dreamsim": 0.1}
+_PARTS_SQL = ", ".join(f"case when scored and d > 0 and {c} is not null and {'true' if c in ('size', 'html', 'vlm') else 'passed'} then {c} * {w}::double / d else 0 end {c}_part" for c, w in _W.items())
+_PAYLOAD_SQL = f"""l as (select *, l_orderkey run, l_linenumber || '.' || row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) item_id, l_linenumber > 4 moves from lineitem),
+ o as (select run, item_id, moves, case when moves then l_partkey % 6 <> 0 else l_partkey % 11 <> 0 end scored, greatest(0, case when moves then l_quantity / 10 when l_linenumber = 3 or l_partkey % 11 = 0 then 1 else l_quantity - 10 end)::double weight,
+   case when moves then null when l_partkey % 22 = 0 then 'no_page' when l_partkey % 11 = 0 then 'lost' end lost,
+   case when moves then (l_partkey % 6 <> 0)::int::double else (1 - l_discount)::double end coverage,
+   case when not moves then l_partkey % 10 / 10.0::double end size, case when not moves then (l_suppkey % 7 / 7.0::double + l_partkey % 9 / 9.0::double) / 2 end html, case when not moves and l_suppkey % 5 <> 0 then l_partkey % 8 / 8.0::double end vlm,
+   case when moves and l_suppkey % 2 = 0 then l_partkey % 11 / 11.0::double when moves then l_partkey % 13 / 13.0::double when l_partkey % 6 <> 0 then l_suppkey % 9 / 9.0::double end pixel,
+   case when not moves and l_suppkey % 8 <> 0 then l_partkey % 4 / 4.0::double end block, case when not moves and l_suppkey % 8 <> 0 then l_suppkey % 11 / 11.0::double end block_pixel,
+   case when moves and l_suppkey % 3 = 0 then l_partkey % 10 / 10.0::double when moves then (l_partkey % 10 / 10.0::double + l_suppkey % 7 / 7.0::double) / 2 when l_partkey % 7 <> 0 then l_suppkey % 6 / 6.0::double end bbox,
+   case when moves then l_suppkey % 9 / 9.0::double when l_suppkey % 4 <> 0 then l_partkey % 5 / 5.0::double end cssom, case when not moves and l_partkey % 9 <> 0 then l_suppkey % 3 / 3.0::double end dreamsim from l),
+ c as (select run, item_id, moves, scored, weight, coverage, case when moves and not scored then 'no_timeline' when not scored then lost end reason, {", ".join(f"case when scored then {c} when not moves then 0.0 end {c}" for c in _W)},
+   case when scored and not moves then pixel end global_pixel, case when scored then block_pixel end block_pixel from o),
+ g as (select *, scored and coalesce(size, 1) >= 0.4 and coalesce(html, 1) >= 0.4 and coalesce(vlm, 1) >= 0.4 passed from c),
+ h as (select *, case when not scored then 0 when passed then {" + ".join(f"({c} is not null)::int * {w}::double" for c, w in _W.items())} else 0.7 end d from g),
+ items as (select *, {_PARTS_SQL} from h),
+ rows as (select *, {" + ".join(f"{c}_part" for c in _W)} before_coverage from items), scores as (select *, before_coverage * coverage score from rows)"""
+
+
+@query(f"""with {_PAYLOAD_SQL} select run, item_id, case when moves then 'animation' else 'capture' end item_type, weight, case when scored then 'scored' else 'unsupported' end status, reason, passed gate_passed,
+ case when not scored and moves then 0 else coalesce((size < 0.4)::int, 0) + coalesce((html < 0.4)::int, 0) + coalesce((vlm < 0.4)::int, 0) end gate_fails, {", ".join(f"round({c}, 9)::double {c}" for c in (*_W, "global_pixel", "block_pixel", "coverage", "before_coverage", "score"))}
+ from scores""")
+def payload_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = payload.item_rewards(_payloads(spark, sf_dir), ["run"])
+    return rows.select("run", "item_id", "item_type", "weight", "status", "reason", "gate_passed", F.size("gate_failures").alias("gate_fails"), *(rounded(F.col(c), 9).alias(c) for c in (*payload.COMPONENTS, "coverage", "before_coverage", "score")))
+
+
+_ALL_MEANS = ("score", "before_coverage", "coverage", *(f"{c}_part" for c in _W))
+
+
+@query(f"""with {_PAYLOAD_SQL} select run, {", ".join(f"round(coalesce(case when sum(weight) > 0 then sum({c} * weight) / sum(weight) else 0 end, 0), 9)::double {c}" for c in _ALL_MEANS)},
+ {", ".join(f"round(case when sum(weight) filter ({c} is not null) > 0 then sum({c} * weight) / sum(weight) filter ({c} is not null) end, 9)::double {c}" for c in (*_W, "global_pixel", "block_pixel"))},
+ count(*) items, count(*) filter (scored) scored_items, count(*) filter (not moves) captures, count(*) filter (moves) animations, count(*) filter (moves and scored) scored_animations, count(*) filter (passed) gate_passed,
+ {", ".join(f"count(*) filter ({c} is null and (scored or moves)) {c}_unavailable" for c in _W)} from scores group by run""")
+def payload_run_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = payload.run_reward(payload.item_rewards(_payloads(spark, sf_dir), ["run"]), ["run"])
+    return out.withColumns({c: rounded(F.col(c), 9) for c in (*_ALL_MEANS, *payload.COMPONENTS)})
