@@ -19,7 +19,7 @@ MOST = 35215.0
 BACK_DARK, BACK_STEP = 48.0, 159.0
 BACKGROUND = (1.0, 1.618033988749895, 2.618033988749895)
 # How far the resizing filters reach, and the bits of their weights.
-SUPPORT = {"box": 0.5, "bilinear": 1.0, "lanczos": 3.0}
+SUPPORT = {"box": 0.5, "bilinear": 1.0, "bicubic": 2.0, "lanczos": 3.0}
 PRECISION = 22
 
 
@@ -40,6 +40,9 @@ def resize_matrix(size_in: int, size_out: int, kind: str = "lanczos") -> np.ndar
         w = ((x > -0.5) & (x <= 0.5)).astype(float)
     elif kind == "bilinear":
         w = np.maximum(0.0, 1 - np.abs(x))
+    elif kind == "bicubic":
+        v = np.abs(x)
+        w = np.where(v < 1, (1.5 * v - 2.5) * v * v + 1, np.where(v < 2, (((v - 5) * v + 8) * v - 4) * -0.5, 0.0))
     else:
         w = np.where((x >= -3) & (x < 3), np.sinc(x) * np.sinc(x / 3), 0.0)
     w = np.where((at >= first) & (at < last), w, 0.0)

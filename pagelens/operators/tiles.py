@@ -47,6 +47,9 @@ def _filter(kind: str, x: Column) -> Column:
         return ((x > -0.5) & (x <= 0.5)).cast("double")
     if kind == "bilinear":
         return F.greatest(F.lit(0.0), 1 - F.abs(x))
+    if kind == "bicubic":
+        v = F.abs(x)
+        return F.when(v < 1, (1.5 * v - 2.5) * v * v + 1).when(v < 2, (((v - 5) * v + 8) * v - 4) * -0.5).otherwise(0.0)
     sinc = lambda v: F.when(v == 0, 1.0).otherwise(F.sin(v * np.pi) / (v * np.pi))
     return F.when((x >= -3) & (x < 3), sinc(x) * sinc(x / 3)).otherwise(0.0)
 
@@ -77,7 +80,7 @@ def _resize_lines(pixels: DataFrame, keys: list[str], along: str, channels: list
 
 
 def resize(pixels: DataFrame, image: list[str], sizes: DataFrame, kind: str = "lanczos") -> DataFrame:
-    """The pictures in the sizes of a table (image, width, height): by lanczos, box (areas) or bilinear weights.
+    """The pictures in the sizes of a table (image, width, height): by lanczos, bicubic, bilinear or box (area) weights.
 
     Lines first, then columns, each rounded to whole values. Transparent pixels weigh in by
     their opacity.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.operators import payload, tiles
+from pagelens.operators import animation, payload, tiles
 from pagelens.registry import oracle_sql, queries, query, read
 from pagelens.sources.sinks import rounded
 
@@ -173,3 +173,56 @@ _ALL_MEANS = ("score", "before_coverage", "coverage", *(f"{c}_part" for c in _W)
 def payload_run_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = payload.run_reward(payload.item_rewards(_payloads(spark, sf_dir), ["run"]), ["run"])
     return out.withColumns({c: rounded(F.col(c), 9) for c in (*_ALL_MEANS, *payload.COMPONENTS)})
+
+# --- animations: a user is an animation, each event a frame of one of its targets on one side ------------------------------
+
+_CHANNELS = "case when {0} % 5 = 0 then array() when {0} % 5 = 1 then array('motion') when {0} % 5 = 2 then array('color') else array('motion', 'color') end"
+_RGB_TEXT = "concat('rgb(', {0} % 256, ', ', {0} * 3 % 256, ', ', {0} * 7 % 256, ')')"
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = "event_id"
+    return read(spark, sf_dir, "events").selectExpr(
+        "user_id animation", f"case when {e} div 3 % 2 = 0 then 'reference' else 'candidate' end side", f"cast({e} % 3 as int) target", "struct(ts, event_id) frame", f"concat('target ', {e} % 3) name",
+        f"array_distinct({_CHANNELS.format('user_id')}) channels", "value x", f"double({e} % 50) y", f"double(20 + {e} % 30) w", f"double(10 + {e} % 20) h",
+        f"map_filter(map('color', {_RGB_TEXT.format(e)}, 'background-color', {_RGB_TEXT.format(f'({e} * 5)')}, 'Transform', concat('scale( ', {e} % 2, ')'), 'border-top-color', if({e} % 5 = 0, null, {_RGB_TEXT.format(f'({e} * 11)')})), (k, v) -> v is not null) style",
+        f"double({e} % 4) top", "1D right", f"double({e} % 3) bottom", "double(null) left",
+    )
+
+
+_FRAME_SQL = """e as (select user_id animation, event_id // 3 % 2 side, (event_id % 3)::int target, ts, event_id, user_id % 5 kind, value x, event_id % 50 y, 20 + event_id % 30 w, 10 + event_id % 20 h from events),
+ f as (select *, row_number() over (partition by animation, side, target order by ts, event_id) n from e),
+ sides as (select animation, count(distinct side) = 2 both_ from f group by 1),
+ t as (select animation, target, max('target ' || target) filter (side = 0) as name, count(distinct side) = 2 both_, any_value(kind) kind from f where n = 1 group by 1, 2),
+ targets as (select animation, target, name, both_ and kind in (1, 3, 4) moves, both_ and kind in (2, 3, 4) paints, case when not both_ or kind = 0 then []::varchar[] when kind = 1 then ['motion'] when kind = 2 then ['color'] else ['color', 'motion'] end channels from t),
+ z as (select r.animation, r.target, r.n, r.event_id re, c.event_id ce, r.x, r.y, r.w, r.h, c.x cx, c.y cy, c.w cw, c.h ch from f r join f c on c.animation = r.animation and c.target = r.target and c.n = r.n and c.side = 1 where r.side = 0),
+ i as (select *, greatest(0, least(x + w, cx + cw) - greatest(x, cx)) * greatest(0, least(y + h, cy + ch) - greatest(y, cy)) common, x + w / 2.0::double mx, y + h / 2.0::double my, cx + cw / 2.0::double nx, cy + ch / 2.0::double ny from z),
+ s as (select *, mx - lag(mx) over v dx, my - lag(my) over v dy, nx - lag(nx) over v ex, ny - lag(ny) over v ey from i window v as (partition by animation, target order by n)),
+ q as (select *, sqrt(dx * dx + dy * dy) rm, sqrt(ex * ex + ey * ey) cm, sqrt((ex - dx) ** 2 + (ey - dy) ** 2) err from s),
+ m as (select animation, target, avg(common / (w * h + cw * ch - common)) bbox_iou, coalesce(sum(case when rm <= 1 then 0 else greatest(0, 1 - err / rm) * rm end) / nullif(sum(case when rm <= 1 and cm <= 1 then 0 when rm <= 1 then cm else rm end), 0), 1) motion_delta from q group by 1, 2),
+ p as (select z.*, prop, case prop when 'color' then re when 'background-color' then re * 5 else re * 11 end rv, case prop when 'color' then ce when 'background-color' then ce * 5 else ce * 11 end cv,
+   prop <> 'border-top-color' or re % 5 <> 0 rt, prop <> 'border-top-color' or ce % 5 <> 0 ct from z, (values ('color'), ('background-color'), ('border-top-color'), ('transform')) o(prop)),
+ b as (select *, first(rv) over v r0, first(cv) over v c0, first(rt) over v r0t, first(ct) over v c0t from p window v as (partition by animation, target, prop order by n rows between unbounded preceding and current row)),
+ d as (select *, rt and ct and r0t and c0t known, rv % 256 - r0 % 256 a1, rv * 3 % 256 - r0 * 3 % 256 a2, rv * 7 % 256 - r0 * 7 % 256 a3, cv % 256 - c0 % 256 b1, cv * 3 % 256 - c0 * 3 % 256 b2, cv * 7 % 256 - c0 * 7 % 256 b3 from b where rt or ct),
+ g as (select *, sqrt((a1 * a1 + a2 * a2 + a3 * a3)::double) size, sqrt(((b1 - a1) ** 2 + (b2 - a2) ** 2 + (b3 - a3) ** 2)::double) off,
+   least(re % 4 + re % 3, h) rows_, case when prop = 'background-color' then greatest(1, w * h - least(w * h, w * least(re % 4 + re % 3, h) + greatest(0, h - least(re % 4 + re % 3, h)) * least(w, 2))) when prop = 'border-top-color' then greatest(1, w * least(re % 4, h)) else 1 end area from d),
+ k as (select *, case when prop = 'transform' then (re % 2 = ce % 2)::int::double when known and size > 1 then greatest(0, 1 - off / size) end score, case when prop <> 'transform' and known and size > 1 then size * area end weight from g),
+ c as (select animation, target, n, avg(score) mean, sum(score * weight) total, sum(weight) weight from k group by 1, 2, 3),
+ colours as (select animation, target, case when sum(weight) > 0 then sum(total) / sum(weight) else avg(mean) end color_delta from c group by 1, 2),
+ found as (select animation, target, name, channels, case when moves then bbox_iou end bbox_iou, case when moves then motion_delta end motion_delta, case when paints then color_delta end color_delta from targets left join m using (animation, target) left join colours using (animation, target))"""
+
+
+@query(f"""with {_FRAME_SQL} select animation, target, name, channels, round(bbox_iou, 9) bbox_iou, round(motion_delta, 9)::double motion_delta, round(color_delta, 9)::double color_delta from found""")
+def animation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = animation.animation_targets(_frames(spark, sf_dir), ["animation"])
+    return out.select("animation", "target", "name", "channels", *(rounded(F.col(c), 9).alias(c) for c in ("bbox_iou", "motion_delta", "color_delta")))
+
+
+@query(f"""with {_FRAME_SQL}, a as (select animation, any_value(both_) both_, avg(bbox_iou) bbox_iou, avg(motion_delta) motion_delta, avg(color_delta) color_delta from sides left join found using (animation) group by 1),
+ h as (select animation, both_, case when both_ then (bbox_iou + motion_delta) / 2 end bbox, case when both_ then color_delta end cssom from a)
+ select animation, case when both_ then 'scored' else 'unsupported' end status, case when not both_ then 'animation_timeline_missing' end reason, round(bbox, 9)::double bbox, round(cssom, 9)::double cssom,
+  (both_ and (bbox is not null or cssom is not null))::int::double coverage,
+  round(coalesce((coalesce(bbox, 0) * 0.1 + coalesce(cssom, 0) * 0.1) / nullif((bbox is not null)::int * 0.1 + (cssom is not null)::int * 0.1, 0), 0), 9)::double score from h""")
+def animation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = animation.animation_pairs(_frames(spark, sf_dir), ["animation"])
+    return out.select("animation", "status", "reason", "coverage", *(rounded(F.col(c), 9).alias(c) for c in ("bbox", "cssom", "score")))

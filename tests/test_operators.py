@@ -43,7 +43,7 @@ def test_gate(spark):
 def test_animation_reward(spark):
     rows = spark.createDataFrame([(0.0, 0.0, 1.0, None, None, 1.0)], "bbox_iou double, motion_delta double, delta_pixelmatch double, pixelmatch double, color_delta double, cssom_color double")
     row = reward.animation_reward(rows).first()
-    assert (row["bbox"], row["pixel"], row["cssom"]) == (0, 1, 1) and row["score"] == pytest.approx(0.1 / 0.25)
+    assert (row["bbox"], row["pixel"], row["cssom"]) == (0, 1, 1) and row["score"] == pytest.approx(0.15 / 0.25)
 
 
 def test_unknown_weight_mode():

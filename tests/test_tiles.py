@@ -92,7 +92,7 @@ def test_pixelmatch_ignores_smoothed_edges(spark, alpha):
     assert tiles.pixelmatch(a.limit(0), b, ["image"]).count() == 0
 
 
-@pytest.mark.parametrize("kind", ["lanczos", "box", "bilinear"])
+@pytest.mark.parametrize("kind", ["lanczos", "box", "bilinear", "bicubic"])
 def test_resize(spark, kind):
     rng = np.random.default_rng(5)
     sizes = {"down": (17, 23, 6, 9), "up": (7, 5, 16, 21), "wider": (8, 6, 8, 13), "lower": (11, 6, 4, 6), "same": (5, 4, 5, 4), "one": (9, 9, 1, 1)}
