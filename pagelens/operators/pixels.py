@@ -64,6 +64,6 @@ def errors(a: DataFrame, b: DataFrame, image: list[str]) -> DataFrame:
 
 
 def recoloured(a: DataFrame, b: DataFrame, image: list[str]) -> DataFrame:
-    """Pixels that a second rendering moved by the fixed shift in every channel, round the end of the scale."""
-    moved = reduce(lambda x, y: x & y, [F.abs(F.pmod(F.col(f"{c}2") - F.col(c), F.lit(256)) - SHIFT) <= TOLERANCE for c in RGB])
+    """Pixels that a second rendering moved by the fixed shift in every channel; the shifted value goes round the end of the scale, its distance to the second does not."""
+    moved = reduce(lambda x, y: x & y, [F.abs(F.pmod(F.col(c) + SHIFT, F.lit(256)) - F.col(f"{c}2")) <= TOLERANCE for c in RGB])
     return _both(a, b, image).where(moved).select(*image, "x", "y")

@@ -214,12 +214,14 @@ def ordered_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text -------------------------------------------------------------------------------------------------
 
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-_PAIRS_SQL = f"""pairs as (select doc_id, item_id, d.t c, b.t r from (select doc_id, {_TOKENS} t from documents) d
-  join (select item_id, {_TOKENS} t, (select count(*) from benchmark) n from benchmark) b on d.doc_id % b.n = b.item_id),
- r as (select doc_id, item_id, x, count(*) n from (select doc_id, item_id, unnest(r) x from pairs) group by 1, 2, 3),
- c as (select doc_id, item_id, x, count(*) n from (select doc_id, item_id, unnest(c) x from pairs) group by 1, 2, 3),
- j as (select doc_id, item_id, coalesce(r.n, 0) rn, coalesce(c.n, 0) cn from r full join c using (doc_id, item_id, x)),
- s as (select doc_id, item_id, sum(least(rn, cn)) m, sum(rn) rt, sum(cn) ct, count(*) filter (rn > 0 and cn > 0) shared, count(*) filter (rn > 0) dr from j group by 1, 2)"""
+#: Tokens are counted once a text and once an item; only tokens of both meet, and totals come from the lists' lengths.
+_PAIRS_SQL = f"""docs as (select doc_id, doc_id % (select count(*) from benchmark) item_id, coalesce({_TOKENS}, []) c from documents),
+ items as (select item_id, {_TOKENS} r from benchmark),
+ dn as (select doc_id, item_id, x, count(*) n from (select doc_id, item_id, unnest(c) x from docs) group by 1, 2, 3),
+ rn as (select item_id, x, count(*) n from (select item_id, unnest(r) x from items) group by 1, 2),
+ met as (select doc_id, item_id, sum(least(dn.n, rn.n)) m, count(*) shared from dn join rn using (item_id, x) group by 1, 2),
+ sizes as (select item_id, len(r) rt, (select count(*) from rn where rn.item_id = items.item_id) dr from items),
+ s as (select doc_id, item_id, coalesce(m, 0) m, coalesce(shared, 0) shared, len(c) ct, rt, dr from docs join sizes using (item_id) left join met using (doc_id, item_id))"""
 
 
 def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,14 +232,12 @@ def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_similarity.unigram_scores_of(docs, items.select("item_id", text.words(F.col("text")).alias("words")), "doc_id", "item_id")
 
 
-@query(f"""with {_PAIRS_SQL} select doc_id, item_id, round(coalesce(case when m = 0 or ct = 0 then 0 else case when ct >= rt then 1 else exp(1 - rt / ct) end * m / ct end, 0), 6)::double bleu_1
- from (select doc_id, item_id from pairs) left join s using (doc_id, item_id)""")
+@query(f"""with {_PAIRS_SQL} select doc_id, item_id, round(coalesce(case when m = 0 or ct = 0 then 0 else case when ct >= rt then 1 else exp(1 - rt / ct) end * m / ct end, 0), 6)::double bleu_1 from s""")
 def text_bleu1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_pairs(spark, sf_dir).select("doc_id", "item_id", rounded(F.col("bleu_1")).alias("bleu_1"))
 
 
-@query(f"""with {_PAIRS_SQL} select doc_id, item_id, round(coalesce(case when dr = 0 then 0 else shared / dr end, 0), 6)::double rouge_1_recall
- from (select doc_id, item_id from pairs) left join s using (doc_id, item_id)""")
+@query(f"""with {_PAIRS_SQL} select doc_id, item_id, round(coalesce(case when dr = 0 then 0 else shared / dr end, 0), 6)::double rouge_1_recall from s""")
 def text_rouge1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_pairs(spark, sf_dir).select("doc_id", "item_id", rounded(F.col("rouge_1_recall")).alias("rouge_1_recall"))
 

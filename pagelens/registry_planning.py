@@ -103,9 +103,9 @@ def bounded_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", paths.bounded(F.col("text")).alias("bounded"))
 
 
-@query("""select event_id, event_type in ('click', 'view') and event_id % 3 <> 2 transient from (select *, case event_id % 3 when 0 then 'API Error 529' when 1 then 'Rate limit reached' else 'bad request' end m from events) where event_type in ('click', 'view')""")
+@query("""select event_id, event_id % 3 <> 2 transient from events""")
 def transient_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").where("event_type in ('click', 'view')").selectExpr("event_id", "case event_id % 3 when 0 then 'API Error 529' when 1 then 'Rate limit reached' else 'bad request' end m")
+    rows = read(spark, sf_dir, "events").selectExpr("event_id", "case event_id % 3 when 0 then 'API Error 529' when 1 then 'Rate limit reached' else 'bad request' end m")
     return rows.select("event_id", paths.is_transient(F.col("m")).alias("transient"))
 
 
@@ -369,11 +369,11 @@ def colour_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", geometry.colour_area(c("prop"), c("w"), c("h"), c("t"), c("l"), c("t"), c("l")).alias("area"))
 
 
-@query("""select p_partkey, case p_partkey % 4 when 0 then round(greatest(0, 1 - abs(p_size - 20) / greatest(p_size, 20, 1)), 6) when 1 then case when p_size % 2 = 0 then 1.0 end when 2 then 1.0 else 0.95 end::double similarity from part where not (p_partkey % 4 = 1 and p_size % 2 = 1)""")
+@query("""select p_partkey, case p_partkey % 4 when 0 then round(greatest(0, 1 - abs(p_size - 20) / greatest(p_size, 20, 1)), 6) when 1 then case when p_size % 2 = 0 then 1.0 else round(12.0::double / (12 + length(p_size::varchar)), 6) end when 2 then 1.0 else 0.95 end::double similarity from part""")
 def property_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").where("not (p_partkey % 4 = 1 and p_size % 2 = 1)").selectExpr(
+    rows = read(spark, sf_dir, "part").selectExpr(
         "p_partkey", "element_at(array('width', 'text-align', 'border-top-color', 'background-color'), int(p_partkey % 4) + 1) name", "case p_partkey % 4 when 0 then concat(p_size, 'px') when 1 then ' Center' when 2 then 'rgb(1, 2, 3)' else 'rgba(9, 9, 9, 0.5)' end a",
-        "case p_partkey % 4 when 0 then '20px' when 1 then 'center' when 2 then 'rgb(1,2,3)' else 'rgb(9, 9, 9)' end b",
+        "case p_partkey % 4 when 0 then '20px' when 1 then case when p_size % 2 = 0 then 'center' else concat('center', p_size) end when 2 then 'rgb(1,2,3)' else 'rgb(9, 9, 9)' end b",
     )
     return rows.select("p_partkey", rounded(style.property_similarity(F.col("name"), F.col("a"), F.col("b"))).alias("similarity"))
 
@@ -577,7 +577,7 @@ def render_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with p as ({_PIXELS}), q as (select image, x, y, (r + 50) % 256 r2, case when k < 150 then g else (g + 50) % 256 end g2, (b + k % 60) % 256 b2 from p)
  select image, round(avg((abs(r - r2) + abs(g - g2) + abs(b - b2)) / 3.0::double), 6) mae, round(avg(((r - r2) ** 2 + (g - g2) ** 2 + (b - b2) ** 2) / 3.0::double), 4)::double mse,
-  count(*) filter (least((r2 - r + 256) % 256, 256) between 42 and 58 and (g2 - g + 256) % 256 between 42 and 58 and (b2 - b + 256) % 256 between 42 and 58) shifted from p join q using (image, x, y) group by 1""")
+  count(*) filter (abs((r + 50) % 256 - r2) <= 8 and abs((g + 50) % 256 - g2) <= 8 and abs((b + 50) % 256 - b2) <= 8) shifted from p join q using (image, x, y) group by 1""")
 def pixel_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pixels(spark, sf_dir)
     q = p.selectExpr("image", "x", "y", "(r + 50) % 256 r", "case when k < 150 then g else (g + 50) % 256 end g", "(b + k % 60) % 256 b")

@@ -111,4 +111,5 @@ def test_pixels(spark):
     one = pixels.render_sanity(white, ["image"]).first()
     assert one["entropy"] == 0 and one["non_white"] == 0 and not one["passed"]
     moved = white.withColumns({c: F.lit(49) for c in "rgb"})
+    assert pixels.recoloured(white.withColumn("r", F.lit(206)), white, ["image"]).count() == 0  # the distance does not go round
     assert pixels.recoloured(white, moved, ["image"]).count() == 16 and pixels.errors(white, moved, ["image"]).first()["mae"] == 206
