@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.operators import animation, payload, tiles
+from pagelens.operators import animation, markup, payload, tiles, trees
 from pagelens.registry import oracle_sql, queries, query, read
+from pagelens.registry_planning import _TREE_SQL, tree_markup
 from pagelens.sources.sinks import rounded
 
 __all__ = ["oracle_sql", "queries"]
@@ -226,3 +227,23 @@ def animation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def animation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = animation.animation_pairs(_frames(spark, sf_dir), ["animation"])
     return out.select("animation", "status", "reason", "coverage", *(rounded(F.col(c), 9).alias(c) for c in ("bbox", "cssom", "score")))
+
+# --- markup back to tables ----------------------------------------------------------------------------------------------------
+
+
+@query(f"{_TREE_SQL} select tree, index, depth, tag, 1 x, 2 y, 3 w, 4 h from found")
+def markup_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = markup.markup_nodes(tree_markup(spark, sf_dir), ["tree"], width=10, height=10)
+    return trees.levels(nodes).select("tree", "index", "depth", "tag", "x", "y", "w", "h")
+
+
+@query("""select p_partkey, case when p_partkey < 4096 then printf('%02X%02X%02X', (15 - p_partkey // 256) * 16 + 10, (15 - p_partkey // 16 % 16) * 16 + 10, (15 - p_partkey % 16) * 16 + 10) end colour,
+ case when p_partkey < 4096 then printf('%02X%02X%02X', ((15 - p_partkey // 256) * 16 + 60) % 256, ((15 - p_partkey // 16 % 16) * 16 + 60) % 256, ((15 - p_partkey % 16) * 16 + 60) % 256) end shifted from part""")
+def pool_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.col("p_partkey")
+    return read(spark, sf_dir, "part").select("p_partkey", markup.pool_colour(place).alias("colour"), markup.pool_colour(place, 50).alias("shifted"))
+
+
+@query()
+def text_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.text_colours(read(spark, sf_dir, "pages"), ["page_id"])

@@ -312,22 +312,44 @@ def action_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ELEMENTS = "select p_partkey, p_brand, p_partkey % 5 text, p_partkey % 3 tag, p_partkey % 4 role, p_size % 6 kind, p_size % 7 name from part"
 
 
-@query(f"""with e as ({_ELEMENTS}), o as (select o_orderkey, o_orderkey % 5 text, o_orderkey % 3 tag, o_orderkey % 4 role, o_custkey % 6 kind, o_custkey % 7 name, case when o_orderkey % 3 = 0 then 'scroll' when o_orderkey % 3 = 1 then 'hover' else 'click' end action, o_orderkey % 2 = 0 known, o_orderkey % 10 = 0 exact from orders),
- s as (select o_orderkey, p_partkey, least(1.0, 0.48 * (e.text = o.text)::int + 0.12 * (e.tag = o.tag)::int + 0.12 * (e.role = o.role)::int + 0.18 * (0.45 * (e.kind = o.kind)::int + 0.35 * (e.name = o.name)::int) + 0.10 * 0.5)::double score
-   from lineitem join o on o_orderkey = l_orderkey join e on p_partkey = l_partkey),
- b as (select o_orderkey, max(score) score, arg_min(p_partkey, (-score, p_partkey)) element from s group by 1)
- select o_orderkey, case when exact then null when not known then 'signature_unavailable' when b.score is null then 'no_candidate_elements' when round(b.score, 9) < case action when 'scroll' then 0.25 when 'hover' then 0.3 else 0.45 end then 'below_threshold' end failure,
-  round(case when exact then 1.0 when known then coalesce(b.score, 0) else 0 end, 6)::double confidence from o left join b using (o_orderkey)""")
-def element_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+_WANTED = """select o_orderkey, o_orderkey % 5 text, o_orderkey % 3 tag, o_orderkey % 4 role, o_custkey % 6 kind, o_custkey % 7 name, case when o_orderkey % 3 = 0 then 'scroll' when o_orderkey % 3 = 1 then 'hover' else 'click' end action,
+ o_orderkey % 2 = 0 known, o_orderkey % 10 = 0 actionable, case when o_custkey % 5 = 0 then null when o_custkey % 5 = 1 then '' when o_custkey % 5 = 2 then '[data-wde-manifest-id="a"]' else concat('#x', o_orderkey) end selector,
+ case when o_custkey % 3 = 0 then 'main' end ancestor, cast(o_orderkey % 4 as int) matches from orders"""
+_RESOLVED_SQL = f"""e as ({_ELEMENTS}), o as ({_WANTED}),
+ s as (select o_orderkey, p_partkey, round(least(1.0, 0.48 * (e.text = o.text)::int + 0.12 * (e.tag = o.tag)::int + 0.12 * (e.role = o.role)::int + 0.18 * (0.45 * (e.kind = o.kind)::int + 0.35 * (e.name = o.name)::int) + 0.10 * 0.5)::double, 9) score, p_partkey % 11 <> 0 visible, action
+   from lineitem join o on o_orderkey = l_orderkey join e on p_partkey = l_partkey)"""
+
+
+def _resolution(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     struct = lambda t, r, k, n: F.struct(F.col(t).cast("string").alias("tag"), F.col(r).cast("string").alias("role"), F.col(k).cast("string").alias("type"), F.col(n).cast("string").alias("name"), F.lit(None).cast("string").alias("id"))
     e = read(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey % 5 et", "p_partkey % 3 a", "p_partkey % 4 b", "p_size % 6 c", "p_size % 7 d").select("p_partkey", "et", struct("a", "b", "c", "d").alias("cand"))
-    o = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey % 5 ot", "o_orderkey % 3 a", "o_orderkey % 4 b", "o_custkey % 6 c", "o_custkey % 7 d", "case when o_orderkey % 3 = 0 then 'scroll' when o_orderkey % 3 = 1 then 'hover' else 'click' end action", "o_orderkey % 2 = 0 known", "o_orderkey % 10 = 0 exact")
-    o = o.select("o_orderkey", "ot", "action", "known", "exact", struct("a", "b", "c", "d").alias("ref"))
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    wanted = spark.sql(_WANTED)
+    o = wanted.select("o_orderkey", F.col("text").alias("ot"), "action", struct("tag", "role", "kind", "name").alias("ref"))
     pairs = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey")).join(o, "o_orderkey").join(e, "p_partkey")
     score = matching.element_score((F.col("et") == F.col("ot")).cast("double"), F.lit(0.5), "ref", "cand", F.col("action"))
-    scored = pairs.select("o_orderkey", F.col("p_partkey").alias("element"), F.round(score, 9).alias("score"))
-    wanted = o.select("o_orderkey", F.lit("#x").alias("selector"), F.when(F.col("exact"), 1).otherwise(0).alias("matches"), "known", "action")
-    return matching.resolve_elements(wanted, scored, ["o_orderkey"], matching.least_score(F.col("action"))).select("o_orderkey", "failure", rounded(F.col("confidence")).alias("confidence"))
+    return wanted, pairs.select("o_orderkey", F.col("p_partkey").alias("element"), F.round(score, 9).alias("score"), (F.col("p_partkey") % 11 != 0).alias("visible"))
+
+
+@query(f"""with {_RESOLVED_SQL}, b as (select o_orderkey, max(score) score, arg_min(p_partkey, (-score, p_partkey)) best from s where visible or action = 'scroll' group by 1),
+ j as (select *, coalesce(selector, '') <> '' given, coalesce(selector, '') <> '' and selector not like '[data-wde-manifest-%' own from o left join b using (o_orderkey)),
+ k as (select *, own and actionable exact, case when own and not actionable and action = 'hover' then ancestor end up, given and known usable from j),
+ f as (select *, case when exact or up is not null then null when not usable then 'selector_missing_or_reference_signature_unavailable' when score is null then 'no_candidate_elements' when score < case action when 'scroll' then 0.25 when 'hover' then 0.3 else 0.45 end then 'no_candidate_element_above_threshold' end failure from k)
+ select o_orderkey, case when failure is null then 'resolved' else 'unsupported' end status, case when exact then 'exact_selector' when up is not null then 'visible_ancestor_of_exact_selector' when usable then 'element_match' end "method", case when exact then selector else up end resolved_selector,
+  case when not exact and up is null and usable then best end matched, case when exact or up is not null then 1.0 when usable then coalesce(score, 0) else 0 end::double confidence, failure from f""")
+def element_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted, scored = _resolution(spark, sf_dir)
+    return matching.resolve_actions(wanted, scored, ["o_orderkey"]).drop("element")
+
+
+@query(f"""with {_RESOLVED_SQL}, b as (select o_orderkey, max(score) score, arg_min(p_partkey, (-score, p_partkey)) best from s where visible group by 1),
+ k as (select *, coalesce(selector, '') <> '' and matches = 1 exact from o left join b using (o_orderkey)),
+ f as (select *, case when exact then null when not known then 'target_selector_missing_or_reference_signature_unavailable' when score is null then 'no_candidate_elements' when score < 0.35 then 'no_candidate_target_above_threshold' end failure from k)
+ select o_orderkey, case when failure is null then 'resolved' else 'unsupported' end status, case when exact then 'exact_selector' when known then 'element_match' end "method", case when exact then selector end resolved_selector,
+  case when failure is null and not exact then best end element, case when exact then 1.0 when known then coalesce(score, 0) else 0 end::double confidence, failure from f""")
+def target_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted, scored = _resolution(spark, sf_dir)
+    return matching.resolve_targets(wanted, scored, ["o_orderkey"]).drop("matched")
 
 
 @query()
