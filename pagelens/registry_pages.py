@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.operators import animation, markup, payload, tiles, trees
+from pagelens.operators import animation, layout, markup, payload, tiles, trees
 from pagelens.registry import oracle_sql, queries, query, read
 from pagelens.registry_planning import _TREE_SQL, tree_markup
 from pagelens.sources.sinks import rounded
@@ -247,3 +247,18 @@ def pool_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def text_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.text_colours(read(spark, sf_dir, "pages"), ["page_id"])
+
+# --- blank areas ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {_DRAWN}, s as (select image, x, y, floor(((r * 19595 + g * 38470 + b * 7471 + 32768) >> 16)) v from px where side = 1), c as (select image, x, y, floor((v + 40) / 80.0::double)::int band from s),
+ f as (select *, case when lag(band) over k is distinct from band then y end start from c window k as (partition by image, x order by y)),
+ h as (select *, y - max(start) over (partition by image, x order by y) + 1 run from f),
+ e as (select a.image, a.x, a.y, any_value(a.band) band, any_value(a.run) run, max(o.x) filter (o.x < a.x and (o.band <> a.band or o.run < a.run)) lo, min(o.x) filter (o.x > a.x and (o.band <> a.band or o.run < a.run)) hi from h a join h o on o.image = a.image and o.y = a.y group by 1, 2, 3),
+ r as (select image, y, band, run, coalesce(lo, -1) + 1 l, coalesce(hi, w) u, w, dims.h height from e join dims using (image)),
+ t as (select *, run * (u - l) area, row_number() over (partition by image order by run * (u - l) desc, band, y, u, run desc) p from r)
+ select image, l x, y - run + 1 y, u - l w, run h, area, round(area / (w * height) * 100, 6) sparsity_rate, round(least(100, sqrt(greatest(0, 100 - area / (w * height) * 100)) * 10), 6) score,
+  case when area / (w * height) * 100 >= 25 then ['large_blank_region'] else [] end tags from t where p = 1""")
+def layout_sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = layout.layout_sparsity(_drawn(spark, sf_dir, 1), ["image"])
+    return out.withColumns({c: rounded(F.col(c)) for c in ("sparsity_rate", "score")})
