@@ -174,7 +174,7 @@ def marked_differences(a: DataFrame, b: DataFrame, image: list[str], *, threshol
 
 def pixelmatch(a: DataFrame, b: DataFrame, image: list[str], *, threshold: float = 0.1, include_aa: bool = False, checkerboard: bool = True, tile: int = TILE) -> DataFrame:
     """Per picture of both: total_pixels, diff_pixels, aa_pixels, diff_ratio, score. b is resized to a; smoothed edges do not count unless include_aa."""
-    b = same_size(_opaque(a), _opaque(b), image)
+    b = cut(same_size(_opaque(a), _opaque(b), image))  # read three times below
     sizes = picture_sizes(a, image).join(b.select(*image).distinct(), image, "left_semi")
     how = {"threshold": threshold, "checkerboard": checkerboard}
     marked = differing_pixels(a, b, image, **how).withColumn("aa", F.lit(False)) if include_aa else marked_differences(a, b, image, tile=tile, **how)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.operators import animation, layout, markup, payload, tiles, trees
+from pagelens.operators import animation, crops, layout, markup, payload, tiles, trees
 from pagelens.registry import oracle_sql, queries, query, read
 from pagelens.registry_planning import _TREE_SQL, tree_markup
 from pagelens.sources.sinks import rounded
@@ -39,7 +39,8 @@ _DIFFERENCE_SQL = f"""pairs as (select a.image, a.x, a.y, (a.r - b.r)::double dr
  differ as (select image, x, y from parts where 0.5053::double * p * p + 0.299::double * q * q + 0.1957::double * s * s > 352.15)"""
 
 
-@query(f"""with {_DRAWN}, {_DIFFERENCE_SQL},
+#: Differing pixels of px (side, image, x, y, r, g, b) in pictures of the sizes dims, and whether they lie on a smoothed edge.
+_MARKED_SQL = f"""{_DIFFERENCE_SQL},
  steps as (select dx, dy from (values (-1), (0), (1)) a(dx), (values (-1), (0), (1)) b(dy) where dx <> 0 or dy <> 0),
  near as (select p.side, p.image, p.x, p.y, n.x nx, n.y ny, {_YIQ_SQL.format("(p.r - n.r)", "(p.g - n.g)", "(p.b - n.b)")} delta, p.r = n.r and p.g = n.g and p.b = n.b same
   from px p, steps join px n on n.side = p.side and n.image = p.image and n.x = p.x + dx and n.y = p.y + dy),
@@ -47,7 +48,10 @@ _DIFFERENCE_SQL = f"""pairs as (select a.image, a.x, a.y, (a.r - b.r)::double dr
    arg_min({{'x': nx, 'y': ny}}, (delta, nx, ny)) lo_at, arg_min({{'x': nx, 'y': ny}}, (-delta, nx, ny)) hi_at from near join dims using (image) group by 1, 2, 3, 4),
  calm as (select image, x, y, bool_and(rim + equal > 2) calm from sums group by 1, 2, 3),
  marked as (select d.image, d.x, d.y, bool_or(s.rim + s.zero <= 2 and s.lo < 0 and s.hi > 0 and (l.calm or u.calm)) aa from differ d join sums s using (image, x, y)
-   join calm l on l.image = d.image and l.x = s.lo_at.x and l.y = s.lo_at.y join calm u on u.image = d.image and u.x = s.hi_at.x and u.y = s.hi_at.y group by 1, 2, 3)
+   join calm l on l.image = d.image and l.x = s.lo_at.x and l.y = s.lo_at.y join calm u on u.image = d.image and u.x = s.hi_at.x and u.y = s.hi_at.y group by 1, 2, 3)"""
+
+
+@query(f"""with {_DRAWN}, {_MARKED_SQL}
  select image, w * h total_pixels, count(aa) filter (not aa) diff_pixels, count(aa) filter (aa) aa_pixels, round(count(aa) filter (not aa) / (w * h), 6) diff_ratio, round(1 - count(aa) filter (not aa) / (w * h), 6) score
   from dims left join marked using (image) group by image, w, h""")
 def pixelmatch_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,3 +266,29 @@ def text_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_sparsity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = layout.layout_sparsity(_drawn(spark, sf_dir, 1), ["image"])
     return out.withColumns({c: rounded(F.col(c)) for c in ("sparsity_rate", "score")})
+
+
+# --- crops: each page has three pairs of blocks, the last of some without area --------------------------------------------------
+
+_BLOCK_WIDTH = f"case when block = 2 and s_suppkey % 5 = 0 then 0e0 else 7e0 / ({_WIDTH}) end"
+_PAIRS = (
+    "s_suppkey image", "block", f"(2 + 5 * block) * 1e0 / ({_WIDTH}) rx", f"3e0 / ({_HEIGHT}) ry", f"{_BLOCK_WIDTH} rw", f"8e0 / ({_HEIGHT}) rh",
+    f"(2 + 5 * block + s_suppkey % 2) * 1e0 / ({_WIDTH}) cx", f"3e0 / ({_HEIGHT}) cy", f"{_BLOCK_WIDTH} cw", f"8e0 / ({_HEIGHT}) ch", "5e-1 + (s_suppkey % 4) * 1e-1 covered",
+)
+
+
+@query(f"""with {_DRAWN.replace("px as", "whole as").replace("from px", "from whole").replace("dims as", "sizes as")}, matched as (select {', '.join(_PAIRS)} from supplier, (values (0), (1), (2)) b(block)),
+ boxes as (select image, block, side, case when side = 0 then 2 + 5 * block else 2 + 5 * block + image % 2 end l, not (block = 2 and image % 5 = 0) ok from matched, (values (0), (1)) s(side)),
+ px as (select w.side, w.image * 3 + block image, x - l x, y - 3 y, r, g, b from whole w join boxes o on o.image = w.image and o.side = w.side where ok and x >= l and x < l + 7 and y >= 3 and y < 11),
+ dims as (select image, 7 w, 8 h from (select distinct image from px)), {_MARKED_SQL},
+ scores as (select image // 3 image, image % 3 block, 1 - count(aa) filter (not aa) / 56 score from dims left join marked using (image) group by dims.image),
+ common as (select *, greatest(0, least(rx + rw, cx + cw) - greatest(rx, cx)) * greatest(0, least(ry + rh, cy + ch) - greatest(ry, cy)) i, rw * rh ra, cw * ch ca from matched),
+ j as (select common.*, score, case when ra + ca - i > 0 then i / (ra + ca - i) else 0 end iou, case when ra <= 0 or ca <= 0 then 0 else least(ra, ca) / greatest(ra, ca) end likeness, greatest(0, 1 - greatest(abs(rx + rw / 2 - cx - cw / 2), abs(ry + rh / 2 - cy - ch / 2))) centre from common left join scores using (image, block)),
+ g as (select image, coalesce(sum(score * ra) / nullif(sum(ra) filter (score is not null), 0), 0) m, count(*) pair_count, count(score) scored_pair_count, coalesce(sum(ra) filter (score is not null), 0) a, any_value(covered) covered,
+   coalesce(sum(iou * ra) / nullif(sum(ra), 0), 0) iou, coalesce(sum(likeness * ra) / nullif(sum(ra), 0), 0) area, coalesce(sum(centre * ra) / nullif(sum(ra), 0), 0) centre from j group by 1)
+ select image, round(m, 9)::double matched_pixelmatch, round(m * covered, 9)::double pixelmatch_score, pair_count, scored_pair_count, round(a, 9)::double weighted_area, round(iou, 9)::double iou, round(area, 9)::double area, round(centre, 9)::double centre,
+  round((iou + area + centre) / 3 * covered, 9)::double geometry_score from g""")
+def block_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = read(spark, sf_dir, "supplier").selectExpr("s_suppkey", "explode(sequence(0, 2)) block").selectExpr(*_PAIRS)
+    out = crops.block_scores(pairs, _drawn(spark, sf_dir, 0), _drawn(spark, sf_dir, 1), ["image"], "block")
+    return out.withColumns({c: rounded(F.col(c), 9) for c in ("matched_pixelmatch", "pixelmatch_score", "weighted_area", "iou", "area", "centre", "geometry_score")})
