@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.operators import animation, crops, layout, markup, payload, tiles, trees
+from pagelens.plans import evaluate
 from pagelens.registry import oracle_sql, queries, query, read
 from pagelens.registry_planning import _TREE_SQL, tree_markup
 from pagelens.sources.sinks import rounded
@@ -292,3 +293,40 @@ def block_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = read(spark, sf_dir, "supplier").selectExpr("s_suppkey", "explode(sequence(0, 2)) block").selectExpr(*_PAIRS)
     out = crops.block_scores(pairs, _drawn(spark, sf_dir, 0), _drawn(spark, sf_dir, 1), ["image"], "block")
     return out.withColumns({c: rounded(F.col(c), 9) for c in ("matched_pixelmatch", "pixelmatch_score", "weighted_area", "iou", "area", "centre", "geometry_score")})
+
+# --- the whole evaluation: an order is a capture of its customer's run ------------------------------------------------------------
+
+_VALUES = {"size": "o_custkey % 10 / 10", "vlm": "o_orderkey % 7 / 7", "pixel": "o_orderkey % 9 / 9", "block": "o_custkey % 4 / 4", "bbox": "o_orderkey % 11 / 11", "cssom": "o_custkey % 5 / 5", "dreamsim": "o_orderkey % 3 / 3", "bleu_1": "o_custkey % 7 / 7", "rouge_1": "o_orderkey % 13 / 13", "tree_bleu": "o_custkey % 3 / 3", "f1": "o_orderkey % 6 / 6"}
+_SKIPPED = {"vlm": "o_orderkey % 5 = 0", "pixel": "o_custkey % 6 = 0", "tree_bleu": "o_orderkey % 4 = 0", "dreamsim": "o_custkey % 9 = 0"}
+_EVALUATED_SQL = f"""routes as (select o_orderkey, o_custkey, case o_orderstatus when 'F' then 1.0 when 'O' then 0.75 else 0.6 end::double confidence, o_orderpriority not like '1%' resolved, (o_custkey % 3)::double weight,
+   {", ".join(f"case when {_SKIPPED.get(c, 'false')} then null else ({e.split(' / ')[0]}) / {e.split(' / ')[1]}.0::double end {c}" for c, e in _VALUES.items())} from orders),
+ acts as (select l_orderkey o_orderkey, avg((1 - l_discount)::double) a from lineitem where l_returnflag <> 'N' group by 1),
+ cov as (select routes.*, case when resolved then confidence * coalesce(a, 1) else 0 end coverage, list_avg(list_filter([bleu_1, rouge_1, tree_bleu, f1], lambda x: x is not null)) html from routes left join acts using (o_orderkey)),
+ seen as (select * replace ({", ".join(f"case when coverage > 0 then {c} end as {c}" for c in ("size", "html", "vlm", "pixel", "block", "bbox", "cssom", "dreamsim"))}) from cov),
+ gate as (select *, coalesce(size, 1) >= 0.4 and coalesce(html, 1) >= 0.4 and coalesce(vlm, 1) >= 0.4 passed from seen),
+ sums as (select *, case when passed then {" + ".join(f"coalesce({c}, 0) * {w}::double" for c, w in _W.items())} else {" + ".join(f"coalesce({c}, 0) * {_W[c]}::double" for c in ("size", "html", "vlm"))} end v,
+   case when passed then {" + ".join(f"({c} is not null)::int * {w}::double" for c, w in _W.items())} else 0.7 end d from gate),
+ done as (select *, case when d > 0 then v / d else 0 end before_coverage, case when d > 0 then v / d else 0 end * coverage score from sums)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    status = F.col("o_orderstatus")
+    routes = orders.select("o_orderkey", F.when(status == "F", 1.0).when(status == "O", 0.75).otherwise(0.6).alias("confidence"), (~F.startswith("o_orderpriority", F.lit("1"))).alias("resolved"))
+    actions = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (1 - F.col("l_discount")).cast("double").alias("contribution"), (F.col("l_returnflag") != "N").alias("scored"))
+    each = F.array(*(F.struct(F.lit(c).alias("name"), F.expr(f"double({e})").alias("value"), F.expr(f"if({_SKIPPED.get(c, 'false')}, 'skipped', 'ok')").alias("status")) for c, e in _VALUES.items()))
+    metrics = orders.select("o_orderkey", F.explode(each).alias("m")).select("o_orderkey", "m.*")
+    captures = orders.select("o_orderkey", "o_custkey", (F.col("o_custkey") % 3).cast("double").alias("weight"))
+    return evaluate.evaluate(captures, routes, actions, metrics, key="o_orderkey")
+
+
+@query(f"""with {_EVALUATED_SQL} select o_orderkey, round(coverage, 9)::double coverage, round(html, 9) html, passed gate_passed, round(before_coverage, 9)::double before_coverage, round(score, 9)::double score from done""")
+def evaluate_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).select("o_orderkey", "gate_passed", *(rounded(F.col(c), 9).alias(c) for c in ("coverage", "html", "before_coverage", "score")))
+
+
+@query(f"""with {_EVALUATED_SQL} select o_custkey, round(case when sum(weight) > 0 then sum(score * weight) / sum(weight) else 0 end, 9)::double score, round(case when sum(weight) > 0 then sum(score * weight) / sum(weight) end, 9)::double score_available,
+ count(*) "rows", count(*) filter (passed) gate_passed, sum(weight) weight from done group by 1""")
+def evaluate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.summarize(_evaluated(spark, sf_dir), None, ["o_custkey"])
+    return out.withColumns({c: rounded(F.col(c), 9) for c in ("score", "score_available")})
