@@ -136,7 +136,7 @@ _ANIMATION_JSON = """concat('{"animation":{"weight":', l_quantity / 10, '},"metr
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run, payload): the metrics of each order as the JSON text a run writes."""
-    lines = read(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")))
+    lines = read(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_discount")))
     items = lines.selectExpr("l_orderkey run", "l_linenumber > 4 moves", "concat('\"', l_linenumber, '.', n, '\":') id", f"case when l_linenumber > 4 then {_ANIMATION_JSON} else {_CAPTURE_JSON} end item")
     listed = lambda moves: F.array_join(F.sort_array(F.collect_list(F.when(F.col("moves") == moves, F.concat("id", "item")))), ",")
     return items.groupBy("run").agg(F.concat(F.lit('{"captures":{'), listed(False), F.lit('},"animations":{'), listed(True), F.lit("}}")).alias("payload"))
@@ -144,7 +144,7 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _W = {"size": 0.05, "html": 0.1, "vlm": 0.2, "pixel": 0.05, "block": 0.0, "bbox": 0.1, "cssom": 0.1, "dreamsim": 0.1}
 _PARTS_SQL = ", ".join(f"case when scored and d > 0 and {c} is not null and {'true' if c in ('size', 'html', 'vlm') else 'passed'} then {c} * {w}::double / d else 0 end {c}_part" for c, w in _W.items())
-_PAYLOAD_SQL = f"""l as (select *, l_orderkey run, l_linenumber || '.' || row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) item_id, l_linenumber > 4 moves from lineitem),
+_PAYLOAD_SQL = f"""l as (select *, l_orderkey run, l_linenumber || '.' || row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_discount) item_id, l_linenumber > 4 moves from lineitem),
  o as (select run, item_id, moves, case when moves then l_partkey % 6 <> 0 else l_partkey % 11 <> 0 end scored, greatest(0, case when moves then l_quantity / 10 when l_linenumber = 3 or l_partkey % 11 = 0 then 1 else l_quantity - 10 end)::double weight,
    case when moves then null when l_partkey % 22 = 0 then 'no_page' when l_partkey % 11 = 0 then 'lost' end lost,
    case when moves then (l_partkey % 6 <> 0)::int::double else (1 - l_discount)::double end coverage,
