@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,13 +97,39 @@ def clean_id(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), "[^a-zA-Z0-9_.-]+", "-"), F.lit("-"))
 
 
+def _numbered(ids: list[str]) -> list[str]:
+    """Each id that is in use already gets the first number from 2 on that makes a new one."""
+    used: set[str] = set()
+    following: dict[str, int] = {}
+    out = []
+    for x in ids:
+        new = x
+        if x in used:
+            n = following.get(x, 2)
+            while f"{x}-{n}" in used:
+                n += 1
+            new, following[x] = f"{x}-{n}", n + 1
+        used.add(new)
+        out.append(new)
+    return out
+
+
 def _unique(rows: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Numbers after repeated ids from 2 on, in order; a number that makes an id that is given elsewhere is passed over."""
-    by = Window.partitionBy(*group, "id")
-    taken = rows.groupBy(*group).agg(F.collect_set("id").alias("__taken"))
-    counted = rows.withColumn("__n", F.row_number().over(by.orderBy(order))).withColumn("__all", F.count("*").over(by)).join(taken, group)
-    options = F.filter(F.transform(F.sequence(F.lit(2), F.col("__all") + F.size("__taken") + 1), lambda i: F.concat_ws("-", F.col("id"), i.cast("string"))), lambda x: ~F.array_contains(F.col("__taken"), x))
-    return counted.withColumn("id", F.when(F.col("__n") == 1, F.col("id")).otherwise(F.element_at(options, (F.col("__n") - 1).cast("int")))).drop("__n", "__all", "__taken")
+    """Ids made unique in a group, in order. Only ids alike but for numbers at their end can get in each other's way.
+
+    So each such family is numbered by itself, and only those with a repeated id leave the JVM.
+    """
+    family = rows.withColumn("__family", F.regexp_replace("id", r"(-[0-9]+)+$", ""))
+    times = family.withColumn("__times", F.count("*").over(Window.partitionBy(*group, "__family", "id")))
+    most = times.withColumn("__most", F.max("__times").over(Window.partitionBy(*group, "__family")))
+    names = rows.columns
+
+    def number(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order).select(names)
+        return table.set_column(names.index("id"), "id", pa.array(_numbered(table.column("id").to_pylist()), pa.string()))
+
+    repeated = most.where("__most > 1").groupBy(*group, "__family").applyInArrow(number, rows.schema)
+    return most.where("__most = 1").select(*names).unionByName(repeated)
 
 
 def sanitize_captures(captures: DataFrame, actions: DataFrame, paths: DataFrame, selectors: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:

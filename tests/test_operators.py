@@ -157,7 +157,7 @@ def test_manifest(spark):
     assert {r["pos"]: (r["id"], len(r["actions"] or [])) for r in kept.collect()} == {0: ("a", 1), 1: ("a-2", 1), 5: ("p.desktop.3", 1), 8: ("f", 1)}
     assert {r["pos"]: r["reason"] for r in dropped.collect()} == {2: "path_not_found", 3: "no_actions_left", 4: "no_actions_left", 6: "no_actions_left", 7: "effect_lost"}
     more = spark.createDataFrame([(1, 0, "a", "/p"), (1, 1, "a", "/p"), (1, 2, "a-2", "/p"), (1, 3, "a", "/p")], captures.schema)
-    assert [r["id"] for r in manifest.sanitize_captures(more, actions.limit(0), paths, selectors)[0].orderBy("pos").collect()] == ["a", "a-3", "a-2", "a-4"]
+    assert [r["id"] for r in manifest.sanitize_captures(more, actions.limit(0), paths, selectors)[0].orderBy("pos").collect()] == ["a", "a-2", "a-2-2", "a-3"]
     assert manifest.sanitize_captures(more, actions.limit(0), paths, selectors, 2)[0].count() == 2
     times = spark.createDataFrame([([100, 50, 100, -1], None), (None, 900), (None, None)], "s array<bigint>, d bigint").select(manifest.sample_times("d", "s").alias("t"))
     assert [r["t"] for r in times.collect()] == [[0, 50, 100], [0, 900], [0, 600]]
