@@ -265,7 +265,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         scratch.drop(sets, ids, hot, written)
         return out
 
-    sketches = known.groupBy("id").agg(F.first("n").alias("n"), *[F.when(one, F.first(c)).alias(c) for c in SKETCH_COLUMNS])
+    sketches = scratch.table(known.groupBy("id").agg(F.first("n").alias("n"), *[F.when(one, F.first(c)).alias(c) for c in SKETCH_COLUMNS]), "sketches")
 
     # the first round: a pivot leads the members with larger shares
     x, y = cells.where("pivot").alias("x"), cells.alias("y")
@@ -285,10 +285,11 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     while True:
         # cells that are not one component yet, each member in the region of its nearest pivot so far
         of = linked.select(F.col("node").alias("rep"), "component")
-        labelled = members.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        labelled = scratch.table(members.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
         mixed = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed"), F.bool_and("pivot").alias("all")).where("mixed and not all").select("key")
         ways = known_pairs.select("a", "b", "d").unionByName(known_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
         left = scratch.table(labelled.join(mixed, "key").join(sketches.drop("n").withColumnRenamed("id", "rep"), "rep"), "open")
+        scratch.drop(labelled)
         if not left.limit(1).count():
             break
         met = left.where("pivot").select("key", F.col("rep").alias("a")).join(ways, "a").select("key", "a", F.col("b").alias("rep"), "d")
