@@ -56,12 +56,55 @@ def test_context_and_gain():
 
 
 def test_merged_blocks(spark):
-    assert matching.merged_neighbours(["Hello big", "wide world", "other text"], ["Hello big wide world", "other text"]) == [[0, 1], [2]]
+    assert matching.merged_sides(["Hello big", "wide world", "other text"], ["Hello big wide world", "other text"])[0] == [[0, 1], [2]]
     rows = [(1, "reference", 0, "Hello big"), (1, "reference", 1, "wide world"), (1, "reference", 2, "other text"), (1, "candidate", 0, "Hello big wide world"), (1, "candidate", 1, "other text"), (2, "reference", 0, None)]
     out = matching.match_merged_blocks(spark.createDataFrame(rows, "g int, side string, pos int, text string"), group="g").collect()
     assert sorted((tuple(r["reference_pos"]), tuple(r["candidate_pos"]), r["similarity"]) for r in out) == [((0, 1), (0,), 1.0), ((2,), (1,), 1.0)]
 
 
+def plain_merges(a, b, least=0.05):
+    """Every trial from the beginning: joined texts, the whole table of ratios, the whole assignment."""
+
+    def costs(a, b):
+        table = -np.array([[SequenceMatcher(None, x, y).ratio() for y in b] for x in a])
+        return [float(table[i, j]) for i, j in matching.assign(table)]
+
+    def one_side(own, now, cost):
+        gains = [(matching.gain(now, cost([*own[:i], f"{own[i]} {own[i + 1]}", *own[i + 2 :]])), i) for i in range(len(own) - 1)]
+        out, gone = list(own), set()
+        for g, i in sorted((x for x in gains if x[0] > least), key=lambda x: (-x[0], x[1])):
+            if not {i, i + 1} & gone:
+                gone |= {i, i + 1}
+                out[i], out[i + 1] = f"{own[i]} {own[i + 1]}", None
+        return [x for x in out if x is not None]
+
+    while True:
+        before = len(a), len(b)
+        a = one_side(a, costs(a, b), lambda x, b=b: costs(x, b))
+        b = one_side(b, costs(a, b), lambda x, a=a: costs(a, x))
+        if before == (len(a), len(b)):
+            return a, b
+
+
+def test_sides_take_turns():
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "zeta", "theta", "iota"]
+    merged = 0
+    for n in range(1, 13):
+        line = [words[i] + words[j] for i, j in rng.integers(0, 10, (3 * n, 2))]
+        sides = []
+        for _ in range(2):
+            cuts = sorted({0, len(line), *rng.integers(0, len(line), n).tolist()})
+            sides.append([" ".join(line[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)])
+        left, right, sim = matching.merged_sides(*sides)
+        got = tuple([" ".join(side[i] for i in g) for g in groups] for side, groups in zip(sides, (left, right), strict=True))
+        assert got == tuple(plain_merges(*sides))
+        assert sim.tolist() == [[SequenceMatcher(None, x, y).ratio() for y in got[1]] for x in got[0]]
+        merged += len(left) + len(right) < sum(map(len, sides))
+    assert merged > 5
+    assert matching.merged_sides([], ["x"])[:2] == ([], [[0]])
+
+
 def test_ordered_resolution(spark):
     box = (0.1, 0.1, 0.2, 0.1)
     items = spark.createDataFrame([(1, 0, "alpha", *box), (1, 1, "alpha", *box), (1, 2, "zzz", *box), (2, 0, "alone", *box)], "g int, pos int, text string, x double, y double, w double, h double")
