@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.operators import animation, crops, layout, markup, payload, tiles, trees
+from pagelens.operators import animation, crops, layout, markup, payload, source_scan, tiles, trees
 from pagelens.plans import evaluate
 from pagelens.registry import oracle_sql, queries, query, read
 from pagelens.registry_planning import _TREE_SQL, tree_markup
@@ -330,3 +330,68 @@ def evaluate_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.summarize(_evaluated(spark, sf_dir), None, ["o_custkey"])
     return out.withColumns({c: rounded(F.col(c), 9) for c in ("score", "score_available")})
+
+
+# --- source files: each page is a file of its host's site, with a style rule and scripts put where the page has its own -----------
+
+_RULE_TEXT = "concat('.a', cast(page_id as string), ',', chr(10), '#b[x=y] { color: red;', chr(10), ' transition: all 1s }', chr(10), '@media (x) {', chr(10), ' p { transform: none } }', chr(10), '@keyframes f { opacity: 0 } p{margin:', cast(page_id % 9 as string), '}')"
+_SCRIPT_TEXT = "concat(chr(10), 'menu', cast(page_id % 5 as string), '.classList.', case page_id % 3 when 0 then 'add' when 1 then 'remove' else 'toggle' end, '(', chr(10), chr(39), 'on', chr(39), ', ', chr(34), 'k', cast(page_id % 7 as string), chr(34), ');', chr(10), 'x.addEventListener(', chr(10), chr(39), 'click', chr(39), ', f); y.onfocus = g; track(')"
+_SOURCE_COLUMNS = (
+    "regexp_extract(url, '://([^/?#]*)', 1) site",
+    "case page_id % 5 when 0 then concat(cast(page_id as string), '/index.html') when 1 then concat('p', cast(page_id as string), '.CSS') when 2 then concat('p', cast(page_id as string), '.tsx') when 3 then concat('p', cast(page_id as string), '.md') else concat('p', cast(page_id as string), '.js') end path",
+    f"replace(replace(html, 'p{{margin:0}}', {_RULE_TEXT}), 'track(', {_SCRIPT_TEXT}) text",
+)
+_SCAN = source_scan
+_HANDLER_SQL, _MUTATION_SQL = (x.replace("'", "''") for x in (_SCAN.HANDLER, _SCAN.MUTATION))
+_SPACE_SQL = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+_BREAKS_SQL = "length({0}) - length(replace({0}, chr(10), ''))"
+_AROUND_SQL = f"left(array_to_string(list_transform(range(greatest(1, line - {_SCAN.RADIUS}), least(len(lines), line + {_SCAN.RADIUS}) + 1), lambda n: n::varchar || ': ' || lines[n]), chr(10)), {_SCAN.SNIPPET})"
+
+
+def _matches_sql(name: str, pattern: str) -> str:
+    """Rows of a pattern's matches, with the lines before each."""
+    before = _BREAKS_SQL.format("array_to_string(list_concat(pieces[1:place], found[1:place - 1]), '')")
+    return f"""{name}_all as (select site, path, string_split(text, chr(10)) lines, regexp_extract_all(text, '{pattern}') found, regexp_split_to_array(text, '{pattern}') pieces from scripts),
+ {name}_at as (select *, unnest(range(1, least(len(found), 80) + 1)) place from {name}_all), {name} as (select site, path, lines, place, found[place] match, 1 + {before} line from {name}_at)"""
+
+
+_SOURCES_SQL = f"sources as (select {', '.join(_SOURCE_COLUMNS).replace('as string', 'as varchar')} from pages)"
+#: Signs in the table looked_at (site, path, text).
+_EVIDENCE_SQL = rf"""typed as (select *, lower(regexp_extract(path, '\.([^./]+)$', 1)) kind_of from looked_at),
+ scripts as (select * from typed where kind_of in ('js', 'jsx', 'ts', 'tsx', 'html')),
+ pieces as (select site, path, string_split(text, '}}') pieces from typed where kind_of in ('css', 'html', 'jsx', 'tsx')),
+ piece as (select *, unnest(range(1, len(pieces))) place_of from pieces), parted as (select *, string_split(pieces[place_of], '{{') parts from piece),
+ ruled as (select *, {_SPACE_SQL.format("parts[-2]")} selector, {_SPACE_SQL.format("parts[-1]")} body, 1 + {_BREAKS_SQL.format("array_to_string(pieces[1:place_of - 1], '')")} + {_BREAKS_SQL.format("array_to_string(parts[1:len(parts) - 2], '')")} line
+  from parted where len(parts) > 1 and regexp_matches(parts[-1], '{_SCAN.MOVING}')),
+ rules as (select *, row_number() over (partition by site, path order by place_of) place from ruled where selector <> '' and not starts_with(selector, '@')),
+ {_matches_sql("handlers", _HANDLER_SQL)}, {_matches_sql("mutations", _MUTATION_SQL)},
+ evidence as (select site, path, 'rule' kind, place, line, left(selector, {_SCAN.SELECTOR}) "name", null::varchar operation,
+   list_sort(list_distinct(list_concat(regexp_extract_all(selector, '[#.][A-Za-z_][\w-]*|\[[^\]]+\]|[A-Za-z][\w-]*'), regexp_extract_all(body, '([A-Za-z-]+)\s*:', 1))))[1:32] details, left(selector || ' {{ ' || body || ' }}', {_SCAN.RULE}) evidence from rules where place <= 80
+  union all select site, path, 'handler', place, line, regexp_extract(match, '({_SCAN.EVENTS})', 1), null, [], {_AROUND_SQL} from handlers
+  union all select site, path, 'mutation', place, line, regexp_extract(match, '{_MUTATION_SQL}', 1), regexp_extract(match, '{_MUTATION_SQL}', 2), regexp_extract_all(regexp_extract(match, '{_MUTATION_SQL}', 3), '[''"]([^''"]+)[''"]', 1)[1:{_SCAN.CLASSES}], {_AROUND_SQL} from mutations)"""
+
+
+def _source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").selectExpr("page_id", *_SOURCE_COLUMNS)
+
+
+@query(f"""with {_SOURCES_SQL}, looked_at as (select * from sources), {_EVIDENCE_SQL} select site, path, kind, place::int place, line::int line, "name", operation, array_to_string(details, ' ') details, evidence from evidence""")
+def animation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = source_scan.animation_evidence(_source_files(spark, sf_dir), ["site"], "path", "text")
+    return out.withColumn("details", F.array_join("details", " "))
+
+
+@query(f"""with {_SOURCES_SQL}, looked_at as (select * from sources qualify row_number() over (partition by site order by case when regexp_extract(path, '[^/]*$') in ('index.html', 'styles.css', 'script.js') then 0 else 1 end, path) <= 24), {_EVIDENCE_SQL}
+ select site, count(distinct path) file_count, count(*) filter (kind = 'rule') css_rules, count(*) filter (kind = 'mutation') js_mutations, count(*) filter (kind = 'handler') event_handlers from evidence group by 1""")
+def animation_source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = source_scan.first_files(_source_files(spark, sf_dir), "site", "path")
+    return source_scan.evidence_totals(source_scan.animation_evidence(files, ["site"], "path", "text"), "site", "path")
+
+
+@query("""with p as (select page_id, regexp_extract(url, '://([^/?#]*)', 1) site, case when page_id % 11 = 0 then 'ok' when page_id % 3 = 0 then 'failed' end status from pages),
+ seen as (select distinct site from p where status = 'ok')
+ select page_id, site, status, 'browser' source, null::varchar browser_error from p where status is not null and site in (from seen)
+ union all select page_id, site, null, 'static_html_fallback', 'no browser-rendered pages discovered' from p where site not in (from seen)""")
+def prompt_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _source_files(spark, sf_dir).selectExpr("page_id", "site", "case when page_id % 11 = 0 then 'ok' when page_id % 3 = 0 then 'failed' end status")
+    return source_scan.prompt_inventory(files.where("status is not null"), files.drop("status"), "site").select("page_id", "site", "status", "source", "browser_error")
