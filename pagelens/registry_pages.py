@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.operators import animation, crops, layout, markup, payload, source_scan, tiles, trees
+from pagelens.operators import animation, crops, layout, markup, payload, repeats, source_scan, tiles, trees
 from pagelens.plans import evaluate
 from pagelens.registry import oracle_sql, queries, query, read
 from pagelens.registry_planning import _TREE_SQL, tree_markup
@@ -395,3 +395,13 @@ def animation_source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _source_files(spark, sf_dir).selectExpr("page_id", "site", "case when page_id % 11 = 0 then 'ok' when page_id % 3 = 0 then 'failed' end status")
     return source_scan.prompt_inventory(files.where("status is not null"), files.drop("status"), "site").select("page_id", "site", "status", "source", "browser_error")
+
+
+@query()
+def pages_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", repeats.cut_repeats(F.col("html")).alias("c"), repeats.cut_repeats(F.col("html"), 1)["removed"].alias("copies")).select("page_id", "c.html", "c.removed", "copies")
+
+
+@query("select page_id, md5(case when regexp_matches(html, '^(?i)<html[^>]*>') then html else '<html><body><p>' || html || '</p></body></html>' end) page_md5 from pages")
+def texts_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(repeats.as_page(F.col("html")).cast("binary")).alias("page_md5"))
