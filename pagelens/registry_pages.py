@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.operators import animation, crops, layout, markup, payload, repeats, source_scan, tiles, trees
+from pagelens.operators import animation, crops, cssom, layout, markup, payload, repeats, source_scan, tiles, trees
 from pagelens.plans import evaluate
 from pagelens.registry import oracle_sql, queries, query, read
 from pagelens.registry_planning import _TREE_SQL, tree_markup
@@ -405,3 +407,46 @@ def pages_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select page_id, md5(case when regexp_matches(html, '^(?i)<html[^>]*>') then html else '<html><body><p>' || html || '</p></body></html>' end) page_md5 from pages")
 def texts_as_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.md5(repeats.as_page(F.col("html")).cast("binary")).alias("page_md5"))
+
+
+# --- styles: an order is a page, its lines are pairs of elements ------------------------------------------------------------------
+
+_STYLES = (
+    ("font-size", "concat(q, 'px')", "concat(q + n, 'px')"), ("text-align", "'left'", "case when l_returnflag = 'N' then ' Left' else 'right' end"),
+    ("color", "concat('rgb(', p, ', ', s, ', 0)')", "concat('rgba(', s, ', ', p, ', ', n, ', 0.5)')"), ("opacity", "'0.5'", "case when n % 3 <> 0 then '1' end"),
+    ("margin-top", "'auto'", "case when n % 2 = 0 then 'auto' else '5px' end"), ("filter", "case when n = 1 then 'none' end", "'none'"), ("made-up", "'1'", "'2'"),
+)
+#: Rows of one order and number are one pair.
+_LINES = {"l_returnflag": "min(l_returnflag)", "q": "cast(min(l_quantity) as int)", "p": "min(l_partkey) % 256", "s": "min(l_suppkey) % 256"}
+_BOXES = {"rx": "n * 1e-1", "ry": "1e-1", "rw": "2e-1", "rh": "1e-1", "cx": "n * 1e-1 + (p % 3) * 5e-2", "cy": "1e-1", "cw": "2e-1", "ch": "1e-1 + (s % 2) * 5e-2"}
+_LIKE = {pair: SequenceMatcher(None, *pair).ratio() for pair in (("left", "right"), ("auto", "5px"))}
+_CSSOM_SQL = f"""lines as (select l_orderkey, l_linenumber n, {", ".join(f"{e} {c}" for c, e in _LINES.items())} from lineitem group by 1, 2),
+ l as (select *, 2e-1 * (1e-1 + (s % 2) * 5e-2) c_area, (2e-1 - (p % 3) * 5e-2) * 1e-1 i from lines),
+ g as (select *, l_returnflag <> 'A' or n = 1 resolved, (1 - n / (q + n)::double + case when l_returnflag = 'N' then 1 else {_LIKE["left", "right"]}::double end) / 2 typography,
+   9e-1 * greatest(0, 1 - sqrt(2 * (p - s) ** 2 + n ** 2) / sqrt(195075)) + 5e-2 color, case when n % 2 = 0 then 1 else {_LIKE["auto", "5px"]}::double end spacing, null::double shape,
+   list_avg(list_filter([case when n % 3 <> 0 then 5e-1 end, case when n = 1 then 1e0 end], lambda x: x is not null)) effects,
+   (i / (2e-2 + c_area - i) + 2e-2 / c_area + 1 - greatest((p % 3) * 5e-2, (s % 2) * 25e-3)) / 3 layout from l),
+ pairs as (select l_orderkey, n, q, resolved, {", ".join(f"case when resolved then {x} end {x}" for x in cssom.GROUPS)} from g),
+ scored as (select *, case when resolved then list_avg(list_filter([{", ".join(cssom.GROUPS)}], lambda x: x is not null)) end score from pairs)"""
+
+
+def _style_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(*(F.expr(e).alias(c) for c, e in _LINES.items()))
+    pairs = lines.selectExpr("l_orderkey", "n pair", "double(q) weight", "l_returnflag <> 'A' or n = 1 resolved", *(f"{e} {c}" for c, e in _BOXES.items()))
+    each = ", ".join(f"struct('{name}' as property, {a} as reference, {b} as candidate)" for name, a, b in _STYLES)
+    styles = lines.selectExpr("l_orderkey", "n pair", f"inline(array({each}))")
+    return cssom.pair_scores(pairs, styles, ["l_orderkey"])
+
+
+@query(f"""with {_CSSOM_SQL} select l_orderkey, n pair, {", ".join(f"round({g}, 9) {g}" for g in (*cssom.GROUPS, "score"))} from scored""")
+def style_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _style_pairs(spark, sf_dir).select("l_orderkey", "pair", *(rounded(F.col(g), 9).alias(g) for g in (*cssom.GROUPS, "score")))
+
+
+@query(f"""with {_CSSOM_SQL}, k as (select l_orderkey, {", ".join(f"coalesce(sum({g} * q) / nullif(sum(q) filter ({g} is not null), 0), 0) {g}" for g in (*cssom.GROUPS, "score"))}, coalesce(sum(q) filter (resolved), 0)::double area, sum(q) q, count(*) pair_count, count(*) filter (resolved) resolved_pair_count from scored group by 1)
+ select l_orderkey, round(score, 9)::double matched_score, round(area / q, 9)::double resolution_score, {", ".join(f"round({g}, 9)::double {g}" for g in cssom.GROUPS)}, pair_count, resolved_pair_count, area weighted_area, (o_custkey % 4)::double / 4 coverage, round(score * (area / q) * ((o_custkey % 4)::double / 4), 9)::double score
+ from k join orders on o_orderkey = l_orderkey""")
+def style_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "orders").selectExpr("o_orderkey l_orderkey", "double(o_custkey % 4) / 4 coverage", "1e0 block_score")
+    out = cssom.page_scores(_style_pairs(spark, sf_dir), pages, ["l_orderkey"])
+    return out.withColumns({c: rounded(F.col(c), 9) for c in ("matched_score", "resolution_score", *cssom.GROUPS, "score")})
