@@ -115,13 +115,16 @@ def _spelling(a: pd.Series, b: pd.Series) -> pd.Series:
 def categorical_similarity(a: Column, b: Column) -> Column:
     """1 for equal names, else the likeness of their spelling; null if either is missing or both are blank."""
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    return F.when(a.isNull() | b.isNull() | ((x == "") & (y == "")), None).when(x == y, 1.0).otherwise(_spelling(x, y))
+    return F.when(a.isNull() | b.isNull() | ((x == "") & (y == "")), None).when(x == y, 1.0).otherwise(_spelling(F.when(x != y, x), y))
 
 
 def property_similarity(name: Column, a: Column, b: Column) -> Column:
     """By kind: colours, opacity, names, else numbers; what is none of its kind is compared as a name, opacity apart."""
-    number, named = numeric_similarity(parse_number(a), parse_number(b)), categorical_similarity(a, b)
+    number = numeric_similarity(parse_number(a), parse_number(b))
     colour = F.when(F.contains(name, F.lit("color")), colour_similarity(parse_rgb(a), parse_rgb(b)))
     as_name = name.isin(*NAMED_PROPERTIES) | F.endswith(name, F.lit("-style"))
+    # spelling is compared in Python, and for all rows that have both texts: so only those that need it have them
+    needed = colour.isNull() & ~F.coalesce(name == "opacity", F.lit(False)) & (F.coalesce(as_name, F.lit(False)) | number.isNull())
+    named = categorical_similarity(F.when(needed, a), b)
     rest = F.when(name == "opacity", number).when(as_name, named).otherwise(F.coalesce(number, named))
     return F.coalesce(colour, rest)
