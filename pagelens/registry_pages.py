@@ -7,7 +7,8 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.operators import animation, crops, cssom, layout, markup, payload, repeats, source_scan, tiles, trees
+from pagelens.functions.paths import json_payload
+from pagelens.operators import animation, crops, cssom, judge, layout, markup, payload, repeats, source_scan, tiles, trees
 from pagelens.plans import evaluate
 from pagelens.registry import oracle_sql, queries, query, read
 from pagelens.registry_planning import _TREE_SQL, tree_markup
@@ -450,3 +451,26 @@ def style_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "orders").selectExpr("o_orderkey l_orderkey", "double(o_custkey % 4) / 4 coverage", "1e0 block_score")
     out = cssom.page_scores(_style_pairs(spark, sf_dir), pages, ["l_orderkey"])
     return out.withColumns({c: rounded(F.col(c), 9) for c in ("matched_score", "resolution_score", *cssom.GROUPS, "score")})
+
+
+# --- judge answers: each document is answered with ten scores in one of five shapes, some of nine scores ----------------------------
+
+_JUDGED = (3, 5, 7, 11, 13, 17, 19, 23, 29, 31)
+
+
+@query(f"""with s as (select doc_id, [{", ".join(f"(doc_id * {k} % 101) / 10.0::double" for k in _JUDGED)}] x from documents)
+ select doc_id, case when doc_id % 7 > 0 or doc_id % 5 = 3 then round(list_sum(x), 6)::double end total, case when doc_id % 7 > 0 or doc_id % 5 = 3 then x[10] end last from s""")
+def judge_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = [(F.pmod(F.col("doc_id") * k, F.lit(101)) / 10).cast("string") for k in _JUDGED]
+    listed = F.concat(F.lit("["), F.concat_ws(", ", *shown[:9]), F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit(", "), shown[9])).otherwise(""), F.lit("]"))
+    named = [F.concat(F.lit(f'"{name}": '), x) for name, x in zip(judge.DIMENSIONS, shown, strict=True)]
+    members = F.concat_ws(", ", *named[:9], F.when((F.col("doc_id") % 7 > 0) | (F.col("doc_id") % 5 == 3), named[9]))
+    shape = F.col("doc_id") % 5
+    answer = (
+        F.when(shape == 0, listed).when(shape == 1, F.concat(F.lit('{"why": "2 of 3", "scores": '), listed, F.lit("}"))).when(shape == 2, F.concat(F.lit('Well: ```json {"dimensions": {'), members, F.lit("}}```")))
+        .when(shape == 3, F.concat(F.lit("{"), members, F.lit("}"))).otherwise(F.concat(F.lit("Scores "), listed))
+    )
+    rows = read(spark, sf_dir, "documents").select("doc_id", answer.alias("a"))
+    payload = F.when(F.startswith("a", F.lit("[")), F.col("a")).otherwise(json_payload(F.col("a")))
+    scores = rows.select("doc_id", judge.answer_scores(F.col("a"), payload).alias("s"))
+    return scores.select("doc_id", rounded(F.aggregate("s", F.lit(0.0), lambda t, x: t + x)).alias("total"), F.get("s", F.lit(9)).alias("last"))

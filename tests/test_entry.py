@@ -26,7 +26,7 @@ def test_without_the_optional_parts(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["reward_summary", "coverage_product", "route_priority_chain", "motion_delta", "majority_consistency", "manifest_sanitize", "dom_localization", "reachable_pages", "text_bleu1", "discovered_paths", "element_resolution", "run_summary", "final_summary", "plan_problems", "tree_summary", "render_sanity", "progress_times", "target_resolution", "pixelmatch_pictures", "difference_clusters", "payload_run_reward", "payload_rewards", "animation_pairs", "layout_sparsity", "block_crops", "markup_tree_nodes", "evaluate_runs", "animation_sources", "animation_source_totals", "prompt_inventories", "texts_as_pages", "style_pairs", "style_page_scores"])
+@pytest.mark.parametrize("name", ["reward_summary", "coverage_product", "route_priority_chain", "motion_delta", "majority_consistency", "manifest_sanitize", "dom_localization", "reachable_pages", "text_bleu1", "discovered_paths", "element_resolution", "run_summary", "final_summary", "plan_problems", "tree_summary", "render_sanity", "progress_times", "target_resolution", "pixelmatch_pictures", "difference_clusters", "payload_run_reward", "payload_rewards", "animation_pairs", "layout_sparsity", "block_crops", "markup_tree_nodes", "evaluate_runs", "animation_sources", "animation_source_totals", "prompt_inventories", "texts_as_pages", "style_pairs", "style_page_scores", "judge_answers"])
 def test_query_against_its_sql(spark, name):
     db = duckdb.connect()
     for table in os.listdir(SMALL):
