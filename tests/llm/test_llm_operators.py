@@ -287,6 +287,28 @@ def test_reseating_keeps_the_posterior(n):
     assert t.mean() == pytest.approx((want * np.arange(n + 1)).sum(), rel=0.02)
 
 
+@pytest.mark.parametrize(("n", "weight", "discount"), [(257, 0.9, 0.6), (600, 30.0, 0.8), (1500, 60.0, 0.3), (1500, 1e-5, 0.9), (400, 1e5, 0.5)])
+def test_all_of_many_customers_are_seated_again(n, weight, discount):
+    """Past the table of chances too: exact weights, and few sweeps from a start far away are enough."""
+    from pagelens.llm.lm_scoring import _log_stirling, reseat
+
+    log, t = np.full(n + 1, -np.inf), np.arange(1, n + 1)
+    log[0] = 0
+    for c in range(1, n + 1):
+        with np.errstate(divide="ignore"):
+            joined = np.log(np.maximum(c - 1 - discount * t, 0)) + log[1:]
+        log[1:], log[0] = np.logaddexp(log[:-1], joined), -np.inf
+    assert _log_stirling(np.full(n, float(n)), t.astype(float), discount) == pytest.approx(log[1:], abs=1e-6)
+    want = np.exp(log[1:] + t * math.log(weight) - (log[1:] + t * math.log(weight)).max())
+    want /= want.sum()
+    many, rng = 10_000, np.random.default_rng(3)
+    seats = np.ones(many)
+    for _ in range(3):
+        seats = reseat(np.full(many, n), seats, np.full(many, weight), discount, rng)
+    got = np.bincount(seats.astype(int), minlength=n + 1)[1:] / many
+    assert np.abs(got - want).sum() < 0.12 and np.abs(np.cumsum(got) - np.cumsum(want)).max() < 0.025
+
+
 def test_one_seat_taken_again():
     """Chances to sit alone against random partitions seated customer by customer, and the limit for many customers."""
     from pagelens.llm.lm_scoring import ONE_BY_ONE, _alone
