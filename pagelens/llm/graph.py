@@ -8,30 +8,30 @@ from pyspark.sql import functions as F
 from pagelens.llm.scratch import Scratch
 
 
+#: The smallest neighbours of so many nodes are sent to the tasks; of more they are joined by shuffle.
+SEND_NODES = 200_000
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge to another.
 
-    edges: columns a and b, any order, repeats and loops allowed. Alternates large-star and
-    small-star rounds, each a grouped minimum and a join, until the edges stand still: about
-    the logarithm of the longest path. Minima are combined before the shuffle, and joins on
-    a much-linked node are left to adaptive skew handling.
+    edges: columns a and b, any order, repeats and loops allowed; read several times, so a written table. Alternates large-star and
+    small-star rounds, each a grouped minimum and a join, until every node stands alone below
+    one smaller node or is itself a smallest: about the logarithm of the longest path. Minima are
+    combined before the shuffle, and joins on a much-linked node are left to adaptive skew handling.
     """
-    now = scratch.table(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    now, written = edges.where("a != b"), []
+    while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        smaller = F.when(F.col("b") < F.col("a"), F.col("b"))
+        nodes = scratch.table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.coalesce((F.min(smaller) < F.max(smaller)) | ((F.min(smaller) < F.col("a")) & F.bool_or(F.col("b") > F.col("a"))), F.lit(False)).alias("open")), "nodes")
+        many, to_do = nodes.agg(F.count("*"), F.count_if("open")).first()
+        if not to_do:
+            return nodes.select(F.col("a").alias("node"), F.col("m").alias("component"))
+        sent = F.broadcast if many <= SEND_NODES else lambda df: df
+        large = both.where("b > a").join(sent(nodes.select("a", "m")), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        after = scratch.table(small.select("e.a", "e.b").where("a != b").distinct(), "edges")
-        scratch.drop(now)
-        now, before, mark = after, mark, _mark(after)
-        if mark == before:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-    return tuple(row)
+        small = large.join(sent(least), "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        now = scratch.table(small.select("e.a", "e.b").where("a != b").distinct(), "edges")
+        scratch.drop(nodes, *written)
+        written = [now]

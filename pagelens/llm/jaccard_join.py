@@ -62,6 +62,8 @@ SKETCH = 16
 SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]
 #: Words of the wide sketch of sets with more elements than LONG, for which the narrow one says little.
 WIDE, LONG = 256, 600
+#: Wide sketches, of 2 KB each, that are sent to the tasks; more are joined by shuffle.
+SEND_WIDE = 2000
 
 
 def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +236,10 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scratch.drop(entries)
 
     one = F.min("k1") == F.max("k1")
-    wides = known.groupBy("id").agg(F.first("n").alias("n"), F.when(one, F.first("wide")).alias("wide")).where("wide is not null")
-    wides = scratch.table(wides, "wide")
+    by_id = scratch.table(known.groupBy("id").agg(F.first("n").alias("n"), *[F.when(one, F.first(c)).alias(c) for c in SKETCH_COLUMNS], F.when(one, F.first("wide")).alias("wide"), (~one).alias("several")), "ids")
+    sketches, wides = by_id.drop("wide", "several"), by_id.select("id", "n", "wide").where("wide is not null")
+    if wides.count() <= SEND_WIDE:
+        wides = F.broadcast(wides)
 
     def possible(pairs: DataFrame) -> DataFrame:
         """The pairs without those of two long sets whose wide sketches forbid a link."""
@@ -247,11 +251,12 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def compared(pairs: DataFrame) -> DataFrame:
         """(a, b, d, linked) of distinct pairs that may link. Only the texts in them are cut into shingles again."""
         pairs = written = scratch.table(possible(pairs), "pairs")
-        ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        sets = scratch.table(_hash_sets(rows.join(_sent(ids), "id", "left_semi"), k), "sets")
+        if not written.limit(1).count():
+            return written.select("a", "b", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked"))
         # a set with many pairs, such as a pivot, is joined under several keys
-        hot = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count("*") / PAIRS_PER_KEY).cast("int").alias("keys")).where("keys > 1"), "hot")
-        hot_sent = _sent(hot)
+        ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.ceil(F.count("*") / PAIRS_PER_KEY).cast("int").alias("keys")), "ids")
+        sets = scratch.table(_hash_sets(rows.join(_sent(ids.select("id")), "id", "left_semi"), k), "sets")
+        hot_sent = _sent(ids.where("keys > 1"))
         keys = F.coalesce(F.col("keys"), F.lit(1))
         spread = sets.join(hot_sent, "id", "left").select("id", "hashes", F.explode(F.sequence(F.lit(0), keys - 1)).alias("part"))
         a = spread.select(F.col("id").alias("a"), F.col("part").alias("pa"), F.col("hashes").alias("ha"))
@@ -262,11 +267,9 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         distance, linked = 1 - F.col("i") / (F.col("s") - F.col("i")), 100 * F.col("i") >= percent * (F.col("s") - F.col("i"))
         # an id that several rows share gives several comparisons, and no distance that windows may use
         out = scratch.table(both.select("a", "b", distance.alias("d"), linked.alias("linked")).groupBy("a", "b").agg(F.when(F.count("*") == 1, F.min("d")).alias("d"), F.bool_or("linked").alias("linked")), "compared")
-        scratch.drop(sets, ids, hot, written)
+        scratch.drop(sets, ids, written)
         return out
 
-    sketches = scratch.table(known.groupBy("id").agg(F.first("n").alias("n"), *[F.when(one, F.first(c)).alias(c) for c in SKETCH_COLUMNS]), "sketches")
-
     # the first round: a pivot leads the members with larger shares
     x, y = cells.where("pivot").alias("x"), cells.alias("y")
     star = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.struct("x.share", "x.rep") < F.struct("y.share", "y.rep")) & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
@@ -274,7 +277,7 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     star = star.join(sketches.alias("x"), F.col("p.a") == F.col("x.id")).join(sketches.alias("y"), F.col("p.b") == F.col("y.id"))
     known_pairs = compared(star.where(_near_enough("x", "y", percent)).select("p.a", "p.b"))
     edges = known_pairs.where("linked").select("a", "b")
-    several = scratch.table(known.groupBy("id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low != high").select("id"), "several")
+    several = by_id.where("several").select("id")
     if several.limit(1).count():
         edges = edges.unionByName(known.join(_sent(several), "id", "left_semi").join(classes, ["k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")))
     linked = components(edges, scratch)
@@ -310,7 +313,8 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         new = compared(pairs.join(known_pairs, ["a", "b"], "left_anti"))
         known_pairs = known_pairs.unionByName(new)
         # each component so far as a star, and what this round has linked
-        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.where("linked").select("a", "b")), scratch)
+        if new.where("linked").limit(1).count():
+            linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new.where("linked").select("a", "b")), scratch)
         members = scratch.table(regions.drop("component", "region", "d", *SKETCH_COLUMNS).withColumn("pivot", F.col("pivot") | chosen), "members")
         scratch.drop(left, regions)
 

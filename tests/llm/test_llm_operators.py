@@ -662,6 +662,17 @@ def test_suffix_array():
 # --- shared ---
 
 
+def test_components_that_stand_are_seen_at_once(spark):
+    """Stars, repeated and turned around, take one grouped minimum and no further round."""
+    from pagelens.llm.graph import components
+    from pagelens.llm.scratch import Scratch
+
+    scratch = Scratch(spark, "t")
+    edges = [(5, 1), (1, 5), (5, 1), (7, 1), (2, 9), (3, 3)]
+    out = components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()
+    assert sorted(map(tuple, out)) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)] and scratch._count == 1
+
+
 def test_components(spark):
     from pagelens.llm.graph import components
     from pagelens.llm.scratch import Scratch
