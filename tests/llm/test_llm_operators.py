@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -659,6 +660,20 @@ def test_suffix_array():
         assert repeated_starts(s, sigma, length, 1).tolist() == want
 
 
+def test_repeated_substrings_at_the_start_of_a_shard():
+    """Texts that share their first bytes, the smaller one first in the shard or not."""
+    from pagelens.llm.substring_dedup import _shard_spans
+    from pagelens.llm.suffix_array import repeated_starts
+
+    assert np.flatnonzero(repeated_starts(np.array([1, 2, 3, 255, 1, 2, 4, 255], dtype=np.uint8), 256, 2, 255)).tolist() == [0, 4]
+    rng = np.random.default_rng(9)
+    same, *rest = (rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (450, 300, 500))
+    texts = [same + b"a" + rest[0], same + b"b" + rest[1]]
+    for order in ([0, 1], [1, 0]):
+        pdf = pd.DataFrame({"doc": order, "doc2": order, "start": [0, 0], "bytes": [texts[i] for i in order]})
+        assert sorted(map(tuple, _shard_spans(pdf, 400).to_numpy().tolist())) == [(0, 0, 0, 450), (1, 1, 0, 450)]
+
+
 # --- shared ---
 
 
