@@ -49,7 +49,7 @@ def shrink(shades: DataFrame, image: list[str], most: int) -> DataFrame:
     sizes = picture_sizes(shades, image)
     factor = F.least(F.lit(1.0), most / F.greatest("width", "height").cast("double"))
     sizes = sizes.withColumns({"new_width": F.floor(F.col("width") * factor).cast("long"), "new_height": F.floor(F.col("height") * factor).cast("long")})
-    rows = shades.select(*image, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("shade").cast("double").alias("shade")).join(sizes, image)
+    rows = shades.select(*image, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("shade").cast("double").alias("shade")).join(sizes.hint("shuffle_hash"), image)  # else the pixels may be broadcast
     large = rows.where(F.greatest("width", "height") > most)
     large = _shrunk_lines(_shrunk_lines(large, image, "x", "width", "new_width"), image, "y", "height", "new_height")
     names = [*image, "x", "y", F.rint("shade").cast("int").alias("shade"), "width", "height", "new_width", "new_height"]
