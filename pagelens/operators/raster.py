@@ -27,15 +27,15 @@ def _image(data: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(height, width, 3)
 
 
-def resize_matrix(size_in: int, size_out: int, kind: str = "lanczos") -> np.ndarray:
-    """Whole-number weights, size_out x size_in, in units of 2 ** -PRECISION."""
+def resize_taps(size_in: int, size_out: int, kind: str = "lanczos") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of size_out pixels the first that adds to it, how many do, and their whole-number weights in units of 2 ** -PRECISION, zeros behind."""
     scale = max(size_in / size_out, 1.0)
     center = (np.arange(size_out) + 0.5) * (size_in / size_out)
     reach = SUPPORT[kind] * scale
-    first = np.maximum(0, np.trunc(center - reach + 0.5))[:, None]
-    last = np.minimum(size_in, np.trunc(center + reach + 0.5))[:, None]
-    at = np.arange(size_in)[None, :]
-    x = (at - center[:, None] + 0.5) * (1 / scale)
+    first = np.maximum(0, np.trunc(center - reach + 0.5)).astype(np.int64)
+    count = np.minimum(size_in, np.trunc(center + reach + 0.5)).astype(np.int64) - first
+    step = np.arange(max(1, int(count.max())))[None, :]
+    x = (first[:, None] + step - center[:, None] + 0.5) * (1 / scale)
     if kind == "box":
         w = ((x > -0.5) & (x <= 0.5)).astype(float)
     elif kind == "bilinear":
@@ -45,9 +45,18 @@ def resize_matrix(size_in: int, size_out: int, kind: str = "lanczos") -> np.ndar
         w = np.where(v < 1, (1.5 * v - 2.5) * v * v + 1, np.where(v < 2, (((v - 5) * v + 8) * v - 4) * -0.5, 0.0))
     else:
         w = np.where((x >= -3) & (x < 3), np.sinc(x) * np.sinc(x / 3), 0.0)
-    w = np.where((at >= first) & (at < last), w, 0.0)
+    w = np.where(step < count[:, None], w, 0.0)
     w = w / w.sum(axis=1, keepdims=True) * (1 << PRECISION)
-    return np.where(w < 0, np.ceil(w - 0.5), np.floor(w + 0.5)).astype(np.int64)
+    return first, count, np.where(w < 0, np.ceil(w - 0.5), np.floor(w + 0.5)).astype(np.int64)
+
+
+def resize_matrix(size_in: int, size_out: int, kind: str = "lanczos") -> np.ndarray:
+    """Whole-number weights, size_out x size_in, in units of 2 ** -PRECISION."""
+    first, count, weights = resize_taps(size_in, size_out, kind)
+    out = np.zeros((size_out, size_in), dtype=np.int64)
+    to, step = np.nonzero(np.arange(weights.shape[1])[None, :] < count[:, None])
+    out[to, first[to] + step] = weights[to, step]
+    return out
 
 
 def resized(a: np.ndarray, height: int, width: int, kind: str = "lanczos") -> np.ndarray:

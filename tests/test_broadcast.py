@@ -2,7 +2,7 @@
 
 import pytest
 
-from pagelens.operators import layout
+from pagelens.operators import layout, tiles
 
 
 def pixels(spark, shade=0, size=20):
@@ -30,8 +30,10 @@ def broadcast_sides(df):
 
 
 @pytest.mark.parametrize("made", [
+    lambda s: tiles.differing_pixels(pixels(s), pixels(s, 90), ["image"]),
+    lambda s: tiles.pixelmatch(pixels(s), pixels(s, 90, 30), ["image"], include_aa=True),
     lambda s: layout.layout_sparsity(pixels(s), ["image"]),
-], ids=["layout"])
+], ids=["differing", "pixelmatch_all", "layout"])
 def test_no_pixels_are_broadcast(spark, made):
     out = made(spark)
     assert not [side for side in broadcast_sides(out) if "Generate" in side]
