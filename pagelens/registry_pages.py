@@ -115,8 +115,7 @@ def difference_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
  rows as (select image, coalesce(diff_pixels, 0) diff_pixels, coalesce(diff_pixels, 0) / (w * h) ratio, coalesce(cluster_count, 0) cluster_count from dims left join counts using (image) left join clusters using (image))
  select image, diff_pixels, round(ratio, 6) diff_ratio, cluster_count, list_filter([case when diff_pixels > 0 then 'visual_diff' end, case when cluster_count > 0 then 'visual_diff_cluster' end, case when ratio >= 0.05 then 'large_visual_diff' end], lambda t: t is not null) tags from rows""")
 def difference_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _drawn(spark, sf_dir, 0), _drawn(spark, sf_dir, 1)
-    out = tiles.difference_tags(tiles.pixelmatch(a, b, ["image"], include_aa=True), tiles.difference_clusters(a, b, ["image"]), ["image"])
+    out = tiles.tagged_differences(_drawn(spark, sf_dir, 0), _drawn(spark, sf_dir, 1), ["image"])
     return out.withColumn("diff_ratio", rounded(F.col("diff_ratio")))
 
 # --- metric payloads: an order is a run, its first four lines captures, the others animations ------------------------------

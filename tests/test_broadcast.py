@@ -38,3 +38,11 @@ def test_no_pixels_are_broadcast(spark, made):
     out = made(spark)
     assert not [side for side in broadcast_sides(out) if "Generate" in side]
     assert out.count() > 0
+
+
+def test_tags_without_a_second_pairing(spark):
+    a, b = pixels(spark), pixels(spark, 90).where("image < 2")
+    want = tiles.difference_tags(tiles.pixelmatch(a, b, ["image"], include_aa=True), tiles.difference_clusters(a, b, ["image"]), ["image"])
+    out = tiles.tagged_differences(a, b, ["image"])
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() == 2
+    assert not [side for side in broadcast_sides(out) if "Generate" in side]
