@@ -31,9 +31,11 @@ def broadcast_sides(df):
 
 @pytest.mark.parametrize("made", [
     lambda s: tiles.differing_pixels(pixels(s), pixels(s, 90), ["image"]),
+    lambda s: tiles.marked_differences(pixels(s), pixels(s, 90), ["image"]),
     lambda s: tiles.pixelmatch(pixels(s), pixels(s, 90, 30), ["image"], include_aa=True),
+    lambda s: tiles.pixelmatch(pixels(s), pixels(s, 90, 30), ["image"]),
     lambda s: layout.layout_sparsity(pixels(s), ["image"]),
-], ids=["differing", "pixelmatch_all", "layout"])
+], ids=["differing", "marked", "pixelmatch_all", "pixelmatch", "layout"])
 def test_no_pixels_are_broadcast(spark, made):
     out = made(spark)
     assert not [side for side in broadcast_sides(out) if "Generate" in side]
