@@ -34,8 +34,9 @@ def broadcast_sides(df):
     lambda s: tiles.marked_differences(pixels(s), pixels(s, 90), ["image"]),
     lambda s: tiles.pixelmatch(pixels(s), pixels(s, 90, 30), ["image"], include_aa=True),
     lambda s: tiles.pixelmatch(pixels(s), pixels(s, 90, 30), ["image"]),
+    lambda s: tiles.resize(pixels(s), ["image"], s.range(3).selectExpr("id image", "9 width", "11 height")),
     lambda s: layout.layout_sparsity(pixels(s), ["image"]),
-], ids=["differing", "marked", "pixelmatch_all", "pixelmatch", "layout"])
+], ids=["differing", "marked", "pixelmatch_all", "pixelmatch", "resize", "layout"])
 def test_no_pixels_are_broadcast(spark, made):
     out = made(spark)
     assert not [side for side in broadcast_sides(out) if "Generate" in side]
