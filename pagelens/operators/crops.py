@@ -34,7 +34,8 @@ def cut_out(pixels: DataFrame, boxes: DataFrame, image: list[str], keys: list[st
     dealt = boxes.where("box is not null").select(*dict.fromkeys([*image, *keys]), "box", span("left", "right").alias("__tx")).withColumn("__ty", span("top", "bottom"))
     own = pixels.select(*image, "x", "y", *channels, F.floor(F.col("x") / tile).alias("__tx"), F.floor(F.col("y") / tile).alias("__ty"))
     inside = (F.col("x") >= F.col("box.left")) & (F.col("x") < F.col("box.right")) & (F.col("y") >= F.col("box.top")) & (F.col("y") < F.col("box.bottom"))
-    return own.join(dealt, [*image, "__tx", "__ty"]).where(inside).select(*keys, (F.col("x") - F.col("box.left")).alias("x"), (F.col("y") - F.col("box.top")).alias("y"), *channels)
+    # Spark judges pixels by the table they were made from: the hint keeps them from being broadcast
+    return own.join(dealt.hint("merge"), [*image, "__tx", "__ty"]).where(inside).select(*keys, (F.col("x") - F.col("box.left")).alias("x"), (F.col("y") - F.col("box.top")).alias("y"), *channels)
 
 
 def pair_pixelmatch(pairs: DataFrame, reference: DataFrame, candidate: DataFrame, image: list[str], pair: str, *, threshold: float = 0.1, tile: int = TILE) -> DataFrame:

@@ -73,12 +73,12 @@ def resized(a: np.ndarray, height: int, width: int, kind: str = "lanczos") -> np
 _AROUND = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
 
 
-def _shifted(a: np.ndarray, dx: int, dy: int) -> np.ndarray:
-    """For each place what stands dx to the right and dy below; zeros beyond the edge."""
-    out = np.zeros_like(a)
+def _neighbours(a: np.ndarray) -> np.ndarray:
+    """For each place, along a new first axis, what stands around it; zeros beyond the edge."""
     h, w = a.shape[:2]
-    out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)] = a[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)]
-    return out
+    wide = np.zeros((h + 2, w + 2, *a.shape[2:]), dtype=a.dtype)
+    wide[1:-1, 1:-1] = a
+    return np.stack([wide[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dx, dy in _AROUND])
 
 
 def smoothed(a: np.ndarray, b: np.ndarray, there: np.ndarray, origin: tuple[int, int], size: tuple[int, int], checkerboard: bool = True) -> np.ndarray:
@@ -92,36 +92,28 @@ def smoothed(a: np.ndarray, b: np.ndarray, there: np.ndarray, origin: tuple[int,
     h, w = there.shape
     x, y = np.arange(w)[None, :] + origin[0], np.arange(h)[:, None] + origin[1]
     edge = ((x == 0) | (x == size[0] - 1) | (y == 0) | (y == size[1] - 1)).astype(int)
-    beside = [_shifted(there, dx, dy) for dx, dy in _AROUND]
+    beside = _neighbours(there)
     place = (y * size[0] + x) * 4
-    back = [BACK_DARK + BACK_STEP * (np.floor(place / by) % 2) if checkerboard else np.full((h, w), 255.0) for by in BACKGROUND]
-
-    def has_equals(p: np.ndarray) -> np.ndarray:
-        equal = edge.copy()
-        for (dx, dy), ok in zip(_AROUND, beside, strict=True):
-            equal += ok & (_shifted(p, dx, dy) == p).all(axis=2)
-        return equal > 2
-
-    equals = has_equals(a) & has_equals(b)
-
-    def on_edge(p: np.ndarray) -> np.ndarray:
-        zeroes, low, high = edge.copy(), np.zeros((h, w)), np.zeros((h, w))
-        at_low, at_high = np.zeros((h, w), dtype=bool), np.zeros((h, w), dtype=bool)
-        for (dx, dy), ok in zip(_AROUND, beside, strict=True):
-            n = _shifted(p, dx, dy)
-            off = [(p[..., c] - n[..., c]).astype(float) for c in range(3)]
-            clear = ((p[..., 3] < 255) | (n[..., 3] < 255)) & (p != n).any(axis=2)
-            if clear.any():
-                off = [np.where(clear, (p[..., c] * p[..., 3] - n[..., c] * n[..., 3] - back[c] * (p[..., 3] - n[..., 3])) / 255.0, off[c]) for c in range(3)]
-            delta = off[0] * YIQ[0, 0] + off[1] * YIQ[0, 1] + off[2] * YIQ[0, 2]
-            zeroes += ok & (delta == 0)
-            darker, there_equals = ok & (delta < low), _shifted(equals, dx, dy)
-            brighter = ok & ~darker & (delta > high)
-            low, high = np.where(darker, delta, low), np.where(brighter, delta, high)
-            at_low, at_high = np.where(darker, there_equals, at_low), np.where(brighter, there_equals, at_high)
-        return (zeroes <= 2) & (low < 0) & (high > 0) & (at_low | at_high)
-
-    return on_edge(a) | on_edge(b)
+    around = [_neighbours(p) for p in (a, b)]
+
+    def has_equals(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return edge + (beside & (n == p).all(axis=3)).sum(axis=0) > 2
+
+    equals = _neighbours(has_equals(a, around[0]) & has_equals(b, around[1]))
+
+    def on_edge(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        off = [(p[..., c] - n[..., c]).astype(float) for c in range(3)]
+        clear = (p[..., 3] < 255) | (n[..., 3] < 255)
+        if clear.any():
+            clear &= (p != n).any(axis=3)
+            back = [BACK_DARK + BACK_STEP * (np.floor(place / by) % 2) if checkerboard else np.full((h, w), 255.0) for by in BACKGROUND]
+            off = [np.where(clear, (p[..., c] * p[..., 3] - n[..., c] * n[..., 3] - back[c] * (p[..., 3] - n[..., 3])) / 255.0, off[c]) for c in range(3)]
+        delta = np.where(beside, off[0] * YIQ[0, 0] + off[1] * YIQ[0, 1] + off[2] * YIQ[0, 2], 0.0)
+        zeroes = edge + (beside & (delta == 0)).sum(axis=0)
+        at = lambda place: np.take_along_axis(equals, place[None], axis=0)[0]
+        return (zeroes <= 2) & (delta.min(axis=0) < 0) & (delta.max(axis=0) > 0) & (at(delta.argmin(axis=0)) | at(delta.argmax(axis=0)))
+
+    return on_edge(a, around[0]) | on_edge(b, around[1])
 
 
 def pixel_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:

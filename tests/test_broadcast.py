@@ -2,7 +2,7 @@
 
 import pytest
 
-from pagelens.operators import layout, tiles
+from pagelens.operators import crops, layout, tiles
 
 
 def pixels(spark, shade=0, size=20):
@@ -29,6 +29,11 @@ def broadcast_sides(df):
     return found
 
 
+def _cut(spark):
+    boxes = spark.range(3).selectExpr("id image", "0 block", "struct(2 left, 2 top, 9 right, 9 bottom) box")
+    return crops.cut_out(pixels(spark), boxes, ["image"], ["image", "block"])
+
+
 @pytest.mark.parametrize("made", [
     lambda s: tiles.differing_pixels(pixels(s), pixels(s, 90), ["image"]),
     lambda s: tiles.marked_differences(pixels(s), pixels(s, 90), ["image"]),
@@ -36,7 +41,8 @@ def broadcast_sides(df):
     lambda s: tiles.pixelmatch(pixels(s), pixels(s, 90, 30), ["image"]),
     lambda s: tiles.resize(pixels(s), ["image"], s.range(3).selectExpr("id image", "9 width", "11 height")),
     lambda s: layout.layout_sparsity(pixels(s), ["image"]),
-], ids=["differing", "marked", "pixelmatch_all", "pixelmatch", "resize", "layout"])
+    _cut,
+], ids=["differing", "marked", "pixelmatch_all", "pixelmatch", "resize", "layout", "crops"])
 def test_no_pixels_are_broadcast(spark, made):
     out = made(spark)
     assert not [side for side in broadcast_sides(out) if "Generate" in side]
