@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,51 @@ def unigram_scores_of(texts: DataFrame, references: DataFrame, key: str, ref: st
     return rows.select(key, ref, bleu.alias("bleu_1"), recall.alias("rouge_1_recall"))
 
 
+class Heads:
+    """Texts of at most size characters, and which of them can be as similar to a text as wanted.
+
+    Matching blocks are a common subsequence, so the longest one bounds their ratio. Its lengths
+    with all heads are found at once: bits of one whole number, a lane for each head, with a
+    free bit that takes the carry.
+    """
+
+    def __init__(self, size: int, similarity: float):
+        self.texts: list[str] = []
+        self.lane, self.similarity = (size + 8) // 8 * 8, similarity
+        self.full, self.places = 0, {}
+
+    def add(self, text: str) -> None:
+        shift = self.lane * len(self.texts)
+        own: dict[str, int] = {}
+        for i, c in enumerate(text):
+            own[c] = own.get(c, 0) | 1 << i
+        for c, bits in own.items():
+            self.places[c] = self.places.get(c, 0) | bits << shift
+        self.full |= ((1 << len(text)) - 1) << shift
+        self.texts.append(text)
+
+    def common(self, text: str) -> np.ndarray:
+        """Lengths of the longest common subsequences of text and each head."""
+        left = self.full
+        for c in text:
+            hit = left & self.places.get(c, 0)
+            if hit:
+                left = ((left + hit) | (left - hit)) & self.full
+        gone = (self.full & ~left).to_bytes(self.lane // 8 * len(self.texts), "little")
+        return np.bitwise_count(np.frombuffer(gone, dtype=np.uint8)).reshape(len(self.texts), -1).sum(axis=1)
+
+    def first(self, text: str) -> int | None:
+        """The first head that is similar enough."""
+        if not self.texts:
+            return None
+        bound = self.common(text)
+        for i in np.flatnonzero(2.0 * bound >= self.similarity * len(text)):
+            head = self.texts[i]
+            if 2.0 * int(bound[i]) / (len(head) + len(text)) >= self.similarity and SequenceMatcher(None, head, text).ratio() >= self.similarity:
+                return int(i)
+        return None
+
+
 def repeated_chunks(docs: DataFrame, key: str, text: str, *, size: int = 100, similarity: float = 0.8, repeats: int = 5) -> DataFrame:
     """key, chunks and cut: where a text starts to repeat itself, null if it does not.
 
@@ -50,19 +96,17 @@ def repeated_chunks(docs: DataFrame, key: str, text: str, *, size: int = 100, si
             counts, cuts = [], []
             for x in pdf["t"]:
                 chunks = [x[i : i + size] for i in range(0, len(x), size)]
-                heads: list[tuple[str, list[int]]] = []
+                heads, members = Heads(size, similarity), []
                 at = None
                 for i, c in enumerate(chunks):
-                    for head, places in heads:
-                        matcher = SequenceMatcher(None, head, c)
-                        if matcher.real_quick_ratio() >= similarity and matcher.quick_ratio() >= similarity and matcher.ratio() >= similarity:
-                            places.append(i)
-                            if len(places) == repeats and at is None:
-                                at = places[1] * size
-                            break
-                    else:
-                        heads.append((c, [i]))
-                    if at is not None:
+                    own = heads.first(c)
+                    if own is None:
+                        heads.add(c)
+                        members.append([i])
+                        continue
+                    members[own].append(i)
+                    if len(members[own]) == repeats:
+                        at = members[own][1] * size
                         break
                 counts.append(len(chunks))
                 cuts.append(at)
