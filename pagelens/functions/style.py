@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -107,9 +108,24 @@ def log_penalty_score(bad: Column, total: Column) -> Column:
 NAMED_PROPERTIES = ("font-family", "text-align", "text-transform")
 
 
+def _ratio(x: str, y: str) -> float:
+    return SequenceMatcher(None, x, y).ratio()
+
+
+#: Style values are few and come again and again; only short ones are kept.
+_known_ratio, KEPT = lru_cache(1 << 14)(_ratio), 128
+
+
+def spelling_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    there = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    out = np.full(len(a), np.nan)
+    out[there] = [(_known_ratio if len(x) + len(y) <= KEPT else _ratio)(x, y) for x, y in zip(a.iloc[there], b.iloc[there], strict=True)]
+    return pd.Series(out).where(~np.isnan(out))
+
+
 @F.pandas_udf(DoubleType())
 def _spelling(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    return spelling_ratios(a, b)
 
 
 def categorical_similarity(a: Column, b: Column) -> Column:
@@ -118,10 +134,15 @@ def categorical_similarity(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull() | ((x == "") & (y == "")), None).when(x == y, 1.0).otherwise(_spelling(F.when(x != y, x), y))
 
 
+def _parsed(parse: Callable[[Column], Column], a: Column, b: Column, similarity: Callable[[Column, Column], Column]) -> Column:
+    """similarity of two values, each parsed once, however often the formula names it."""
+    return F.transform(F.array(F.struct(parse(a).alias("a"), parse(b).alias("b"))), lambda p: similarity(p["a"], p["b"]))[0]
+
+
 def property_similarity(name: Column, a: Column, b: Column) -> Column:
     """By kind: colours, opacity, names, else numbers; what is none of its kind is compared as a name, opacity apart."""
-    number = numeric_similarity(parse_number(a), parse_number(b))
-    colour = F.when(F.contains(name, F.lit("color")), colour_similarity(parse_rgb(a), parse_rgb(b)))
+    number = _parsed(parse_number, a, b, numeric_similarity)
+    colour = F.when(F.contains(name, F.lit("color")), _parsed(parse_rgb, a, b, colour_similarity))
     as_name = name.isin(*NAMED_PROPERTIES) | F.endswith(name, F.lit("-style"))
     # spelling is compared in Python, and for all rows that have both texts: so only those that need it have them
     needed = colour.isNull() & ~F.coalesce(name == "opacity", F.lit(False)) & (F.coalesce(as_name, F.lit(False)) | number.isNull())

@@ -1,5 +1,7 @@
 """Style scores of pairs and pages against values by hand."""
 
+from difflib import SequenceMatcher
+
 import pytest
 
 from pagelens.operators import cssom
@@ -35,3 +37,17 @@ def test_pairs_and_pages(spark):
     assert rows["q"]["resolution_score"] == pytest.approx(2 / 3) and rows["q"]["score"] == 1.0  # all perfect
     assert rows["r"]["score"] == 0.0 and rows["t"]["score"] == 0.0
     assert cssom.page_scores(cssom.pair_scores(pairs.limit(0), styles, ["page"]), pages, ["page"]).count() == 0
+
+
+def test_values_that_come_again_are_compared_once(monkeypatch):
+    import pandas as pd
+
+    from pagelens.functions import style
+
+    seen = []
+    style._known_ratio.cache_clear()
+    monkeypatch.setattr(style, "SequenceMatcher", lambda *a: (seen.append(a), SequenceMatcher(*a))[1])
+    a, b = pd.Series(["left", "auto", None, "auto", "x" * 200] * 50), pd.Series(["right", "5px", "a", None, "y"] * 50)
+    out = style.spelling_ratios(a, b).tolist()
+    want = [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)]
+    assert [None if v != v else v for v in out] == want and len(seen) == 2 + 50
